@@ -104,10 +104,11 @@ def enrich(
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         limited = False
+        blank = {f.split()[0]: None for f in ENRICHED.split(", ")}
 
         def one(row: Any) -> dict[str, Any]:
             nonlocal limited
-            out = {"commit_id": row.commit_id, "repo_id": row.repo_id}
+            out = {**blank, "commit_id": row.commit_id, "repo_id": row.repo_id}
             if limited:
                 return {**out, "status": "pending"}
             if not row.diff:
@@ -129,9 +130,8 @@ def enrich(
             except Exception as e:  # isolate the record, as a batch must go on
                 return {**out, "status": "error", "error": f"{type(e).__name__}: {e}"}
 
-        names = [f.split()[0] for f in ENRICHED.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=names)
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=list(blank))
 
     rows = with_diff(backlog, max_chars).select(
         "commit_id", "repo_id", F.coalesce("message", F.lit("")).alias("message"), "full_name", "diff"

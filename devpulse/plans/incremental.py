@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators import rollups
@@ -52,7 +53,9 @@ def merge_monthly(
         write_monthly(incoming.select(*spec.columns), ts, path)
         return MergeResult(incoming.select(*spec.keys, ts), [], [p1])
 
-    base = spark.read.parquet(path)
+    # an explicit schema, as the table may still hold no file
+    stored = T.StructType([*incoming.select(*spec.columns).schema, T.StructField(MONTH_COLUMN, T.StringType())])
+    base = spark.read.schema(stored).parquet(path)
     searched = base
     if trust_dates:
         searched = base.filter(F.col(MONTH_COLUMN).isin(_months_in(incoming.withColumn(MONTH_COLUMN, month_of(ts)))))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from devpulse.operators.upsert import COMMITS, PULL_REQUESTS
 from devpulse.plans.incremental import merge_monthly, refresh_daily_stats
 from devpulse.schemas import COMMIT_PAYLOAD, PULL_REQUEST_PAYLOAD, envelope
 from devpulse.sources.payloads import parse_commits, parse_pull_requests
+from devpulse.sources.tables import MONTH_RANGE, split_month_range
 
 
 def ingest_commits(
@@ -19,16 +24,23 @@ def ingest_commits(
     repos: DataFrame,
     checkpoint: str,
     max_files: int | None = None,
+    months: tuple[date, date] = MONTH_RANGE,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Upsert landed commit files, then bring the daily rollup up to date.
 
     The checkpoint remembers which files were taken in, so a commit pushed late
     with an old date is still picked up.  A replayed batch changes nothing.
+    Records without a date or outside the month range go to ``quarantine``.
     """
 
-    def take_in(batch: DataFrame, _: int) -> None:
-        parsed, _rejected = parse_commits(batch)
-        merged = merge_monthly(spark, commits_path, parsed, COMMITS)
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        parsed, undated = parse_commits(batch)
+        inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
+        if quarantine:
+            _keep(undated, f"{quarantine}/undated", batch_id)
+            _keep(outside, f"{quarantine}/out_of_range", batch_id)
+        merged = merge_monthly(spark, commits_path, inside, COMMITS)
         refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
         merged.release()
 
@@ -36,25 +48,40 @@ def ingest_commits(
 
 
 def ingest_pull_requests(
-    spark: SparkSession, landing: str, prs_path: str, checkpoint: str, max_files: int | None = None
+    spark: SparkSession,
+    landing: str,
+    prs_path: str,
+    checkpoint: str,
+    max_files: int | None = None,
+    months: tuple[date, date] = MONTH_RANGE,
+    quarantine: str | None = None,
 ) -> StreamingQuery:
     """Upsert landed pull-request files."""
 
-    def take_in(batch: DataFrame, _: int) -> None:
-        parsed, _rejected = parse_pull_requests(batch)
-        merge_monthly(spark, prs_path, parsed, PULL_REQUESTS).release()
+    def take_in(batch: DataFrame, batch_id: int) -> None:
+        parsed, unusable = parse_pull_requests(batch)
+        inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
+        if quarantine:
+            _keep(unusable, f"{quarantine}/unusable", batch_id)
+            _keep(outside, f"{quarantine}/out_of_range", batch_id)
+        merge_monthly(spark, prs_path, inside, PULL_REQUESTS).release()
 
     return _start(_landed(spark, landing, PULL_REQUEST_PAYLOAD, max_files), take_in, checkpoint)
 
 
-def _landed(spark: SparkSession, landing: str, payload, max_files: int | None) -> DataFrame:
+def _keep(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A replayed batch replaces its own rejects."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _landed(spark: SparkSession, landing: str, payload: StructType, max_files: int | None) -> DataFrame:
     reader = spark.readStream.schema(envelope(payload))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.json(landing)
 
 
-def _start(stream: DataFrame, take_in, checkpoint: str) -> StreamingQuery:
+def _start(stream: DataFrame, take_in: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(take_in)
         .option("checkpointLocation", checkpoint)
