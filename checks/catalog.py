@@ -152,7 +152,7 @@ def _(t):
 _TOP_REPOS = """
     SELECT *, CAST(sum(commit_count) OVER (PARTITION BY user_id) AS BIGINT) AS total_commits FROM (
         SELECT user_id, repo_id, full_name AS repo_name, primary_language, CAST(sum(commit_count) AS BIGINT) AS commit_count,
-               row_number() OVER (PARTITION BY user_id ORDER BY sum(commit_count) DESC, repo_id) AS rank
+               CAST(row_number() OVER (PARTITION BY user_id ORDER BY sum(commit_count) DESC, repo_id) AS INTEGER) AS rank
         FROM daily WHERE commit_date BETWEEN DATE '2000-01-01' AND DATE '2001-08-01' GROUP BY 1, 2, 3, 4)
     WHERE rank <= 10"""
 

@@ -45,7 +45,7 @@ def repository_listing(
         [F.desc("updated_at"), F.asc("repo_id")],
         page,
         per_page,
-        blocks=[(F.to_date("updated_at"), False), (_id_block("repo_id"), True)],
+        levels=[(F.to_date("updated_at"), False), (F.col("updated_at"), False), (_id_block("repo_id"), True)],
     )
     return (
         listed.join(repo_counts(commits, "commit_count"), "repo_id", "left")
@@ -64,7 +64,7 @@ def sync_history(
         [F.desc("created_at"), F.asc("job_id")],
         page,
         per_page,
-        blocks=[(F.to_date("created_at"), False), (_id_block("job_id"), True)],
+        levels=[(F.to_date("created_at"), False), (F.col("created_at"), False), (_id_block("job_id"), True)],
     )
     return listed.join(repos.select("repo_id", F.col("full_name").alias("repo_full_name")), "repo_id", "left")
 

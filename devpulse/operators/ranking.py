@@ -27,24 +27,24 @@ def paginate(
     page: int = 1,
     per_page: int = 20,
     by: str = "user_id",
-    blocks: list[tuple[Column, bool]] | None = None,
+    levels: list[tuple[Column, bool]] | None = None,
 ) -> DataFrame:
     """One page of every group plus ``total`` and ``total_pages``.
 
-    ``blocks`` are coarse versions of the leading sort keys as ``(column,
-    ascending)``, for instance the day of a timestamp followed by a range of
-    ids.  They are used for pages deeper than the partial group limit: counting
-    rows per block tells which blocks the page overlaps, and only those are
-    sorted, each on its own.
+    ``levels`` refine the sort order step by step as ``(column, ascending)``,
+    for instance the day of a timestamp, the timestamp, a range of ids.  They
+    are used for pages deeper than the partial group limit: counting rows per
+    value of a level tells which values the page overlaps, only their rows go on
+    to the next level, and the last ones are sorted, each value on its own.
     """
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page within 1..100")
     first, last = (page - 1) * per_page, page * per_page
     totals = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    if last <= GROUP_LIMIT or not blocks:
+    if last <= GROUP_LIMIT or not levels:
         rows = top_k(df, [by], order, last, "position").filter(F.col("position") > first)
     else:
-        rows = _deep_page(df, order, first, last, by, blocks)
+        rows = _deep_page(df, order, first, last, by, levels)
     return (
         rows.join(totals, by)
         .withColumn("page", F.lit(page))
@@ -54,29 +54,33 @@ def paginate(
 
 
 def _deep_page(
-    df: DataFrame, order: list[Column], first: int, last: int, by: str, blocks: list[tuple[Column, bool]]
+    df: DataFrame, order: list[Column], first: int, last: int, by: str, levels: list[tuple[Column, bool]]
 ) -> DataFrame:
-    names = [f"_block{i}" for i in range(len(blocks))]
-    blocked = df.withColumns({n: c for n, (c, _) in zip(names, blocks)})
-    keys = [by, *names]
-    counts = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    running = (
-        Window.partitionBy(by)
-        .orderBy(*[F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_last() for n, (_, asc) in zip(names, blocks)])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    overlapping = (
-        counts.withColumn("_before", F.sum("_n").over(running) - F.col("_n"))
-        .filter((F.col("_before") < last) & (F.col("_before") + F.col("_n") > first))
-        .drop("_n")
-    )
-    # null-safe keys: a block may be NULL when the sort key is
-    left, right = blocked.alias("l"), overlapping.alias("r")
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    names = [f"_level{i}" for i in range(len(levels))]
+    rows = df.withColumns({n: c for n, (c, _) in zip(names, levels)}).withColumn("_before", F.lit(0).cast("long"))
+    keys = [by]
+    for name, (_, ascending) in zip(names, levels):
+        step = F.col(name).asc() if ascending else F.col(name).desc()
+        running = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        keys = [*keys, name]
+        starts = F.col("_outer") + F.sum("_n").over(running) - F.col("_n")
+        overlapping = (
+            rows.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_outer"))
+            .withColumn("_start", starts)
+            .filter((F.col("_start") < last) & (F.col("_start") + F.col("_n") > first))
+        )
+        rows = _rows_of(rows.drop("_before"), overlapping.withColumnRenamed("_start", "_before"), keys)
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + F.col("_before")
     return (
-        left.join(right, on)
-        .select("l.*", "r._before")
-        .withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + F.col("_before"))
+        rows.withColumn("position", position.cast("int"))
         .filter((F.col("position") > first) & (F.col("position") <= last))
         .drop(*names, "_before")
     )
+
+
+def _rows_of(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with a chosen key and its ``_before``; a key may be NULL."""
+    left, right = rows.alias("l"), chosen.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    return left.join(right, same).select("l.*", "r._before")
