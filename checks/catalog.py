@@ -950,9 +950,7 @@ def _(t):
 
 def _base_and_batch(t: TestTables) -> tuple[DataFrame, DataFrame]:
     """Closed and open orders are stored; open and pending ones arrive, open ones twice."""
-    rows = t.commits().withColumn("raw_data", F.lit("stored")).join(
-        t.orders().select(F.col("o_orderkey").alias("commit_id"), "o_orderstatus"), "commit_id"
-    )
+    rows = t.commits(False, "o_orderstatus").withColumn("raw_data", F.lit("stored"))
     base = rows.filter(F.col("o_orderstatus").isin("F", "O")).drop("o_orderstatus")
     arriving = rows.filter(F.col("o_orderstatus").isin("O", "P"))
 

@@ -65,7 +65,9 @@ def trend_maps(trends: DataFrame, entries: int = 1000) -> DataFrame:
     by tag hash, ``part`` 0, 1, ..., so no map outgrows a row and none is cut.
     """
     keys = ["user_id", "period_start"]
-    sizes = trends.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(entries)).alias("_parts"))
+    # counting `count` keeps both branches on the same columns, so that they
+    # share one shuffle of the counted tags
+    sizes = trends.groupBy(*keys).agg(F.ceil(F.count("count") / F.lit(entries)).alias("_parts"))
     return (
         trends.join(sizes, keys)
         .withColumn("part", F.pmod(F.xxhash64("tag"), F.col("_parts")))

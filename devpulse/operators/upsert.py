@@ -80,10 +80,26 @@ def new_rows(incoming: DataFrame, hits: DataFrame, spec: UpsertSpec) -> DataFram
 
 
 def upsert(base: DataFrame, batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
-    """The table after the batch; nothing is written."""
-    incoming = collapse_batch(batch, spec, order)
-    inserts = new_rows(incoming, matched_keys(base, incoming, spec), spec)
-    return updated_rows(base, incoming, spec).unionByName(inserts, allowMissingColumns=True)
+    """The table after the batch; nothing is written.
+
+    One full outer join on the key: each side is shuffled once and the batch is
+    collapsed once.  For a small batch against a large stored table use
+    `plans.incremental.merge_monthly`, which leaves most of the table alone.
+    """
+    incoming = collapse_batch(batch, spec, order).select(
+        *spec.keys, F.struct(*[c for c in spec.columns if c not in spec.keys]).alias("_new")
+    )
+    stored = base.withColumn("_stored", F.lit(True))
+
+    def value(name: str) -> Column:
+        if name in spec.keys:
+            return F.col(name)
+        old, new = F.col(name), F.col(f"_new.{name}") if name in spec.columns else F.lit(None)
+        if name in spec.updated:
+            return F.when(F.col("_new").isNotNull(), new).otherwise(old).alias(name)
+        return F.when(F.col("_stored"), old).otherwise(new).alias(name)
+
+    return stored.join(incoming, spec.keys, "full_outer").select(*[value(c) for c in base.columns])
 
 
 def upsert_commits(base: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -96,20 +112,21 @@ def upsert_pull_requests(base: DataFrame, batch: DataFrame, order: str = "seq")
     return upsert(base, batch, PULL_REQUESTS, order)
 
 
+def _patched(document: str, key: str, value: str) -> Column:
+    """The JSON document with one key set to JSON text ``value``, the others kept."""
+    current = F.coalesce(F.from_json(document, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    others = F.map_filter(current, lambda k, v: k != key)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json(value))))
+
+
 def patch_json(df: DataFrame, patches: DataFrame, on: str, document: str, key: str, order: str = "seq") -> DataFrame:
     """Set one key of a JSON document column and keep all its other keys.
 
     ``patches`` has ``on``, ``value`` (JSON text) and an order; the last wins.
     """
     latest = patches.groupBy(on).agg(F.max_by("value", order).alias("_value"))
-    current = F.coalesce(F.from_json(document, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    others = F.map_filter(current, lambda k, v: k != key)
-    patched = F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json("_value"))))
-    return (
-        df.join(latest, on, "left")
-        .withColumn(document, F.when(F.col("_value").isNotNull(), patched).otherwise(F.col(document)))
-        .select(*df.columns)
-    )
+    patched = F.when(F.col("_value").isNotNull(), _patched(document, key, "_value")).otherwise(F.col(document))
+    return df.join(latest, on, "left").withColumn(document, patched).select(*df.columns)
 
 
 def apply_languages(repos: DataFrame, languages: DataFrame) -> DataFrame:
@@ -117,13 +134,17 @@ def apply_languages(repos: DataFrame, languages: DataFrame) -> DataFrame:
 
     ``languages`` holds ``(repo_id, seq, bytes map<string,bigint>)``.
     """
-    known = languages.filter(F.size("bytes") > 0)
-    patched = patch_json(
-        repos, known.select("repo_id", "seq", F.to_json("bytes").alias("value")), "repo_id", "repo_metadata", "languages"
+    latest = (
+        languages.filter(F.size("bytes") > 0)
+        .groupBy("repo_id")
+        .agg(F.max_by("bytes", "seq").alias("bytes"))
+        .select("repo_id", F.to_json("bytes").alias("_value"), primary_language("bytes").alias("_primary"))
     )
-    primary = known.groupBy("repo_id").agg(F.max_by(primary_language("bytes"), "seq").alias("_primary"))
+    known = F.col("_value").isNotNull()
+    document = "repo_metadata"
     return (
-        patched.join(primary, "repo_id", "left")
+        repos.join(latest, "repo_id", "left")
         .withColumn("primary_language", F.coalesce("_primary", "primary_language"))
+        .withColumn(document, F.when(known, _patched(document, "languages", "_value")).otherwise(F.col(document)))
         .select(*repos.columns)
     )

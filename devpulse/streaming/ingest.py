@@ -38,8 +38,7 @@ def ingest_commits(
         parsed, undated = parse_commits(batch)
         inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
         if quarantine:
-            _keep(undated, f"{quarantine}/undated", batch_id)
-            _keep(outside, f"{quarantine}/out_of_range", batch_id)
+            _keep({"undated": undated, "out_of_range": outside}, quarantine, batch_id)
         merged = merge_monthly(spark, commits_path, inside, COMMITS)
         refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
         merged.release()
@@ -62,16 +61,16 @@ def ingest_pull_requests(
         parsed, unusable = parse_pull_requests(batch)
         inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
         if quarantine:
-            _keep(unusable, f"{quarantine}/unusable", batch_id)
-            _keep(outside, f"{quarantine}/out_of_range", batch_id)
+            _keep({"unusable": unusable, "out_of_range": outside}, quarantine, batch_id)
         merge_monthly(spark, prs_path, inside, PULL_REQUESTS).release()
 
     return _start(_landed(spark, landing, PULL_REQUEST_PAYLOAD, max_files), take_in, checkpoint)
 
 
-def _keep(rows: DataFrame, path: str, batch_id: int) -> None:
+def _keep(rejects: dict[str, DataFrame], path: str, batch_id: int) -> None:
     """A replayed batch replaces its own rejects."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for reason, rows in rejects.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{reason}/batch={batch_id}")
 
 
 def _landed(spark: SparkSession, landing: str, payload: StructType, max_files: int | None) -> DataFrame:

@@ -75,9 +75,10 @@ class TestTables:
     def orders(self) -> DataFrame:
         return self.read("orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
 
-    def commits(self, with_files: bool = False) -> DataFrame:
+    def commits(self, with_files: bool = False, *extra: str) -> DataFrame:
         additions = F.floor("o_totalprice")
         commits = self.orders().select(
+            *extra,
             F.col("o_orderkey").alias("commit_id"),
             F.col("o_custkey").alias("repo_id"),
             F.md5(F.col("o_orderkey").cast("string")).alias("github_commit_sha"),
