@@ -35,25 +35,37 @@ def commit_counts_by_day(commits: DataFrame) -> DataFrame:
     )
 
 
-def daily_commit_stats(commits: DataFrame, repos: DataFrame) -> DataFrame:
-    """A1: commits and line counts per day and repository, active or not."""
+def tag_counts_by_week(analyses: DataFrame) -> DataFrame:
+    """The fact side of A2: one row per (week, repository, tag)."""
+    tags = analyses.select(
+        bucket(F.to_date("analyzed_at"), "weekly").alias("week_start"),
+        "repo_id",
+        F.explode("tech_tags").alias("tech_tag"),
+    )
+    return tags.groupBy("week_start", "repo_id", "tech_tag").agg(F.count(F.lit(1)).alias("tag_count"))
+
+
+def category_counts_by_day(analyses: DataFrame) -> DataFrame:
+    """The fact side of A3: one row per (day, repository, category)."""
     return (
-        commit_counts_by_day(commits)
-        .join(repos.select("repo_id", "user_id", "full_name", "primary_language"), "repo_id")
-        .select(
-            "commit_date",
-            "repo_id",
-            "user_id",
-            "full_name",
-            "primary_language",
-            "commit_count",
-            "total_additions",
-            "total_deletions",
-            "total_changed_files",
-        )
+        analyses.filter(F.col("work_category").isNotNull())
+        .groupBy(F.to_date("analyzed_at").alias("analysis_date"), "repo_id", "work_category")
+        .agg(F.count("analysis_id").alias("category_count"))
     )
 
 
+def with_owner(counts: DataFrame, repos: DataFrame, *attributes: str) -> DataFrame:
+    """Attach the user, and further attributes, of each repository."""
+    owned = counts.join(repos.select("repo_id", "user_id", *attributes), "repo_id")
+    first, *measures = [c for c in counts.columns if c != "repo_id"]
+    return owned.select(first, "repo_id", "user_id", *attributes, *measures)
+
+
+def daily_commit_stats(commits: DataFrame, repos: DataFrame) -> DataFrame:
+    """A1: commits and line counts per day and repository, active or not."""
+    return with_owner(commit_counts_by_day(commits), repos, "full_name", "primary_language")
+
+
 def weekly_tech_trends(
     analyses: DataFrame, repos: DataFrame, source_types: list[str] | None = None
 ) -> DataFrame:
@@ -62,31 +74,14 @@ def weekly_tech_trends(
     A tag repeated within one analysis counts each time; all source types count
     unless ``source_types`` narrows them.
     """
-    tags = in_list(analyses, "source_type", source_types).select(
-        bucket(F.to_date("analyzed_at"), "weekly").alias("week_start"),
-        "repo_id",
-        F.explode("tech_tags").alias("tech_tag"),
-    )
-    return (
-        tags.groupBy("week_start", "repo_id", "tech_tag")
-        .agg(F.count(F.lit(1)).alias("tag_count"))
-        .join(repos.select("repo_id", "user_id"), "repo_id")
-        .select("week_start", "repo_id", "user_id", "tech_tag", "tag_count")
-    )
+    return with_owner(tag_counts_by_week(in_list(analyses, "source_type", source_types)), repos)
 
 
 def work_category_stats(
     analyses: DataFrame, repos: DataFrame, source_types: list[str] | None = None
 ) -> DataFrame:
     """A3: analyses per day, repository and work category."""
-    return (
-        in_list(analyses, "source_type", source_types)
-        .filter(F.col("work_category").isNotNull())
-        .groupBy(F.to_date("analyzed_at").alias("analysis_date"), "repo_id", "work_category")
-        .agg(F.count("analysis_id").alias("category_count"))
-        .join(repos.select("repo_id", "user_id"), "repo_id")
-        .select("analysis_date", "repo_id", "user_id", "work_category", "category_count")
-    )
+    return with_owner(category_counts_by_day(in_list(analyses, "source_type", source_types)), repos)
 
 
 def hourly_activity(commits: DataFrame, pull_requests: DataFrame, repos: DataFrame) -> DataFrame:

@@ -84,24 +84,11 @@ def refresh_daily_stats(
     """
     keys = touched.select(F.to_date("committed_at").alias("commit_date"), "repo_id").distinct()
     months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("commit_date")))
-    if not months:
-        return
-    commits = (
-        spark.read.parquet(commits_path)
-        .filter(F.col(MONTH_COLUMN).isin(months))
-        .withColumn("commit_date", F.to_date("committed_at"))
-        .join(keys, ["commit_date", "repo_id"], "left_semi")
-    )
-    fresh = rollups.daily_commit_stats(commits, repos)
-    if files.exists(spark, rollup_path):
-        untouched = (
-            spark.read.parquet(rollup_path)
-            .filter(F.col(MONTH_COLUMN).isin(months))
-            .drop(MONTH_COLUMN)
-            .join(keys, ["commit_date", "repo_id"], "left_anti")
-        )
-        fresh = untouched.unionByName(fresh)
-    write_monthly(fresh, "commit_date", rollup_path, mode="overwrite", sort_by=("user_id",))
+    if months:
+        commits = spark.read.parquet(commits_path).filter(F.col(MONTH_COLUMN).isin(months))
+        fresh = _touched_counts(rollups.commit_counts_by_day(commits), keys)
+        rows = rollups.with_owner(fresh, repos, "full_name", "primary_language")
+        _replace_keys(spark, rollup_path, rows, keys, months)
 
 
 def refresh_analysis_rollup(
@@ -112,30 +99,35 @@ def refresh_analysis_rollup(
     ``touched`` holds ``repo_id, analyzed_at`` of new analyses.  A week can reach
     into the next month, so source months are widened to whole weeks.
     """
-    day = {"weekly_tech_trends": "week_start", "work_category_stats": "analysis_date"}[name]
-    build = {"weekly_tech_trends": rollups.weekly_tech_trends, "work_category_stats": rollups.work_category_stats}[name]
-    start = F.to_date("analyzed_at")
-    if day == "week_start":
-        start = F.trunc(start, "week")
+    weekly = {"weekly_tech_trends": True, "work_category_stats": False}[name]
+    analyzed = F.to_date("analyzed_at")
+    if weekly:
+        day, start, count = "week_start", F.trunc(analyzed, "week"), rollups.tag_counts_by_week
+    else:
+        day, start, count = "analysis_date", analyzed, rollups.category_counts_by_day
     keys = touched.select(start.alias(day), "repo_id").distinct()
-    target_months = _months_in(keys.withColumn(MONTH_COLUMN, month_of(day)))
-    if not target_months:
-        return
-    last = F.date_add(day, 6) if day == "week_start" else F.col(day)
-    source_months = sorted({*target_months, *_months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))})
-    analyses = (
-        spark.read.parquet(analyses_path)
-        .filter(F.col(MONTH_COLUMN).isin(source_months))
-        .withColumn(day, start)
-        .join(keys, [day, "repo_id"], "left_semi")
-    )
-    fresh = build(analyses.drop(day), repos)
-    if files.exists(spark, rollup_path):
-        untouched = (
-            spark.read.parquet(rollup_path)
-            .filter(F.col(MONTH_COLUMN).isin(target_months))
-            .drop(MONTH_COLUMN)
-            .join(keys, [day, "repo_id"], "left_anti")
-        )
-        fresh = untouched.unionByName(fresh)
-    write_monthly(fresh, day, rollup_path, mode="overwrite", sort_by=("user_id",))
+    months = _months_in(keys.withColumn(MONTH_COLUMN, month_of(day)))
+    if months:
+        last = F.date_add(day, 6 if weekly else 0)
+        sources = {*months, *_months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))}
+        analyses = spark.read.parquet(analyses_path).filter(F.col(MONTH_COLUMN).isin(sorted(sources)))
+        rows = rollups.with_owner(_touched_counts(count(analyses), keys), repos)
+        _replace_keys(spark, rollup_path, rows, keys, months)
+
+
+def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The counts of the touched keys.
+
+    Written after the aggregation, so a busy key is reduced on the map side
+    before it is shuffled.  When the key list is small enough to broadcast,
+    Spark moves this join below the aggregation and filters the scan with it.
+    """
+    return counts.join(keys, keys.columns, "left_semi")
+
+
+def _replace_keys(spark: SparkSession, path: str, fresh: DataFrame, keys: DataFrame, months: list[str]) -> None:
+    """Replace the rows of the given keys in the given months of a rollup."""
+    if files.exists(spark, path):
+        stored = spark.read.parquet(path).filter(F.col(MONTH_COLUMN).isin(months)).drop(MONTH_COLUMN)
+        fresh = stored.join(keys, keys.columns, "left_anti").unionByName(fresh)
+    write_monthly(fresh, keys.columns[0], path, mode="overwrite", sort_by=("user_id",))

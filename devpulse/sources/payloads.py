@@ -28,10 +28,16 @@ SEARCHED_DIRS = 10
 
 
 def typed_payload(df: DataFrame, schema: T.DataType) -> DataFrame:
-    """Parse ``payload`` if it is still JSON text; unreadable text gives NULLs."""
-    if isinstance(df.schema["payload"].dataType, T.StringType):
-        return df.withColumn("payload", F.from_json("payload", schema))
-    return df
+    """Parse ``payload`` if it is still JSON text; unreadable text gives NULLs.
+
+    The parsed record is generated as a row of its own.  A plain projection
+    would be inlined into every filter and field access, and parse the text
+    again in each of them.
+    """
+    if not isinstance(df.schema["payload"].dataType, T.StringType):
+        return df
+    others = [c for c in df.columns if c != "payload"]
+    return df.select(*others, F.explode(F.array(F.from_json("payload", schema))).alias("payload"))
 
 
 def _zero(c: Column) -> Column:
