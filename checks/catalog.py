@@ -7,7 +7,7 @@ sides compare as plain values.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from checks.prelude import lookup, pct1, pct_change1, round1, with_views
 from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_diff, truncate_diff
 from devpulse.functions.exprs import round1 as round1_expr
-from devpulse.functions.timeops import preset_start
-from devpulse.operators import backlog, jobs, listings, present, quality, rollups, summaries, upsert, widgets
-from devpulse.plans import incremental, refresh
+from devpulse.functions.timeops import first_of_month, period_filter, preset_start, resolve_window
+from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
+from devpulse.plans import files, incremental, refresh
 from devpulse.schemas import CATEGORY_COLORS, DEFAULT_COLOR, HEAT_COLORS, LANGUAGE_COLORS, MONTH_NARRATIVE, WEEK_HIGHLIGHT
 from devpulse.session import scratch_dir
 from devpulse.sources import discovery, payloads, tables
@@ -93,8 +93,12 @@ def _(t):
 # --- Widgets --------------------------------------------------------------------
 
 
-def _daily(t: TestTables) -> DataFrame:
-    return rollups.daily_commit_stats(t.commits(), t.repositories())
+def _daily(t: TestTables, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The daily rollup, of the days a query needs if it says which."""
+    commits = t.commits()
+    if start and end:
+        commits = period_filter(commits, "committed_at", start, end + timedelta(days=1))
+    return rollups.daily_commit_stats(commits, t.repositories())
 
 
 def _event_daily(t: TestTables) -> DataFrame:
@@ -112,17 +116,18 @@ def _activity_sql(bucket: str, lo: str, hi: str) -> str:
 
 @query("commit_activity_daily", _activity_sql("commit_date", "2001-05-03", "2001-08-01"))
 def _(t):
-    return widgets.commit_activity(_daily(t), ORDERS_AS_OF)
+    return widgets.commit_activity(_daily(t, *resolve_window(ORDERS_AS_OF)), ORDERS_AS_OF)
 
 
 @query("commit_activity_weekly", _activity_sql("date_trunc('week', commit_date)", "2001-05-03", "2001-08-01"))
 def _(t):
-    return widgets.commit_activity(_daily(t), ORDERS_AS_OF, "weekly")
+    return widgets.commit_activity(_daily(t, *resolve_window(ORDERS_AS_OF)), ORDERS_AS_OF, "weekly")
 
 
 @query("commit_activity_monthly", _activity_sql("date_trunc('month', commit_date)", "1996-01-15", "2001-07-10"))
 def _(t):
-    return widgets.commit_activity(_daily(t), ORDERS_AS_OF, "monthly", date(1996, 1, 15), date(2001, 7, 10))
+    window = date(1996, 1, 15), date(2001, 7, 10)
+    return widgets.commit_activity(_daily(t, *window), ORDERS_AS_OF, "monthly", *window)
 
 
 @query(
@@ -158,7 +163,8 @@ _TOP_REPOS = """
 
 
 def _top_repos(t: TestTables) -> DataFrame:
-    return widgets.repo_breakdown(_daily(t), ORDERS_AS_OF, date(2000, 1, 1))
+    start = date(2000, 1, 1)
+    return widgets.repo_breakdown(_daily(t, start, ORDERS_AS_OF), ORDERS_AS_OF, start)
 
 
 @query(
@@ -288,7 +294,7 @@ def _months_sql(source: str) -> str:
         FROM ({_months_sql("(SELECT * FROM daily WHERE commit_date BETWEEN DATE '2001-06-01' AND DATE '2001-07-20')")})""",
 )
 def _(t):
-    return widgets.month_over_month(_daily(t), MONTH_AS_OF)
+    return widgets.month_over_month(_daily(t, first_of_month(MONTH_AS_OF, 1), MONTH_AS_OF), MONTH_AS_OF)
 
 
 def _streak_sql(source: str, as_of: str) -> str:
@@ -645,6 +651,16 @@ def _(t):
     )
 
 
+@query(
+    "sync_history_totals",
+    """SELECT u.user_id, count(job_id) AS total, CAST(ceil(count(job_id) / 15) AS BIGINT) AS total_pages
+       FROM users u LEFT JOIN sync_jobs j ON j.user_id = u.user_id AND status = 'failed' GROUP BY 1""",
+)
+def _(t):
+    failed = t.sync_jobs().filter(F.col("status") == "failed")
+    return ranking.page_totals(failed, 15, groups=t.users())
+
+
 @query(
     "sync_history_page",
     f"""SELECT p.user_id, job_id, p.repo_id, full_name AS repo_full_name, status, items_fetched, created_at, position, total
@@ -1244,6 +1260,7 @@ def _(t):
         merged = incremental.merge_monthly(t.spark, f"{root}/commits", rows, upsert.COMMITS)
         incremental.refresh_daily_stats(t.spark, f"{root}/commits", f"{root}/daily", repos, merged.touched)
         merged.release()
+    files.delete(t.spark, f"{root}/commits")
     stored = t.spark.read.parquet(f"{root}/daily")
     return stored.select("commit_date", "repo_id", "user_id", "commit_count", "total_additions")
 
@@ -1270,6 +1287,8 @@ def _(t):
         quarantine=f"{root}/quarantine",
     )
     run.awaitTermination()
+    for done in ("landing", "commits", "quarantine"):
+        files.delete(t.spark, f"{root}/{done}")
     return t.spark.read.parquet(f"{root}/daily").drop("year_month", "full_name", "primary_language")
 
 
@@ -1284,7 +1303,7 @@ def _(t):
     stream = TestTables(t.spark, t.dir)
     # a glob, because a file source takes no single file as its path
     stream.read = lambda name: (
-        t.spark.readStream.schema(t.read(name).schema).parquet(f"{t.dir}/{name}.parque[t]")
+        t.spark.readStream.schema(t.schema(name)).parquet(f"{t.dir}/{name}.parque[t]")
     )
     counts = live.daily_counts(stream.event_commits())
     live.write_updates(counts, f"{root}/updates", f"{root}/checkpoint").awaitTermination()

@@ -21,6 +21,22 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, position).filter(F.col(rank) <= k)
 
 
+def page_totals(df: DataFrame, per_page: int = 20, by: str = "user_id", groups: DataFrame | None = None) -> DataFrame:
+    """Rows and pages per group; 0 for listed ``groups`` without any row.
+
+    This is what a page past the end still reports.
+    """
+    totals = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    if groups is not None:
+        totals = (
+            groups.select(by)
+            .distinct()
+            .join(totals, by, "left")
+            .select(by, F.coalesce("total", F.lit(0)).alias("total"))
+        )
+    return totals.withColumn("total_pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
+
+
 def paginate(
     df: DataFrame,
     order: list[Column],
@@ -40,16 +56,14 @@ def paginate(
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page within 1..100")
     first, last = (page - 1) * per_page, page * per_page
-    totals = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
     if last <= GROUP_LIMIT or not levels:
         rows = top_k(df, [by], order, last, "position").filter(F.col("position") > first)
     else:
         rows = _deep_page(df, order, first, last, by, levels)
     return (
-        rows.join(totals, by)
+        rows.join(page_totals(df, per_page, by), by)
         .withColumn("page", F.lit(page))
         .withColumn("per_page", F.lit(per_page))
-        .withColumn("total_pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
     )
 
 

@@ -15,7 +15,7 @@ from devpulse.functions.exprs import lookup, pct1, pct_change1
 from devpulse.functions.timeops import bucket, date_window, first_of_month
 from devpulse.operators.filters import active, for_user, in_list
 from devpulse.operators.ranking import top_k
-from devpulse.schemas import DEFAULT_COLOR, LANGUAGE_COLORS
+from devpulse.schemas import DEFAULT_COLOR, LANGUAGE_COLORS, UNKNOWN_LANGUAGE
 
 
 def _user_total(column: str) -> Column:
@@ -53,6 +53,7 @@ def language_breakdown(repos: DataFrame, user_id: int | None = None) -> DataFram
     return (
         language_counts(repos, user_id)
         .withColumn("percentage", pct1("repo_count", _user_total("repo_count")))
+        .withColumn("language", F.coalesce(F.nullif("language", F.lit("")), F.lit(UNKNOWN_LANGUAGE)))
         .withColumn("color", lookup("language", LANGUAGE_COLORS, DEFAULT_COLOR))
     )
 

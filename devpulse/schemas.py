@@ -252,6 +252,7 @@ LANGUAGE_COLORS = {
     "Jupyter Notebook": "#DA5B0B",
 }
 DEFAULT_COLOR = "#8b8b8b"
+UNKNOWN_LANGUAGE = "Unknown"
 
 CATEGORY_COLORS = {
     "feature": "#3fb950",

@@ -38,8 +38,10 @@ def ingest_commits(
         parsed, undated = parse_commits(batch)
         inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
         if quarantine:
+            batch.persist()  # the files are parsed once for all three outputs
             _keep({"undated": undated, "out_of_range": outside}, quarantine, batch_id)
         merged = merge_monthly(spark, commits_path, inside, COMMITS)
+        batch.unpersist()
         refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
         merged.release()
 
@@ -61,8 +63,10 @@ def ingest_pull_requests(
         parsed, unusable = parse_pull_requests(batch)
         inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
         if quarantine:
+            batch.persist()
             _keep({"unusable": unusable, "out_of_range": outside}, quarantine, batch_id)
         merge_monthly(spark, prs_path, inside, PULL_REQUESTS).release()
+        batch.unpersist()
 
     return _start(_landed(spark, landing, PULL_REQUEST_PAYLOAD, max_files), take_in, checkpoint)
 

@@ -49,6 +49,8 @@ def test_totals_and_page_past_the_end(spark):
     assert [(r.total, r.total_pages) for r in last] == [(41, 3)]
     assert ranking.paginate(df, order(), 4, 20).count() == 0
     assert ranking.paginate(df.limit(0), order()).count() == 0
+    groups = spark.createDataFrame([(0,), (9,)], "user_id long")
+    assert rows(ranking.page_totals(df, 20, groups=groups)) == [(0, 41, 3), (9, 0, 0)]
 
 
 @pytest.mark.parametrize(("page", "per_page"), [(0, 10), (1, 0), (1, 101)])

@@ -101,6 +101,15 @@ def test_language_share_and_top_language(spark, repos):
     assert rows(widgets.top_language(repos)) == [(1, "Go")]
 
 
+def test_empty_language_is_unknown(spark):
+    repos = spark.createDataFrame(
+        [(1, 1, "", True), (2, 1, "Zig", True), (3, 1, None, True)],
+        "repo_id long, user_id long, primary_language string, is_active boolean",
+    )
+    got = rows(widgets.language_breakdown(repos), "language", "percentage", "color")
+    assert got == [("Unknown", 50.0, "#8b8b8b"), ("Zig", 50.0, "#ec915c")]
+
+
 def test_stats_cover_users_without_data(spark, repos):
     users = spark.createDataFrame([(1,), (2,), (9,)], "user_id long")
     got = rows(
