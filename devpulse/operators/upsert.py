@@ -1,4 +1,4 @@
-"""Upserts as joins.
+"""Upserts (S9-S11, W5, J9).
 
 Within a batch the first occurrence of a key supplies the insert-only fields and
 the last one the updated fields.  That is two ordered aggregates, combined on
@@ -7,7 +7,7 @@ the map side, so any number of copies of one key costs one row per map task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,24 +82,20 @@ def new_rows(incoming: DataFrame, hits: DataFrame, spec: UpsertSpec) -> DataFram
 def upsert(base: DataFrame, batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
     """The table after the batch; nothing is written.
 
-    One full outer join on the key: each side is shuffled once and the batch is
-    collapsed once.  For a small batch against a large stored table use
-    `plans.incremental.merge_monthly`, which leaves most of the table alone.
+    A stored row is the earliest record of its key, so collapsing the union of
+    table and batch is the upsert: the first record supplies the kept fields,
+    the last one the updated ones.  One shuffle, no join, and any number of
+    copies of a key is combined before it.  For a small batch against a large
+    stored table use `plans.incremental.merge_monthly`, which leaves most of the
+    table alone.
     """
-    incoming = collapse_batch(batch, spec, order).select(
-        *spec.keys, F.struct(*[c for c in spec.columns if c not in spec.keys]).alias("_new")
+    kept = [c for c in base.columns if c not in (*spec.keys, *spec.updated)]
+    stored_first = F.lit(-(2**63)).cast("long")
+    records = base.withColumn(order, stored_first).unionByName(
+        batch.withColumn(order, F.col(order).cast("long")), allowMissingColumns=True
     )
-    stored = base.withColumn("_stored", F.lit(True))
-
-    def value(name: str) -> Column:
-        if name in spec.keys:
-            return F.col(name)
-        old, new = F.col(name), F.col(f"_new.{name}") if name in spec.columns else F.lit(None)
-        if name in spec.updated:
-            return F.when(F.col("_new").isNotNull(), new).otherwise(old).alias(name)
-        return F.when(F.col("_stored"), old).otherwise(new).alias(name)
-
-    return stored.join(incoming, spec.keys, "full_outer").select(*[value(c) for c in base.columns])
+    whole = replace(spec, kept=kept)
+    return collapse_batch(records, whole, order).select(*base.columns)
 
 
 def upsert_commits(base: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
