@@ -1226,18 +1226,11 @@ def _(t):
 def _(t):
     root = scratch_dir(t.spark, "rollups")
 
-    def categories() -> DataFrame:
-        return rollups.work_category_stats(t.analyses(), t.repositories())
-
-    refresh.create_rollup(t.spark, root, "work_category_stats", categories().limit(0))
-    report = refresh.refresh_rollups(
-        t.spark,
-        root,
-        {
-            "work_category_stats": categories,
-            "weekly_tech_trends": lambda: rollups.weekly_tech_trends(t.analyses(), t.repositories()),
-        },
-    )
+    builds = refresh.definitions(t.event_commits(), t.event_pull_requests(), t.analyses(), t.repositories())
+    # an outdated version without the generated summaries, then a refresh
+    outdated = rollups.work_category_stats(t.analyses(), t.repositories(), source_types=["commit"])
+    refresh.create_rollup(t.spark, root, "work_category_stats", outdated)
+    report = refresh.refresh_rollups(t.spark, root, builds, ["work_category_stats", "weekly_tech_trends"])
     rows = refresh.read_rollup(t.spark, root, "work_category_stats").agg(F.count(F.lit(1)).alias("rows"))
     rows = rows.withColumn("name", F.lit("work_category_stats"))
     return report.join(rows, "name", "left").select("name", "status", F.coalesce("rows", F.lit(0)).alias("rows"))

@@ -1 +1,5 @@
-"""DataFrame-to-DataFrame operators; none of them runs a Spark action."""
+"""DataFrame-to-DataFrame operators.
+
+They run no Spark action, except `jobs.require_targets`, whose point is to fail
+on an empty result.
+"""

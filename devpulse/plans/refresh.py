@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from devpulse.operators import rollups
 from devpulse.plans import files
 
 log = logging.getLogger(__name__)
@@ -58,6 +59,18 @@ def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame) -> N
         files.delete(spark, f"{base}/{old}")
 
 
+def definitions(
+    commits: DataFrame, pull_requests: DataFrame, analyses: DataFrame, repos: DataFrame
+) -> dict[str, Callable[[], DataFrame]]:
+    """How each rollup is built from the stored tables."""
+    return {
+        "daily_commit_stats": lambda: rollups.daily_commit_stats(commits, repos),
+        "weekly_tech_trends": lambda: rollups.weekly_tech_trends(analyses, repos),
+        "work_category_stats": lambda: rollups.work_category_stats(analyses, repos),
+        "hourly_activity": lambda: rollups.hourly_activity(commits, pull_requests, repos),
+    }
+
+
 def refresh_rollups(
     spark: SparkSession,
     root: str,
