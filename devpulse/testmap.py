@@ -24,16 +24,19 @@ class TestTables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._schemas: dict[str, T.StructType] = {}
 
     def schema(self, name: str) -> T.StructType:
         """The stored columns, with plain timestamps read as instants.
 
         Casting the column instead would keep time filters from the scan.
         """
-        fields = self.spark.read.parquet(f"{self.dir}/{name}.parquet").schema
-        return T.StructType(
-            [T.StructField(f.name, T.TimestampType()) if f.dataType == T.TimestampNTZType() else f for f in fields]
-        )
+        if name not in self._schemas:
+            fields = self.spark.read.parquet(f"{self.dir}/{name}.parquet").schema
+            self._schemas[name] = T.StructType(
+                [T.StructField(f.name, T.TimestampType()) if f.dataType == T.TimestampNTZType() else f for f in fields]
+            )
+        return self._schemas[name]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(self.schema(name)).parquet(f"{self.dir}/{name}.parquet")
