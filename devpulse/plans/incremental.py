@@ -91,6 +91,26 @@ def refresh_daily_stats(
         _replace_keys(spark, rollup_path, rows, keys, months)
 
 
+def refresh_renamed(spark: SparkSession, commits_path: str, rollup_path: str, repos: DataFrame) -> None:
+    """Bring rows up to date whose repository changed name, language or owner.
+
+    The daily rollup carries these attributes, and a full rebuild would pick the
+    new ones up; here only the days of such repositories are recomputed.
+    """
+    attributes = ["user_id", "full_name", "primary_language"]
+    now = repos.select("repo_id", F.struct(*attributes).alias("_now"))
+    stale = (
+        spark.read.parquet(rollup_path)
+        .select("repo_id", F.col("commit_date").cast("timestamp").alias("committed_at"), F.struct(*attributes).alias("_then"))
+        .join(now, "repo_id")
+        .filter(~F.col("_now").eqNullSafe(F.col("_then")))
+        .select("repo_id", "committed_at")
+    )
+    touched, path = files.staged(stale, "renamed")
+    refresh_daily_stats(spark, commits_path, rollup_path, repos, touched)
+    files.delete(spark, path)
+
+
 def refresh_analysis_rollup(
     spark: SparkSession, name: str, analyses_path: str, rollup_path: str, repos: DataFrame, touched: DataFrame
 ) -> None:

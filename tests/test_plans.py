@@ -88,6 +88,18 @@ def test_trusted_dates_search_the_months_of_the_batch(spark, repos, tmp_path):
     check(spark, root, repos, FIRST, again)
 
 
+def test_renamed_repositories_are_brought_up_to_date(spark, repos, tmp_path):
+    root = str(tmp_path)
+    take(spark, root, repos, FIRST)
+    renamed = repos.withColumn("full_name", F.when(F.col("repo_id") == 1, "a/new").otherwise(F.col("full_name")))
+    renamed = renamed.withColumn("primary_language", F.when(F.col("repo_id") == 4, "Zig").otherwise(F.col("primary_language")))
+    for _ in range(2):
+        incremental.refresh_renamed(spark, f"{root}/commits", f"{root}/daily", renamed)
+        stored = spark.read.parquet(f"{root}/daily")
+        whole = rollups.daily_commit_stats(spark.read.parquet(f"{root}/commits"), renamed)
+        assert rows(stored, *whole.columns) == rows(whole)
+
+
 def test_scratch_is_released(spark, repos, tmp_path):
     merged = incremental.merge_monthly(spark, f"{tmp_path}/t", parsed(spark, FIRST), upsert.COMMITS)
     assert all(files.exists(spark, p) for p in merged.scratch)
@@ -220,3 +232,19 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scratch_dir(Cluster, "x")
+
+
+def test_a_heavy_month_is_spread_over_files_and_light_ones_are_not(spark, tmp_path):
+    heavy = F.when(F.col("id") % 10 != 0, F.lit("2024-05-05 00:00:00")).otherwise(F.lit("2024-06-06 00:00:00"))
+    df = spark.range(300_000).select(
+        F.xxhash64("id").alias("repo_id"), heavy.cast("timestamp").alias("committed_at"), F.md5(F.col("id").cast("string")).alias("sha")
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2MB")
+    try:
+        tables.write_monthly(df.repartition(8), "committed_at", f"{tmp_path}/t")
+    finally:
+        spark.conf.set(key, before)
+    names = {m: [f for f in files.child_names(spark, f"{tmp_path}/t/year_month=2024-{m}") if f.startswith("part")] for m in ("05", "06")}
+    assert len(names["05"]) >= 4 and len(names["06"]) == 1
