@@ -18,7 +18,15 @@ from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import first_of_month, period_filter, preset_start, resolve_window
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
 from devpulse.plans import files, incremental, refresh
-from devpulse.schemas import CATEGORY_COLORS, DEFAULT_COLOR, HEAT_COLORS, LANGUAGE_COLORS, MONTH_NARRATIVE, WEEK_HIGHLIGHT
+from devpulse.schemas import (
+    CATEGORY_COLORS,
+    DEFAULT_COLOR,
+    HEAT_COLORS,
+    LANGUAGE_COLORS,
+    MONTH_NARRATIVE,
+    PROFILE,
+    WEEK_HIGHLIGHT,
+)
 from devpulse.session import scratch_dir
 from devpulse.sources import discovery, payloads, tables
 from devpulse.streaming import daily as live
@@ -674,6 +682,26 @@ def _(t):
     )
 
 
+@query(
+    "sync_history_deep_page",
+    """SELECT status, job_id, created_at, position, total FROM (
+           SELECT *, CAST(row_number() OVER (PARTITION BY status ORDER BY created_at DESC, job_id) AS INTEGER) AS position,
+                  count(*) OVER (PARTITION BY status) AS total FROM sync_jobs)
+       WHERE position > 1400 AND position <= 1500""",
+)
+def _(t):
+    """Page 15 of each status, beyond what is ranked with a partial limit."""
+    rows = ranking.paginate(
+        t.sync_jobs(),
+        [F.desc("created_at"), F.asc("job_id")],
+        page=15,
+        per_page=100,
+        by="status",
+        levels=[(F.to_date("created_at"), False), (F.col("created_at"), False), (F.col("job_id"), True)],
+    )
+    return _plain(rows, "status", "job_id", "created_at", "position", "total")
+
+
 @query(
     "tech_stack_report",
     """SELECT r.user_id, r.repo_id, r.full_name, c_name AS short_name,
@@ -759,6 +787,35 @@ def _(t):
     return _plain(rows, "commit_id", "repo_id", "committed_at")
 
 
+@query(
+    "advance_watermark",
+    """SELECT repo_id, CASE WHEN repo_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+                            THEN TIMESTAMP '2001-08-01' ELSE last_synced_at END AS last_synced_at FROM repositories""",
+)
+def _(t):
+    written = t.commits(False, "o_orderstatus").filter(F.col("o_orderstatus") == "P")
+    return _plain(jobs.advance_watermark(t.repositories(), written, datetime(2001, 8, 1)), "repo_id", "last_synced_at")
+
+
+@query(
+    "patch_profiles",
+    """SELECT user_id, CAST(CASE WHEN n % 3 = 1 THEN n % 24 + 1 END AS INTEGER) AS sync_interval_hours,
+              CASE WHEN n % 3 = 2 THEN FALSE END AS gemini_analysis_enabled,
+              CASE WHEN c IS NOT NULL THEN c WHEN n % 3 = 2 THEN 'UTC' END AS timezone
+       FROM users LEFT JOIN (SELECT CAST(c_nationkey AS BIGINT) AS user_id, max_by(c_mktsegment, c_custkey) AS c
+                             FROM customer GROUP BY 1) USING (user_id)""",
+)
+def _(t):
+    """Each user's newest customer segment becomes the stored time zone."""
+    patches = t.read("customer").select(
+        F.col("c_nationkey").cast("long").alias("user_id"),
+        F.col("c_custkey").alias("seq"),
+        F.concat(F.lit('"'), "c_mktsegment", F.lit('"')).alias("value"),
+    )
+    patched = upsert.patch_json(t.users(), patches, "user_id", "profile_data", "timezone")
+    return patched.select("user_id", F.from_json("profile_data", PROFILE).alias("p")).select("user_id", "p.*")
+
+
 @query(
     "sync_targets",
     """SELECT user_id, repo_id, full_name FROM repositories
