@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
+from devpulse.llm.automaton import SuffixAutomaton
+from devpulse.llm.spans import Span, united, without
 
 WINDOW = 10
 #: An automaton holds the items of so many bytes of text (about 100 MB of memory); more items take more passes.
@@ -21,51 +23,6 @@ FOUND = "n_words long, n_hit long, spans array<struct<start:long, end:long>>, it
 WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
 
-class SuffixAutomaton:
-    """All substrings of the added token sequences; tokens are small integers."""
-
-    def __init__(self) -> None:
-        self.arcs: list[dict[int, int]] = [{}]
-        self.link = [-1]
-        self.length = [0]
-
-    def _split(self, p: int, token: int, q: int) -> int:
-        arcs, link = self.arcs, self.link
-        clone = len(arcs)
-        arcs.append(dict(arcs[q]))
-        link.append(link[q])
-        self.length.append(self.length[p] + 1)
-        link[q] = clone
-        while p >= 0 and arcs[p].get(token) == q:
-            arcs[p][token] = clone
-            p = link[p]
-        return clone
-
-    def extend(self, last: int, token: int) -> int:
-        """Add the sequence that ends in state ``last`` plus ``token``; returns its state."""
-        arcs, link, length = self.arcs, self.link, self.length
-        q = arcs[last].get(token)
-        if q is not None:
-            return q if length[q] == length[last] + 1 else self._split(last, token, q)
-        state = len(arcs)
-        arcs.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and token not in arcs[p]:
-            arcs[p][token] = state
-            p = link[p]
-        if p >= 0:
-            q = arcs[p][token]
-            link[state] = q if length[q] == length[p] + 1 else self._split(p, token, q)
-        return state
-
-    def add(self, tokens: list[int]) -> None:
-        last = 0
-        for token in tokens:
-            last = self.extend(last, token)
-
-
 class ItemAutomaton:
     """The automaton of test items, with the states that spell windows and the items that hold them."""
 
@@ -108,14 +65,14 @@ class ItemAutomaton:
             out[s] = own + out[self.link[s]] if own else out[self.link[s]]
         return out
 
-    def find(self, tokens: list[int]) -> tuple[list[list[int]], set[int]]:
+    def find(self, tokens: list[int]) -> tuple[list[Span], set[int]]:
         """Spans [start, end) covered by windows, in order and apart, and the items met.
 
         One pass from left to right: the state is the longest suffix read that
         occurs in an item, ``matched`` its length.
         """
         arcs, link, length, below = self.arcs, self.link, self.length, self.windows_below
-        spans: list[list[int]] = []
+        spans: list[Span] = []
         met: set[tuple[int, int]] = set()
         state = matched = 0
         for i, token in enumerate(tokens):
@@ -142,7 +99,7 @@ class ItemAutomaton:
                     start = i + 1 - longest
                     while spans and start <= spans[-1][1]:
                         start = min(start, spans.pop()[0])
-                    spans.append([start, i + 1])
+                    spans.append((start, i + 1))
         return spans, {item for hit in met for item in self.items_of[hit]}
 
 
@@ -161,7 +118,7 @@ def _shards(items: DataFrame, window: int, shard_bytes: int) -> Iterator[ItemAut
     yield ItemAutomaton(held, window)
 
 
-def _scan(batch_words: words.Words, automaton: ItemAutomaton) -> Iterator[tuple[list[list[int]], set[int]]]:
+def _scan(batch_words: words.Words, automaton: ItemAutomaton) -> Iterator[tuple[list[Span], set[int]]]:
     known = np.array([automaton.token_of.get(w, -1) for w in batch_words.vocab], dtype=np.int32)
     tokens = known[batch_words.ids] if len(known) else batch_words.ids
     bounds = batch_words.offsets.tolist()
@@ -201,7 +158,7 @@ def _search(automaton: Broadcast):
         rows = []
         for i, (spans, items) in enumerate(_scan(found, automaton.value)):
             if before:
-                spans = _united(spans + [[s["start"], s["end"]] for s in before[0][i]])
+                spans = united([*spans, *((s["start"], s["end"]) for s in before[0][i])])
                 items = items.union(map(int, before[1][i]))
             rows.append((sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sorted(items)))
         out = pd.DataFrame(rows, columns=["n_hit", "spans", "items"])
@@ -235,24 +192,4 @@ def decontaminate(
 
 
 def _without_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([t if not len(s) else cut_words(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], dtype=object)
-
-
-def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words [start, end) of each span and what stands between those."""
-    at = [m.span() for m in WORD.finditer(text)]
-    out, kept_to = [], 0
-    for a, b in spans:
-        out.append(text[kept_to : at[a][0]])
-        kept_to = at[b - 1][1]
-    return "".join(out) + text[kept_to:]
-
-
-def _united(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+    return pd.Series([t if not len(s) else without(t, [(x["start"], x["end"]) for x in s], WORD) for t, s in zip(texts, spans)], dtype=object)

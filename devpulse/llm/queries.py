@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, language_id, url_filter
+from devpulse.llm import decontamination, language_id, near_dedup, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,30 @@ _TERMS = " + ".join(
 )
 
 
+@query(
+    "op2_substring_dedup",
+    r"""
+WITH doc_words AS (SELECT doc_id, coalesce([x for x in string_split_regex(text, '[\x20\x09-\x0D]+') if x <> ''], []) AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM doc_words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win FROM starts),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS p FROM ranked WHERE k > 1),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, len(d.w) AS n, coalesce(len(l.ps), 0) AS m,
+    CASE WHEN l.ps IS NULL THEN d.w ELSE coalesce(k.w, []) END AS w
+  FROM doc_words d LEFT JOIN lists l USING (doc_id)
+  LEFT JOIN (
+    SELECT x.doc_id, list(x.word ORDER BY x.p) AS w
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM doc_words) x
+    ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id) k ON k.doc_id = d.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(w, ' ')) AS kept_sha256 FROM kept""",
+)
+def _(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.kept_digests(docs, substring_dedup.repeated_passages(docs))
+
+
 @query(
     "op3_url_filter",
     rf"""
@@ -104,3 +128,24 @@ def _(spark, sf_dir):
     out = language_id.held_out("doc_id", 3, 1)
     found = language_id.identify(docs.select("doc_id", "text"), language_id.profiles(docs.where(~out)))
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op10_minhash_near_dedup",
+    r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, coalesce([x for x in string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''], []) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + least(len(w), 5) - 1], ' ') for i in generate_series(1, len(w) - least(len(w), 5) + 1)]) AS s
+  FROM doc_words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS c FROM doc_words UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.doc_id WHERE r.c < l.b),
+least_id AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM doc_words d LEFT JOIN sizes z USING (doc_id) JOIN least_id m USING (doc_id)""",
+)
+def _(spark, sf_dir):
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
