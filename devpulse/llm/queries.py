@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, language_id, near_dedup, substring_dedup, url_filter
+from devpulse.llm import decontamination, language_id, lm_scoring, near_dedup, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,6 +122,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("op6_lm_scoring")
+def _(spark, sf_dir):
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), ~language_id.held_out("doc_id", 5, 1))
+
+
 @query("op7_language_id")
 def _(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
