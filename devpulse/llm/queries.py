@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, language_id, lm_scoring, near_dedup, substring_dedup, url_filter
+from devpulse.llm import decontamination, embedding_dedup, language_id, lm_scoring, near_dedup, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,23 @@ _TERMS = " + ".join(
 )
 
 
+@query(
+    "op1_embedding_near_dedup",
+    """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.vec_id WHERE r.c < l.b),
+least_id AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM embeddings v LEFT JOIN counts c USING (vec_id) JOIN least_id m USING (vec_id)""",
+)
+def _(spark, sf_dir):
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op2_substring_dedup",
     r"""
