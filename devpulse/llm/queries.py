@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, embedding_dedup, language_id, lm_scoring, near_dedup, substring_dedup, url_filter
+from devpulse.llm import decontamination, embedding_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -152,6 +152,24 @@ def _(spark, sf_dir):
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+#: how far the shares of each dimension are evened out: sources fully, languages and topics in part
+MIX = {"source": 0.0, "lang": 0.7, "topic": 0.7}
+
+
+@query("op8_mixing")
+def _(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic().alias("topic"), mixing.n_tokens().alias("n_tokens"))
+    return mixing.mixed(docs, MIX)
+
+
+@query("op9_toxicity")
+def _(spark, sf_dir):
+    docs, labels = (_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    out = language_id.held_out("doc_id", 5, 0)
+    terms = toxicity.fit(docs, labels.where(~out))
+    return toxicity.score(docs.select("doc_id", "text"), terms).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 @query(
     "op10_minhash_near_dedup",
     r"""
