@@ -62,6 +62,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             {
                 "doc_id": batch["doc_id"],
+                "text_hash": batch["text_hash"],
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                 # big-endian, so that binary columns sort as the numbers do
@@ -70,10 +71,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def described(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (equal for equal shingle sets, null for empty ones) and signature."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInArrow(_described, "doc_id long, n_shingles long, digest binary, signature binary")
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, digest (equal for equal shingle sets, null for empty ones) and signature."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(_described, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
 def _regions(paths: np.ndarray, start: int, end: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -260,5 +261,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     ids = named.join(least, "component").select("digest", "component_id")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = rows.join(ids, "digest", "left").select("doc_id", "n_shingles", known.alias("component_id"))
+    out = rows.join(ids, "digest", "left").select("doc_id", "text_hash", "n_shingles", known.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest doc_id, and one row of it.
+
+    Other cases: see ``near_duplicates``.
+    """
+    rows, _ = staged(_grouped(docs, doc_id, text).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "kept"), "kept")
+    of = F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")
+    gone = rows.where("NOT kept").distinct()
+    again = rows.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1")
+
+    def key(d: DataFrame) -> DataFrame:
+        return d.select("doc_id", "text_hash").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+
+    marked = docs.withColumns({"_doc_id": of[0], "_text_hash": of[1]})
+    stay = marked.join(key(gone), ["_doc_id", "_text_hash"], "left_anti")
+    single = stay.join(key(again), ["_doc_id", "_text_hash"], "left_anti")
+    repeated = stay.join(key(again), ["_doc_id", "_text_hash"], "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    return single.union(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, embedding_dedup, language_id, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, url_filter
+from devpulse.llm import decontamination, embedding_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,6 +139,11 @@ def _(spark, sf_dir):
     )
 
 
+@query("op5_html_extraction")
+def _(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 @query("op6_lm_scoring")
 def _(spark, sf_dir):
     return lm_scoring.score(_table(spark, sf_dir, "documents"), ~language_id.held_out("doc_id", 5, 1))
