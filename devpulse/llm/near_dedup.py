@@ -237,6 +237,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component's smallest doc_id are kept.  Rows that share a doc_id but not a
     text are compared as different documents.  An empty table gives no rows.
     """
+    return _grouped(docs, doc_id, text).drop("text_hash")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, _ = staged(described(plain), "signatures")
     linked = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
