@@ -240,12 +240,12 @@ def _(t):
 
 @query(
     "trend_maps",
-    f"""SELECT user_id, period_start, 0 AS part, string_agg(tag || '=' || count, ',' ORDER BY tag) AS tags
-        FROM ({_TRENDS}) GROUP BY 1, 2""",
+    f"""SELECT user_id, period_start, left(tag, 2) AS start, string_agg(tag || '=' || count, ',' ORDER BY tag) AS tags
+        FROM ({_TRENDS}) GROUP BY 1, 2, 3""",
 )
 def _(t):
     pairs = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
-    return present.trend_maps(_trends(t)).select("user_id", "period_start", F.col("part").cast("int"), F.array_join(pairs, ",").alias("tags"))
+    return present.trend_maps(_trends(t)).select("user_id", "period_start", "start", F.array_join(pairs, ",").alias("tags"))
 
 
 _SHARES = f"""
@@ -305,6 +305,10 @@ def _(t):
     return widgets.month_over_month(_daily(t, first_of_month(MONTH_AS_OF, 1), MONTH_AS_OF), MONTH_AS_OF)
 
 
+#: how far back the published streak looks
+STREAK_DAYS = 120
+
+
 def _streak_sql(source: str, as_of: str) -> str:
     return f"""
         WITH RECURSIVE days AS (SELECT DISTINCT user_id, commit_date AS d FROM {source}
@@ -318,7 +322,7 @@ def _streak_sql(source: str, as_of: str) -> str:
 
 @query("current_streak", _streak_sql("event_daily", "2024-01-30") + " SELECT * FROM streaks")
 def _(t):
-    return widgets.current_streak(_event_daily(t), EVENTS_AS_OF).withColumn(
+    return widgets.current_streak(_event_daily(t), EVENTS_AS_OF, STREAK_DAYS).withColumn(
         "current_streak", F.col("current_streak").cast("long")
     )
 
@@ -336,7 +340,7 @@ _STATS = (
 
 
 def _stats(t: TestTables) -> DataFrame:
-    return widgets.dashboard_stats(_daily(t), t.repositories(), t.users(), MONTH_AS_OF).withColumn(
+    return widgets.dashboard_stats(_daily(t), t.repositories(), t.users(), MONTH_AS_OF, lookback=STREAK_DAYS).withColumn(
         "current_streak", F.col("current_streak").cast("long")
     )
 
@@ -415,7 +419,15 @@ def _weeks_sql(week_start: str, count: int) -> str:
 
 def _weekly(t: TestTables, week_start: date, count: int) -> DataFrame:
     return summaries.weekly_summary(
-        t.users(), t.event_commits(), t.event_pull_requests(), t.analyses(), t.repositories(), week_start, count
+        t.users(),
+        t.event_commits(),
+        t.event_pull_requests(),
+        t.analyses(),
+        t.repositories(),
+        week_start,
+        count,
+        tags_kept=10,
+        achievements_kept=3,
     )
 
 
@@ -431,13 +443,13 @@ def _(t):
 
 
 def _generated_sql(kind: str) -> str:
-    """The ten newest generated summaries per user, from active repositories."""
+    """The generated summaries from active repositories, newest first per user."""
     return f"""
         SELECT * FROM (
             SELECT r.user_id, analysis_id, analyzed_at, k,
                    row_number() OVER (PARTITION BY r.user_id ORDER BY analyzed_at DESC, analysis_id) AS rn
             FROM analyses a JOIN repositories r ON r.repo_id = a.repo_id AND r.user_id = a.source_id
-            WHERE source_type = '{kind}' AND is_active) WHERE rn <= 10"""
+            WHERE source_type = '{kind}' AND is_active)"""
 
 
 @query(
@@ -487,7 +499,7 @@ _MONTHS = f"""
 
 
 def _monthly(t: TestTables) -> DataFrame:
-    return summaries.monthly_summary(t.users(), t.event_commits(), t.analyses(), t.repositories(), date(2024, 1, 1), 2)
+    return summaries.monthly_summary(t.users(), t.event_commits(), t.analyses(), t.repositories(), date(2024, 1, 1), 2, areas_kept=5)
 
 
 @query("monthly_summary", _MONTHS + " SELECT * FROM computed")
@@ -593,7 +605,7 @@ def _evidence_sql(view: str, ts: str, tie: str, columns: str, limit: int, where:
     ),
 )
 def _(t):
-    return _plain(summaries.evidence_commits(t.event_commits(), t.repositories(), date(2024, 1, 22), 3))
+    return _plain(summaries.evidence_commits(t.event_commits(), t.repositories(), date(2024, 1, 22), 3, limit=100))
 
 
 @query(
@@ -601,7 +613,7 @@ def _(t):
     _evidence_sql("event_prs", "pr_created_at", "pr_id", "title, repo_name, state, additions, deletions", 50),
 )
 def _(t):
-    return summaries.evidence_pull_requests(t.event_pull_requests(), t.repositories(), date(2024, 1, 22), 3)
+    return summaries.evidence_pull_requests(t.event_pull_requests(), t.repositories(), date(2024, 1, 22), 3, limit=50)
 
 
 @query(
@@ -616,7 +628,7 @@ def _(t):
     ),
 )
 def _(t):
-    rows = summaries.evidence_analyses(t.analyses(), t.repositories(), date(2024, 1, 22), 3)
+    rows = summaries.evidence_analyses(t.analyses(), t.repositories(), date(2024, 1, 22), 3, limit=100)
     return rows.withColumn("tech_tags", _text("tech_tags"))
 
 
@@ -750,7 +762,7 @@ def _(t):
        ORDER BY change_size DESC, commit_id LIMIT 50""",
 )
 def _(t):
-    rows = backlog.analysis_backlog(t.commits(), t.analyses(), t.repositories())
+    rows = backlog.analysis_backlog(t.commits(), t.analyses(), t.repositories(), limit=50)
     return _plain(rows, "commit_id", "repo_id", "full_name", "committed_at", "change_size")
 
 
@@ -906,6 +918,9 @@ def _(t):
 
 # --- Payloads ---------------------------------------------------------------------
 
+#: what the published rows keep of a commit record
+PAYLOAD_CUTS = payloads.Cuts(message_chars=2000, files=50, patch_chars=500)
+
 _PARSED_COMMITS = """
     SELECT o_custkey AS repo_id, md5(CAST(o_orderkey AS VARCHAR)) AS github_commit_sha,
            CASE WHEN o_orderkey % 200 = 5 THEN left(repeat(o_orderpriority || ' ', 400), 2000) ELSE o_orderpriority END AS message,
@@ -923,7 +938,7 @@ _PARSED_COMMITS = """
         FROM ({_PARSED_COMMITS})""",
 )
 def _(t):
-    parsed, _ = payloads.parse_commits(t.commit_payloads())
+    parsed, _ = payloads.parse_commits(t.commit_payloads(), PAYLOAD_CUTS)
     files = F.col("raw_data.files")
     chars = F.aggregate(files, F.lit(0).cast("long"), lambda acc, f: acc + F.length(f["patch"]))
     return _plain(
@@ -1015,7 +1030,7 @@ def _(t):
        SELECT repo_id, path FROM found QUALIFY rk = min(rk) OVER (PARTITION BY repo_id)""",
 )
 def _(t):
-    return payloads.select_manifests(t.repo_files())
+    return payloads.select_manifests(t.repo_files(), searched_dirs=10)
 
 
 # --- Upserts ----------------------------------------------------------------------

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 # Marker text, section heads and file defaults of the diff format.
 TRUNCATION_MARKER = "\n\n[truncated: remaining files omitted due to size limit]"
-SECTION_HEADS = ("diff --git ", "--- a/")
 DEFAULT_FILENAME = "unknown"
 DEFAULT_STATUS = "modified"
 DIFF_BUDGET = 30_000
 
-# `d` restricts line starts to "\n"; without it "\r" would also start a section.
-_SECTION_START = "(?md)(?=" + "|".join("^" + head for head in SECTION_HEADS) + ")"
+# Fixed value: where a section starts.  `d` restricts line starts to "\n"; without
+# it "\r" would also start a section.
+_SECTION_START = "(?md)(?=^diff --git |^--- a/)"
 # Everything that counts as white space, including the separators U+001C-U+001F.
 _VISIBLE = r"(?U)[^\s\x{1c}-\x{1f}]"
 

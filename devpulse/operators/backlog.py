@@ -31,8 +31,8 @@ def unanalyzed(commits: DataFrame, analyses: DataFrame) -> DataFrame:
     return commits.join(done, "commit_id", "left_anti")
 
 
-def analysis_backlog(commits: DataFrame, analyses: DataFrame, repos: DataFrame, limit: int = 50) -> DataFrame:
-    """The largest commits still to analyze.
+def analysis_backlog(commits: DataFrame, analyses: DataFrame, repos: DataFrame, limit: int | None = None) -> DataFrame:
+    """The largest commits still to analyze, or all of them, largest first.
 
     Only narrow columns travel; use `with_raw_data` to fetch the documents of
     the rows that were chosen.
@@ -40,13 +40,13 @@ def analysis_backlog(commits: DataFrame, analyses: DataFrame, repos: DataFrame,
     narrow = commits.select(
         "commit_id", "repo_id", "github_commit_sha", "message", "committed_at", "additions", "deletions"
     )
-    return (
+    rows = (
         unanalyzed(narrow, analyses)
         .join(repos.select("repo_id", "full_name"), "repo_id")
         .withColumn("change_size", F.col("additions").cast("long") + F.col("deletions"))
         .orderBy(F.desc("change_size"), F.asc("commit_id"))
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
 def with_raw_data(backlog: DataFrame, commits: DataFrame) -> DataFrame:

@@ -58,21 +58,16 @@ def pivot_trends(trends: DataFrame, tags: list[str]) -> DataFrame:
     return trends.groupBy("user_id", "period_start").pivot("tag", tags).agg(F.sum("count"))
 
 
-def trend_maps(trends: DataFrame, entries: int = 1000) -> DataFrame:
-    """A24 without a tag list: one tag -> count map per (user, week).
+def trend_maps(trends: DataFrame, letters: int = 2) -> DataFrame:
+    """A24 without a tag list: tag -> count maps per (user, week, beginning of the tag).
 
-    A week with more than ``entries`` distinct tags is spread over several rows
-    by tag hash, ``part`` 0, 1, ..., so no map outgrows a row and none is cut.
+    Tags share a map when their first ``letters`` characters are equal, whatever
+    their number, so a week's tags are spread over rows by their names alone.
+    For all tags of a week in order read the long relation this is made from.
     """
-    keys = ["user_id", "period_start"]
-    # counting `count` keeps both branches on the same columns, so that they
-    # share one shuffle of the counted tags
-    sizes = trends.groupBy(*keys).agg(F.ceil(F.count("count") / F.lit(entries)).alias("_parts"))
-    return (
-        trends.join(sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64("tag"), F.col("_parts")))
-        .groupBy(*keys, "part")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "count")))).alias("tags"))
+    start = F.substring("tag", 1, letters).alias("start")
+    return trends.groupBy("user_id", "period_start", start).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("tag", "count")))).alias("tags")
     )
 
 

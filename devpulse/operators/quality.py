@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.operators.rollups import ROLLUP_KEYS
-from devpulse.schemas import ENTITIES, JOB_STATUSES, PARTITION_TIMESTAMP, SOURCE_TYPES
+from devpulse.schemas import ENTITIES, MONTH_RANGE, JOB_STATUSES, PARTITION_TIMESTAMP, SOURCE_TYPES
 
 # The storage rules of the data model.
 ENUMS = {("analyses", "source_type"): SOURCE_TYPES, ("sync_jobs", "status"): JOB_STATUSES}
@@ -46,7 +46,6 @@ LENGTHS = {
     ("sync_jobs", "job_type"): 50,
     ("sync_jobs", "status"): 20,
 }
-MONTH_RANGE = (date(2024, 1, 1), date(2028, 1, 1))
 
 
 def _row_rules(table: str, df: DataFrame, months: tuple[date, date]) -> dict[str, Column]:

@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Spark plans the partial limit only up to this k (its default threshold).
-GROUP_LIMIT = 1000
 
+def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The first ``k`` rows of every group, or all, with their 1-based position.
 
-def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of every group, with their 1-based position."""
-    if k < 1:
+    Without ``k`` each group is sorted as a whole.
+    """
+    if k is not None and k < 1:
         raise ValueError("k must be positive")
-    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(rank, position).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked if k is None else ranked.filter(F.col(rank) <= k)
 
 
 def page_totals(df: DataFrame, per_page: int = 20, by: str = "user_id", groups: DataFrame | None = None) -> DataFrame:
@@ -48,15 +48,16 @@ def paginate(
     """One page of every group plus ``total`` and ``total_pages``.
 
     ``levels`` refine the sort order step by step as ``(column, ascending)``,
-    for instance the day of a timestamp, the timestamp, a range of ids.  They
-    are used for pages deeper than the partial group limit: counting rows per
-    value of a level tells which values the page overlaps, only their rows go on
-    to the next level, and the last ones are sorted, each value on its own.
+    for instance the day of a timestamp, the timestamp, a range of ids.  Given
+    them, counting rows per value of a level tells which values the page
+    overlaps, only their rows go on to the next level, and the last ones are
+    sorted, each value on its own, whatever the page.  Without levels the rows
+    up to the page are taken from the top of each group, which suits first pages.
     """
     if page < 1 or not 1 <= per_page <= 100:
         raise ValueError("page must be >= 1 and per_page within 1..100")
     first, last = (page - 1) * per_page, page * per_page
-    if last <= GROUP_LIMIT or not levels:
+    if not levels:
         rows = top_k(df, [by], order, last, "position").filter(F.col("position") > first)
     else:
         rows = _deep_page(df, order, first, last, by, levels)

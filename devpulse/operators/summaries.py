@@ -91,11 +91,14 @@ def weekly_summary(
     repos: DataFrame,
     week_start: date,
     count: int = 1,
+    tags_kept: int | None = None,
+    achievements_kept: int | None = None,
 ) -> DataFrame:
     """Computed summaries of ``count`` weeks ending with ``week_start``'s.
 
     Weeks start on the weekday given; pull requests count when merged; tags and
     achievements come from commit analyses, ``generated_at`` from all analyses.
+    ``tags_kept`` and ``achievements_kept`` shorten the two lists.
     """
     first, end = week_start - timedelta(weeks=count - 1), week_start + timedelta(days=7)
 
@@ -112,15 +115,15 @@ def weekly_summary(
         "week_start",
     )
     from_commits = _commit_analyses(analyzed)
-    tags = from_commits.select("repo_id", "week_start", F.explode("tech_tags").alias("tag"))
+    labels = from_commits.select("repo_id", "week_start", F.explode("tech_tags").alias("tag"))
     technologies = _top_labels(
-        _label_counts(tags, repos, "week_start", "tag"), "week_start", "tag", 10, "technologies_used"
+        _label_counts(labels, repos, "week_start", "tag"), "week_start", "tag", tags_kept, "technologies_used"
     )
     return (
         spine(users, week_starts(week_start, count), "week_start")
         .join(metrics, ["user_id", "week_start"], "left")
         .join(technologies, ["user_id", "week_start"], "left")
-        .join(_latest_summaries(from_commits, repos), ["user_id", "week_start"], "left")
+        .join(_latest_summaries(from_commits, repos, achievements_kept), ["user_id", "week_start"], "left")
         .select(
             "user_id",
             "week_start",
@@ -135,8 +138,8 @@ def weekly_summary(
     )
 
 
-def _latest_summaries(from_commits: DataFrame, repos: DataFrame, k: int = 3) -> DataFrame:
-    """The k newest analysis summaries per (user, week)."""
+def _latest_summaries(from_commits: DataFrame, repos: DataFrame, k: int | None) -> DataFrame:
+    """The k newest analysis summaries per (user, week), or all."""
     newest = [F.desc("analyzed_at"), F.asc("analysis_id")]
     rows = from_commits.select("repo_id", "week_start", "analyzed_at", "analysis_id", "summary")
     # k per repository are enough to find k per user, and keep the join small
@@ -178,9 +181,18 @@ def monthly_active_repos(commits: DataFrame, repos: DataFrame, month: date, coun
 
 
 def monthly_summary(
-    users: DataFrame, commits: DataFrame, analyses: DataFrame, repos: DataFrame, month: date, count: int = 1
+    users: DataFrame,
+    commits: DataFrame,
+    analyses: DataFrame,
+    repos: DataFrame,
+    month: date,
+    count: int = 1,
+    areas_kept: int | None = None,
 ) -> DataFrame:
-    """Computed summaries of ``count`` months ending with ``month``'s."""
+    """Computed summaries of ``count`` months ending with ``month``'s.
+
+    ``areas_kept`` shortens the list of growth areas.
+    """
     named = monthly_active_repos(commits, repos, month, count)
     activity = named.groupBy("user_id", "month_start").agg(
         F.sum("commit_count").alias("commits"), _count().alias("repos")
@@ -196,7 +208,7 @@ def monthly_summary(
         _label_counts(_commit_analyses(analyzed), repos, "month_start", "work_category"),
         "month_start",
         "work_category",
-        5,
+        areas_kept,
         "growth_areas",
     )
     year, month_no = F.year("month_start"), F.month("month_start")
@@ -283,20 +295,21 @@ def month_stats(
 
 
 def _newest_per_week(
-    facts: DataFrame, ts: str, tie: str, repos: DataFrame, week_start: date, count: int, limit: int, columns: list[str]
+    facts: DataFrame, ts: str, tie: str, repos: DataFrame, week_start: date, count: int, limit: int | None, columns: list[str]
 ) -> DataFrame:
     last_day = week_start + timedelta(days=6)
     kept = closed_period_filter(facts, ts, week_start - timedelta(weeks=count - 1), last_day)
-    rows = (
-        kept.select("repo_id", *dict.fromkeys([ts, tie, *columns]))
-        .withColumn("week_start", week_of(ts, week_start, count))
-        .join(active(repos).select("repo_id", "user_id", F.col("full_name").alias("repo_name")), "repo_id")
-    )
-    return top_k(rows, ["user_id", "week_start"], [F.desc(ts), F.asc(tie)], limit)
+    rows = kept.select("repo_id", *dict.fromkeys([ts, tie, *columns])).withColumn("week_start", week_of(ts, week_start, count))
+    newest = [F.desc(ts), F.asc(tie)]
+    # so many per repository are enough to find so many per user, and keep the join small
+    if limit is not None:
+        rows = top_k(rows, ["repo_id", "week_start"], newest, limit).drop("rank")
+    rows = rows.join(active(repos).select("repo_id", "user_id", F.col("full_name").alias("repo_name")), "repo_id")
+    return top_k(rows, ["user_id", "week_start"], newest, limit)
 
 
 def evidence_commits(
-    commits: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int = 100
+    commits: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
 ) -> DataFrame:
     """The newest commits of each (user, week), active repositories only."""
     columns = ["message", "additions", "deletions", "committed_at"]
@@ -314,7 +327,7 @@ def evidence_commits(
 
 
 def evidence_pull_requests(
-    pull_requests: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int = 50
+    pull_requests: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
 ) -> DataFrame:
     """The newest pull requests by creation."""
     columns = ["title", "state", "additions", "deletions"]
@@ -332,7 +345,7 @@ def evidence_pull_requests(
 
 
 def evidence_analyses(
-    analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int = 100
+    analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
 ) -> DataFrame:
     """The newest commit analyses."""
     columns = ["summary", "work_category", "tech_tags", "complexity_score"]
@@ -363,29 +376,35 @@ def weekly_summaries_of_month(analyses: DataFrame, repos: DataFrame, month: date
 # --- Stored summaries (W4, C10) ----------------------------------------------
 
 
-def _generated(analyses: DataFrame, repos: DataFrame, source_type: str, keep: int = 10) -> DataFrame:
-    """The ``keep`` newest generated summaries per user, parsed."""
+def _generated(analyses: DataFrame, repos: DataFrame, source_type: str, keep: int | None) -> DataFrame:
+    """The generated summaries, parsed; with ``keep`` only so many newest per user."""
     stored = analyses.filter(F.col("source_type") == source_type).select(
         F.col("source_id").alias("user_id"), "repo_id", "analyzed_at", "analysis_id", "summary", "raw_response"
     )
     owned = stored.join(active(repos).select("repo_id", "user_id"), ["repo_id", "user_id"], "left_semi")
-    newest = top_k(owned, ["user_id"], [F.desc("analyzed_at"), F.asc("analysis_id")], keep)
+    newest = owned
+    if keep is not None:
+        newest = top_k(owned, ["user_id"], [F.desc("analyzed_at"), F.asc("analysis_id")], keep)
     return newest.withColumn("raw", F.from_json("raw_response", GENERATED_SUMMARY))
 
 
 def _first_match(generated: DataFrame, keys: list[str]) -> DataFrame:
     """Of several summaries of one period the newest one counts."""
     fields = F.struct("analyzed_at", "summary", "raw")
-    return generated.groupBy("user_id", *keys).agg(F.min_by(fields, "rank").alias("gen"))
+    newest = F.struct((-F.unix_micros("analyzed_at")).alias("age"), "analysis_id")
+    return generated.groupBy("user_id", *keys).agg(F.min_by(fields, newest).alias("gen"))
 
 
 def _or_default(value: Column, default: Column) -> Column:
     return F.coalesce(value, default)
 
 
-def resolve_weekly(computed: DataFrame, analyses: DataFrame, repos: DataFrame) -> DataFrame:
-    """The stored summary of a week where there is one, else the computed."""
-    generated = _generated(analyses, repos, "weekly_summary").withColumn(
+def resolve_weekly(computed: DataFrame, analyses: DataFrame, repos: DataFrame, keep: int | None = None) -> DataFrame:
+    """The stored summary of a week where there is one, else the computed.
+
+    ``keep`` looks only at so many newest stored summaries of each user.
+    """
+    generated = _generated(analyses, repos, "weekly_summary", keep).withColumn(
         "week_start", F.try_to_date(F.col("raw.week_start"), "yyyy-MM-dd")
     )
     empty = F.array().cast("array<string>")
@@ -409,9 +428,9 @@ def resolve_weekly(computed: DataFrame, analyses: DataFrame, repos: DataFrame) -
     )
 
 
-def resolve_monthly(computed: DataFrame, analyses: DataFrame, repos: DataFrame) -> DataFrame:
+def resolve_monthly(computed: DataFrame, analyses: DataFrame, repos: DataFrame, keep: int | None = None) -> DataFrame:
     """As `resolve_weekly`; a stored month lists *all* active repositories."""
-    generated = _generated(analyses, repos, "monthly_summary").withColumns(
+    generated = _generated(analyses, repos, "monthly_summary", keep).withColumns(
         {"year": F.col("raw.year"), "month": F.col("raw.month")}
     )
     tracked = active(repos).groupBy("user_id").agg(_count().alias("_tracked"))

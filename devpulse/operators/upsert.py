@@ -3,11 +3,14 @@
 Within a batch the first occurrence of a key supplies the insert-only fields and
 the last one the updated fields.  That is two ordered aggregates, combined on
 the map side, so any number of copies of one key costs one row per map task.
+Which record came first must be certain: different records of one key at the
+same position end the job.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +47,30 @@ PULL_REQUESTS = UpsertSpec(
 
 
 def collapse_batch(batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
-    """One row per key with its ``processed`` record count."""
-    first = F.min_by(F.struct(*spec.kept), order)
-    last = F.max_by(F.struct(*spec.updated), order)
+    """One row per key with its ``processed`` record count.
+
+    ``order`` is the arrival position, of any type that can be compared.  Equal
+    records may share one; different ones that do, where it decides which record
+    counts, raise an error, and so does a missing position of a repeated key.
+    """
+    content = F.xxhash64(F.to_json(F.struct(*spec.kept, *spec.updated)))
+
+    def tied(extreme: Callable[[Column], Column]) -> Column:
+        # of the records at the extreme position, the smallest and the largest hash
+        one = extreme(F.struct(F.col(order).alias("at"), content.alias("of")))
+        other = extreme(F.struct(F.col(order).alias("at"), F.bitwise_not(content).alias("of")))
+        return one["of"] != F.bitwise_not(other["of"])
+
+    several = F.count(F.lit(1)) > 1
+    unknown = several & (F.count(order) < F.count(F.lit(1)))
+    unsure = unknown | (several & (tied(F.min) | tied(F.max)))
+    first = F.coalesce(F.min_by(F.struct(*spec.kept), order), F.first(F.struct(*spec.kept)))
+    last = F.coalesce(F.max_by(F.struct(*spec.updated), order), F.first(F.struct(*spec.updated)))
+    error = F.raise_error(F.lit(f"records of one key ({', '.join(spec.keys)}) share the position `{order}`"))
     return (
         batch.groupBy(*spec.keys)
-        .agg(first.alias("_first"), last.alias("_last"), F.count(F.lit(1)).alias("processed"))
+        .agg(first.alias("_first"), last.alias("_last"), F.count(F.lit(1)).alias("processed"), unsure.alias("_unsure"))
+        .withColumn("_last", F.when(F.col("_unsure"), error).otherwise(F.col("_last")))
         .select(*spec.keys, "_first.*", "_last.*", "processed")
     )
 
@@ -82,20 +103,14 @@ def new_rows(incoming: DataFrame, hits: DataFrame, spec: UpsertSpec) -> DataFram
 def upsert(base: DataFrame, batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
     """The table after the batch; nothing is written.
 
-    A stored row is the earliest record of its key, so collapsing the union of
-    table and batch is the upsert: the first record supplies the kept fields,
-    the last one the updated ones.  One shuffle, no join, and any number of
-    copies of a key is combined before it.  For a small batch against a large
-    stored table use `plans.incremental.merge_monthly`, which leaves most of the
-    table alone.
+    The batch is collapsed first; a left join brings its values to the stored
+    rows and an anti join finds the new ones, so a table stays where it is when
+    the batch is small enough to broadcast.  For a stored table use
+    `plans.incremental.merge_monthly`, which leaves most of its files alone.
     """
-    kept = [c for c in base.columns if c not in (*spec.keys, *spec.updated)]
-    stored_first = F.lit(-(2**63)).cast("long")
-    records = base.withColumn(order, stored_first).unionByName(
-        batch.withColumn(order, F.col(order).cast("long")), allowMissingColumns=True
-    )
-    whole = replace(spec, kept=kept)
-    return collapse_batch(records, whole, order).select(*base.columns)
+    incoming = collapse_batch(batch, spec, order)
+    fresh = new_rows(incoming, matched_keys(base, incoming, spec), spec)
+    return updated_rows(base, incoming, spec).unionByName(fresh, allowMissingColumns=True).select(*base.columns)
 
 
 def upsert_commits(base: DataFrame, batch: DataFrame, order: str = "seq") -> DataFrame:
@@ -109,16 +124,31 @@ def upsert_pull_requests(base: DataFrame, batch: DataFrame, order: str = "seq")
 
 
 def _patched(document: str, key: str, value: str) -> Column:
-    """The JSON document with one key set to JSON text ``value``, the others kept."""
-    current = F.coalesce(F.from_json(document, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    """The JSON document with one key set to JSON text ``value``, the others kept; an unreadable one stays."""
+    current = F.coalesce(_parsed(document), F.create_map().cast("map<string,variant>"))
     others = F.map_filter(current, lambda k, v: k != key)
-    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json(value))))
+    patched = F.to_json(F.map_concat(others, F.create_map(F.lit(key), F.parse_json(value))))
+    return F.when(_unreadable(document), F.col(document)).otherwise(patched)
+
+
+def _parsed(document: str) -> Column:
+    return F.from_json(document, "map<string,variant>")
+
+
+def _unreadable(document: str) -> Column:
+    return F.col(document).isNotNull() & (F.trim(document) != "") & _parsed(document).isNull()
+
+
+def unreadable_documents(df: DataFrame, document: str) -> DataFrame:
+    """The rows whose document is no JSON object; patches leave them alone."""
+    return df.filter(_unreadable(document))
 
 
 def patch_json(df: DataFrame, patches: DataFrame, on: str, document: str, key: str, order: str = "seq") -> DataFrame:
     """Set one key of a JSON document column and keep all its other keys.
 
     ``patches`` has ``on``, ``value`` (JSON text) and an order; the last wins.
+    A document that is no JSON object stays as it is, see `unreadable_documents`.
     """
     latest = patches.groupBy(on).agg(F.max_by("value", order).alias("_value"))
     patched = F.when(F.col("_value").isNotNull(), _patched(document, key, "_value")).otherwise(F.col(document))

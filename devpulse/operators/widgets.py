@@ -197,17 +197,18 @@ def month_over_month(daily: DataFrame, as_of: date, user_id: int | None = None)
     )
 
 
-def current_streak(daily: DataFrame, as_of: date, lookback: int = 120, user_id: int | None = None) -> DataFrame:
+def current_streak(
+    daily: DataFrame, as_of: date, lookback: int | None = None, user_id: int | None = None
+) -> DataFrame:
     """Consecutive active days up to ``as_of``, or up to the day before.
 
-    Users without a day in the lookback have no row; without a running streak
-    they have 0.  The window sees at most ``lookback + 1`` dates per user.
+    ``lookback`` limits the days looked at, and with them the streak.  Users
+    without a day among these have no row; without a running streak they have 0.
+    The window sees distinct dates, one for each day of a user's history at most.
     """
-    days = (
-        date_window(for_user(daily, user_id), "commit_date", as_of, default_days=lookback)
-        .select("user_id", "commit_date")
-        .distinct()
-    )
+    own = for_user(daily, user_id)
+    seen = own.filter(F.col("commit_date") <= F.lit(as_of)) if lookback is None else date_window(own, "commit_date", as_of, default_days=lookback)
+    days = seen.select("user_id", "commit_date").distinct()
     latest_first = Window.partitionBy("user_id").orderBy(F.desc("commit_date"))
     runs = days.withColumn("position", F.row_number().over(latest_first)).withColumn(
         # constant within a run of consecutive days
@@ -228,7 +229,12 @@ def current_streak(daily: DataFrame, as_of: date, lookback: int = 120, user_id:
 
 
 def dashboard_stats(
-    daily: DataFrame, repos: DataFrame, users: DataFrame, as_of: date, user_id: int | None = None
+    daily: DataFrame,
+    repos: DataFrame,
+    users: DataFrame,
+    as_of: date,
+    user_id: int | None = None,
+    lookback: int | None = None,
 ) -> DataFrame:
     """A10: one row of headline figures per user, users without data included."""
     everyone = for_user(users, user_id).select("user_id").distinct()
@@ -238,7 +244,7 @@ def dashboard_stats(
         everyone.join(totals, "user_id", "left")
         .join(tracked, "user_id", "left")
         .join(top_language(repos, user_id), "user_id", "left")
-        .join(current_streak(daily, as_of, user_id=user_id), "user_id", "left")
+        .join(current_streak(daily, as_of, lookback, user_id), "user_id", "left")
         .select(
             "user_id",
             F.coalesce("total_commits", F.lit(0)).alias("total_commits"),

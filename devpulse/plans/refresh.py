@@ -21,9 +21,6 @@ READ_ORDER = {
     "work_category_stats": ["user_id", "analysis_date"],
     "hourly_activity": ["user_id", "activity_date"],
 }
-# Readers may still scan the version before the newest one.
-_KEPT_VERSIONS = 2
-
 
 def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
     """Complete versions, oldest first; a version counts once its job committed."""
@@ -42,11 +39,13 @@ def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}/{versions[-1]}")
 
 
-def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame) -> None:
-    """Write the next version beside the current one, then drop outdated ones.
+def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame, keep: int | None = None) -> None:
+    """Write the next version beside the current one.
 
     The commit marker of the write is the switch, so readers see either the old
-    or the new version and a failed write leaves the old one in place.
+    or the new version and a failed write leaves the old one in place.  ``keep``
+    removes all but so many newest versions; without it none is removed, as only
+    the caller knows which ones are still being read.
     """
     base = f"{root}/{name}"
     taken = [v for v in files.child_names(spark, base) if v.startswith(_PREFIX)]
@@ -55,8 +54,9 @@ def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame) -> N
         # a range over user and day also spreads the rows of a dominant user
         df = df.repartitionByRange(*READ_ORDER[name]).sortWithinPartitions(*READ_ORDER[name])
     df.write.parquet(f"{base}/{_PREFIX}{number:08d}")
-    for old in _versions(spark, root, name)[:-_KEPT_VERSIONS]:
-        files.delete(spark, f"{base}/{old}")
+    if keep is not None:
+        for old in _versions(spark, root, name)[: -max(1, keep)]:
+            files.delete(spark, f"{base}/{old}")
 
 
 def definitions(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import types as T
 
 _L, _I, _S, _B = T.LongType(), T.IntegerType(), T.StringType(), T.BooleanType()
@@ -17,7 +19,7 @@ CHANGED_FILE = _struct(
     ("filename", _S, True), ("status", _S, True), ("additions", _I, True), ("deletions", _I, True), ("patch", _S, True)
 )
 COMMIT_RAW = _struct(
-    ("stats", _struct(("additions", _I, True), ("deletions", _I, True)), True),
+    ("stats", T.MapType(_S, _I), True),
     ("files", T.ArrayType(CHANGED_FILE), True),
     ("diff", _S, True),
 )
@@ -145,6 +147,7 @@ ENTITIES: dict[str, T.StructType] = {
 }
 
 # Month-partitioned entities and the timestamp their partitions are cut from.
+MONTH_RANGE = (date(2024, 1, 1), date(2028, 1, 1))
 PARTITION_TIMESTAMP = {"commits": "committed_at", "pull_requests": "pr_created_at", "analyses": "analyzed_at"}
 
 # Landed payloads, as the forge sends them, inside an envelope that says which
@@ -159,7 +162,8 @@ COMMIT_PAYLOAD = _struct(
         True,
     ),
     ("author", _struct(("login", _S, True)), True),
-    ("stats", _struct(("additions", _I, True), ("deletions", _I, True)), True),
+    # every key of the object is kept
+    ("stats", T.MapType(_S, _I), True),
     ("files", _FILES, True),
 )
 _REF = _struct(("ref", _S, True))

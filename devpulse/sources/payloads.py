@@ -6,6 +6,8 @@ its position in the fetch, and the record itself, either typed or as JSON text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,14 @@ from devpulse.schemas import (
     REPOSITORY_PAYLOAD,
 )
 
-MESSAGE_CHARS = 2000
-STORED_FILES = 50
-PATCH_CHARS = 500
-SEARCHED_DIRS = 10
+
+@dataclass(frozen=True)
+class Cuts:
+    """Limits on what is kept of a commit record; none by default."""
+
+    message_chars: int | None = None
+    files: int | None = None
+    patch_chars: int | None = None
 
 
 def typed_payload(df: DataFrame, schema: T.DataType) -> DataFrame:
@@ -44,41 +50,45 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-def _stored_file(f: Column) -> Column:
+def _leading(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _stored_file(f: Column, cuts: Cuts) -> Column:
     return F.struct(
         f["filename"].alias("filename"),
         f["status"].alias("status"),
         _zero(f["additions"]).alias("additions"),
         _zero(f["deletions"]).alias("deletions"),
-        F.substring(F.coalesce(f["patch"], F.lit("")), 1, PATCH_CHARS).alias("patch"),
+        _leading(F.coalesce(f["patch"], F.lit("")), cuts.patch_chars).alias("patch"),
     )
 
 
-def parse_commits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_commits(raw: DataFrame, cuts: Cuts = Cuts()) -> tuple[DataFrame, DataFrame]:
     """Commit rows and the records rejected for lack of a date.
 
     The committer date counts before the author date; an empty one is missing.
-    All files are counted, the first 50 are stored with shortened patches.
+    All files are counted; ``cuts`` may shorten what is stored of them, and the
+    message.
     """
     p = F.col("payload")
     ok, rejected = split_valid(typed_payload(raw, COMMIT_PAYLOAD).withColumn("_at", _commit_time(p)), F.col("_at").isNotNull())
     files = F.coalesce(p["files"], F.array().cast(COMMIT_PAYLOAD["files"].dataType))
+    stored = files if cuts.files is None else F.slice(files, 1, cuts.files)
     sha = F.coalesce(p["sha"], F.lit(""))
     parsed = ok.select(
         F.xxhash64("repo_id", sha).alias("commit_id"),
         "repo_id",
         "seq",
         sha.alias("github_commit_sha"),
-        F.substring(F.coalesce(p["commit"]["message"], F.lit("")), 1, MESSAGE_CHARS).alias("message"),
+        _leading(F.coalesce(p["commit"]["message"], F.lit("")), cuts.message_chars).alias("message"),
         F.col("_at").alias("committed_at"),
         _zero(p["stats"]["additions"]).alias("additions"),
         _zero(p["stats"]["deletions"]).alias("deletions"),
         array_size(p["files"]).alias("changed_files"),
         F.struct(
-            F.struct(
-                p["stats"]["additions"].alias("additions"), p["stats"]["deletions"].alias("deletions")
-            ).alias("stats"),
-            F.transform(F.slice(files, 1, STORED_FILES), _stored_file).alias("files"),
+            p["stats"].alias("stats"),
+            F.transform(stored, lambda f: _stored_file(f, cuts)).alias("files"),
             F.lit(None).cast("string").alias("diff"),
         ).alias("raw_data"),
         p["author"]["login"].alias("author_login"),
@@ -154,11 +164,11 @@ def primary_language(sizes: Column | str) -> Column:
     )["key"]
 
 
-def select_manifests(files: DataFrame) -> DataFrame:
+def select_manifests(files: DataFrame, searched_dirs: int | None = None) -> DataFrame:
     """The dependency manifests of each repository, from ``repo_id, path, ord``.
 
-    Manifests in the root win; else those of the first of its leading ten
-    subdirectories, in listing order, that has any.
+    Manifests in the root win; else those of the first of its subdirectories, in
+    listing order, that has any; ``searched_dirs`` limits the search to so many.
     """
     parts = F.split("path", "/")
     located = files.select(
@@ -172,7 +182,7 @@ def select_manifests(files: DataFrame) -> DataFrame:
     subdirs = (
         located.filter("depth > 1").groupBy("repo_id", F.col("top").alias("dir")).agg(F.min("ord").alias("dir_ord"))
     )
-    searched = top_k(subdirs, ["repo_id"], [F.asc("dir_ord"), F.asc("dir")], SEARCHED_DIRS, "dir_rank")
+    searched = top_k(subdirs, ["repo_id"], [F.asc("dir_ord"), F.asc("dir")], searched_dirs, "dir_rank")
     # at most one path per known name, so these arrays hold no more than the names
     candidates = (
         located.filter(F.col("name").isin(MANIFEST_NAMES) & (F.col("depth") <= 2))

@@ -10,9 +10,7 @@ from pyspark.sql import types as T
 
 from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators.filters import split_valid
-from devpulse.schemas import ENTITIES, PARTITION_TIMESTAMP
-
-MONTH_RANGE = (date(2024, 1, 1), date(2028, 1, 1))
+from devpulse.schemas import ENTITIES, MONTH_RANGE, PARTITION_TIMESTAMP
 
 
 def stored_schema(entity: str) -> T.StructType:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -25,25 +26,31 @@ def ingest_commits(
     checkpoint: str,
     max_files: int | None = None,
     months: tuple[date, date] = MONTH_RANGE,
-    quarantine: str | None = None,
+    *,
+    quarantine: str,
 ) -> StreamingQuery:
     """Upsert landed commit files, then bring the daily rollup up to date.
 
     The checkpoint remembers which files were taken in, so a commit pushed late
-    with an old date is still picked up.  A replayed batch changes nothing.
-    Records without a date or outside the month range go to ``quarantine``.
+    with an old date is still picked up.  Records arrive in the order of the
+    files' times, then names, then ``seq``, so it makes no difference how many
+    files one micro-batch takes, and a replayed batch changes nothing.  Records
+    without a date or outside the month range go to ``quarantine``.
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        parsed, undated = parse_commits(batch)
-        inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
-        if quarantine:
-            batch.persist()  # the files are parsed once for all three outputs
+        batch.persist()  # the files are parsed once for all three outputs
+        try:
+            parsed, undated = parse_commits(batch)
+            inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
             _keep({"undated": undated, "out_of_range": outside}, quarantine, batch_id)
-        merged = merge_monthly(spark, commits_path, inside, COMMITS)
-        batch.unpersist()
-        refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
-        merged.release()
+            merged = merge_monthly(spark, commits_path, inside, COMMITS)
+        finally:
+            batch.unpersist()
+        try:
+            refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
+        finally:
+            merged.release()
 
     return _start(_landed(spark, landing, COMMIT_PAYLOAD, max_files), take_in, checkpoint)
 
@@ -55,18 +62,20 @@ def ingest_pull_requests(
     checkpoint: str,
     max_files: int | None = None,
     months: tuple[date, date] = MONTH_RANGE,
-    quarantine: str | None = None,
+    *,
+    quarantine: str,
 ) -> StreamingQuery:
-    """Upsert landed pull-request files."""
+    """Upsert landed pull-request files, in the order of `ingest_commits`."""
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        parsed, unusable = parse_pull_requests(batch)
-        inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
-        if quarantine:
-            batch.persist()
+        batch.persist()
+        try:
+            parsed, unusable = parse_pull_requests(batch)
+            inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
             _keep({"unusable": unusable, "out_of_range": outside}, quarantine, batch_id)
-        merge_monthly(spark, prs_path, inside, PULL_REQUESTS).release()
-        batch.unpersist()
+            merge_monthly(spark, prs_path, inside, PULL_REQUESTS).release()
+        finally:
+            batch.unpersist()
 
     return _start(_landed(spark, landing, PULL_REQUEST_PAYLOAD, max_files), take_in, checkpoint)
 
@@ -81,7 +90,8 @@ def _landed(spark: SparkSession, landing: str, payload: StructType, max_files: i
     reader = spark.readStream.schema(envelope(payload))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(landing)
+    arrival = F.struct("_metadata.file_modification_time", "_metadata.file_path", "seq")
+    return reader.json(landing).select("repo_id", arrival.alias("seq"), "payload")
 
 
 def _start(stream: DataFrame, take_in: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

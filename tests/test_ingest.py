@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -21,15 +22,14 @@ def commit(sha, committer="2024-01-02T03:04:05Z", author=None, additions=1, file
     return {
         "sha": sha,
         "commit": {"message": message, "committer": {"date": committer}, "author": {"date": author}},
-        "stats": {"additions": additions},
+        "stats": {"additions": additions, "total": 9},
         "files": list(files),
     }
 
 
 def test_commit_records(spark):
     many = [{"filename": f"f{i}", "status": "added", "additions": 1, "patch": "p" * 600} for i in range(60)]
-    ok, rejected = payloads.parse_commits(
-        landed(
+    records = landed(
             spark,
             [
                 (1, 0, commit("a", files=many, message="x" * 2500)),
@@ -38,8 +38,11 @@ def test_commit_records(spark):
                 (1, 3, "not json"),
                 (1, 4, {"sha": "d", "commit": {"author": {"date": "2024-01-04T00:00:00Z"}}}),
             ],
-        )
     )
+    whole = {r.github_commit_sha: r for r in payloads.parse_commits(records)[0].collect()}["a"]
+    assert (whole.changed_files, len(whole.raw_data.files), len(whole.message)) == (60, 60, 2500)
+    assert {len(f.patch) for f in whole.raw_data.files} == {600} and whole.raw_data.stats == {"additions": 1, "total": 9}
+    ok, rejected = payloads.parse_commits(records, payloads.Cuts(2000, 50, 500))
     got = {r.github_commit_sha: r for r in ok.collect()}
     assert set(got) == {"a", "b", "d"} and sorted(r.seq for r in rejected.collect()) == [2, 3]
     a = got["a"]
@@ -94,7 +97,8 @@ def test_manifests(spark):
     files += [(3, f"d{i:02}/x.c", i) for i in range(10)] + [(3, "late/go.mod", 99)]
     files += [(4, "a/b/go.mod", 0), (4, "c/Gemfile", 1), (4, "c/Gemfile", 1)]
     df = spark.createDataFrame(files, "repo_id long, path string, ord long")
-    assert rows(payloads.select_manifests(df)) == [
+    assert (3, "late/go.mod") in rows(payloads.select_manifests(df))
+    assert rows(payloads.select_manifests(df, searched_dirs=10)) == [
         (1, "go.mod"),
         (2, "d09/Dockerfile"),
         (2, "d09/go.mod"),
@@ -138,11 +142,23 @@ def test_an_update_can_clear_a_field(spark):
 
 def test_json_patch_keeps_other_keys(spark):
     df = spark.createDataFrame(
-        [(1, '{"a":{"x":1},"b":"s","c":[1,2]}'), (2, None), (3, '{"z":true}')], "repo_id long, doc string"
+        [(1, '{"a":{"x":1},"b":"s","c":[1,2]}'), (2, None), (3, '{"z":true}'), (4, "[1,2]"), (5, "not json"), (6, " ")], "repo_id long, doc string"
     )
-    patches = spark.createDataFrame([(1, 0, "1"), (1, 1, '{"n":null}'), (2, 0, '"v"')], "repo_id long, seq long, value string")
-    got = {r.repo_id: json.loads(r.doc) for r in upsert.patch_json(df, patches, "repo_id", "doc", "a").collect()}
-    assert got == {1: {"a": {"n": None}, "b": "s", "c": [1, 2]}, 2: {"a": "v"}, 3: {"z": True}}
+    patches = spark.createDataFrame([(1, 0, "1"), (1, 1, '{"n":null}'), (2, 0, '"v"'), (4, 0, "1"), (5, 0, "1"), (6, 0, "1")], "repo_id long, seq long, value string")
+    got = {r.repo_id: r.doc for r in upsert.patch_json(df, patches, "repo_id", "doc", "a").collect()}
+    assert (got.pop(4), got.pop(5)) == ("[1,2]", "not json")
+    assert {k: json.loads(v) for k, v in got.items()} == {1: {"a": {"n": None}, "b": "s", "c": [1, 2]}, 2: {"a": "v"}, 3: {"z": True}, 6: {"a": 1}}
+    assert rows(upsert.unreadable_documents(df, "doc"), "repo_id") == [(4,), (5,)]
+
+
+def test_an_uncertain_arrival_order_ends_the_job(spark):
+    same = [(1, 3, commit("a", additions=1)), (1, 3, commit("a", additions=2))]
+    with pytest.raises(Exception, match="share the position"):
+        upsert.collapse_batch(stored_commits(spark, *same), upsert.COMMITS).collect()
+    # equal records, and ties between the first and the last one, decide nothing
+    fine = [(1, 1, commit("a")), (1, 1, commit("a")), (1, 2, commit("a", additions=5)), (1, 2, commit("a", additions=6)), (1, 3, commit("a", additions=7))]
+    (r,) = upsert.collapse_batch(stored_commits(spark, *fine), upsert.COMMITS).collect()
+    assert (r.additions, r.processed) == (7, 5)
 
 
 def test_discovery_and_registration(spark):

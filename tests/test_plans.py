@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import date, datetime
 
 import pytest
@@ -151,6 +152,9 @@ def test_old_versions_stay_readable_during_a_refresh_and_unfinished_ones_do_not_
     assert refresh.read_rollup(spark, root, "r").count() == 2
     refresh.create_rollup(spark, root, "r", spark.range(4))
     assert refresh.read_rollup(spark, root, "r").count() == 4
+    assert "version-00000001" in files.child_names(spark, f"{root}/r")
+    refresh.create_rollup(spark, root, "r", spark.range(5), keep=2)
+    assert refresh.read_rollup(spark, root, "r").count() == 5
     assert "version-00000001" not in files.child_names(spark, f"{root}/r")
 
 
@@ -193,13 +197,30 @@ def test_streamed_files_give_the_batch_result(spark, repos, tmp_path):
     assert spark.read.parquet(f"{root}/rejects/out_of_range").count() == 1
 
 
+def test_files_in_one_micro_batch_arrive_in_their_order(spark, repos, tmp_path):
+    """`seq` starts anew in each file; a later file wins over an earlier one."""
+    first, second = [record(1, 9, "a", "2024-01-05", 111)], [record(1, 0, "a", "2024-01-05", 222)]
+    got = []
+    for name, max_files in (("one", 1), ("all", None)):
+        root = tmp_path / name
+        root.mkdir()
+        land(root / "landing", "1.json", first)
+        time.sleep(0.02)
+        land(root / "landing", "2.json", second)
+        ingest.ingest_commits(
+            spark, f"{root}/landing", f"{root}/commits", f"{root}/daily", repos, f"{root}/checkpoint", max_files, quarantine=f"{root}/rejects"
+        ).awaitTermination()
+        got.append(rows(spark.read.parquet(f"{root}/commits"), "additions", "message"))
+    assert got[0] == got[1] == [(222, "a9")]
+
+
 def test_streamed_pull_requests(spark, tmp_path):
     root = str(tmp_path)
     pr = {"id": 7, "number": 1, "created_at": "2024-01-02T00:00:00Z", "state": "open"}
     land(tmp_path / "landing", "1.json", [{"repo_id": 1, "seq": 0, "payload": pr}])
-    ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp").awaitTermination()
+    ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp", quarantine=f"{root}/rejects").awaitTermination()
     land(tmp_path / "landing", "2.json", [{"repo_id": 1, "seq": 0, "payload": {**pr, "state": "closed", "number": 3}}])
-    ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp").awaitTermination()
+    ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp", quarantine=f"{root}/rejects").awaitTermination()
     assert rows(spark.read.parquet(f"{root}/prs"), "state", "github_pr_number") == [("closed", 1)]
 
 

@@ -33,11 +33,10 @@ def expected(data, page, per_page):
 
 
 @pytest.mark.parametrize("page", [1, 2, 7, 13])
-def test_pages_by_either_path(spark, monkeypatch, page):
+def test_pages_by_either_path(spark, page):
     df = jobs(spark, 125)
     data = df.collect()
     shallow = ranking.paginate(df, order(), page, 10)
-    monkeypatch.setattr(ranking, "GROUP_LIMIT", 0)
     deep = ranking.paginate(df, order(), page, 10, levels=levels())
     columns = ["user_id", "id", "position"]
     assert rows(shallow, *columns) == rows(deep, *columns) == expected(data, page, 10)

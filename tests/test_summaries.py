@@ -39,7 +39,7 @@ def analyses(spark, *entries):
 
 def weekly(spark, repos, cs=(), ps=(), ans=(), start=MONDAY, count=1):
     return summaries.weekly_summary(
-        users(spark), commits(spark, *cs), prs(spark, *ps), analyses(spark, *ans), repos, start, count
+        users(spark), commits(spark, *cs), prs(spark, *ps), analyses(spark, *ans), repos, start, count, 10, 3
     )
 
 
@@ -89,12 +89,12 @@ def test_stored_week_replaces_the_computed_one(spark, repos):
     assert [r[-1] for r in got] == ["computed", "generated", "computed", "computed"]
 
 
-def test_only_the_ten_newest_stored_weeks_are_searched(spark, repos):
+def test_all_stored_weeks_are_searched_unless_limited(spark, repos):
     t = datetime(2024, 3, 12)
     old = ("weekly_summary", 1, 1, [], "summary", {"week_start": "2024-03-04"}, t)
     newer = [("weekly_summary", 1, 1, [], "summary", {"week_start": "2023-01-02"}, t + timedelta(days=i)) for i in range(1, 11)]
-    for ans, origin in (([old, *newer[:9]], "generated"), ([old, *newer], "computed")):
-        resolved = summaries.resolve_weekly(weekly(spark, repos, ans=ans), analyses(spark, *ans), repos)
+    for ans, keep, origin in (([old, *newer], None, "generated"), ([old, *newer[:9]], 10, "generated"), ([old, *newer], 10, "computed")):
+        resolved = summaries.resolve_weekly(weekly(spark, repos, ans=ans), analyses(spark, *ans), repos, keep)
         assert rows(resolved.filter("user_id = 1"), "origin") == [(origin,)]
 
 
@@ -102,7 +102,7 @@ def test_months(spark, repos):
     cs = [(1, datetime(2024, 2, 29, 23, 59)), (1, datetime(2024, 3, 1)), (2, datetime(2024, 3, 31)), (3, datetime(2024, 3, 31)), (3, datetime(2024, 3, 9))]
     ans = [("commit", i, 1, [], c, None, datetime(2024, 3, 3)) for i, c in enumerate("aabbbcdefgh")]
     march = date(2024, 3, 1)
-    got = summaries.monthly_summary(users(spark), commits(spark, *cs), analyses(spark, *ans), repos, march, 2)
+    got = summaries.monthly_summary(users(spark), commits(spark, *cs), analyses(spark, *ans), repos, march, 2, areas_kept=5)
     by_month = {(r.user_id, r.month): r for r in got.collect()}
     r = by_month[1, 3]
     assert (r.total_commits, r.active_repo_count, r.growth_areas) == (4, 3, ["b", "a", "c", "d", "e"])
@@ -139,7 +139,7 @@ def test_stored_month_lists_all_active_repositories(spark, repos):
 
 def test_evidence_is_limited_per_user_and_week(spark, repos):
     cs = [(1 + i % 2, datetime(2024, 3, 4) + timedelta(minutes=i)) for i in range(150)] + [(4, datetime(2024, 3, 4))]
-    got = summaries.evidence_commits(commits(spark, *cs), repos, MONDAY).collect()
+    got = summaries.evidence_commits(commits(spark, *cs), repos, MONDAY, limit=100).collect()
     mine = sorted((r for r in got if r.user_id == 1), key=lambda r: r.rank)
     assert len(mine) == 100 and mine[0].message == "m149" and mine[-1].message == "m50"
     assert len([r for r in got if r.user_id == 2]) == 1

@@ -24,6 +24,12 @@ def days_back(*offsets):
     return [TODAY - timedelta(days=o) for o in offsets]
 
 
+def test_a_streak_is_as_long_as_it_is(spark):
+    entries = [(1, 1, d, 1) for d in days_back(*range(200))]
+    assert rows(widgets.current_streak(daily(spark, entries), TODAY)) == [(1, 200)]
+    assert rows(widgets.current_streak(daily(spark, entries), TODAY, 120)) == [(1, 121)]
+
+
 def test_streaks(spark):
     entries = [(1, 1, d, 1) for d in days_back(0, 1, 2, 5)]
     entries += [(2, 2, d, 1) for d in days_back(1, 2, 3, 4, 9)]
@@ -31,7 +37,7 @@ def test_streaks(spark):
     entries += [(4, 4, d, 1) for d in days_back(*range(130))]
     entries += [(5, 5, d, 1) for d in days_back(121)]
     entries += [(6, r, d, 2) for r in (6, 7) for d in days_back(0, 1)]
-    got = dict(rows(widgets.current_streak(daily(spark, entries), TODAY)))
+    got = dict(rows(widgets.current_streak(daily(spark, entries), TODAY, 120)))
     assert got == {1: 3, 2: 4, 3: 0, 4: 121, 6: 2}
 
 
@@ -160,10 +166,11 @@ def test_pie_slices(spark):
 def test_trend_maps_split_but_lose_nothing(spark):
     data = [(1, TODAY, f"t{i:03}", i) for i in range(50)] + [(2, TODAY, "only", 1)]
     trends = spark.createDataFrame(data, "user_id long, period_start date, tag string, count long")
-    parts = present.trend_maps(trends, entries=20).collect()
-    whole = {k: v for r in parts if r.user_id == 1 for k, v in r.tags.items()}
-    assert whole == {f"t{i:03}": i for i in range(50)} and len([r for r in parts if r.user_id == 1]) == 3
-    assert [(r.part, r.tags) for r in parts if r.user_id == 2] == [(0, {"only": 1})]
+    for letters, count in ((2, 1), (3, 5)):
+        parts = present.trend_maps(trends, letters).collect()
+        whole = {k: v for r in parts if r.user_id == 1 for k, v in r.tags.items()}
+        assert whole == {f"t{i:03}": i for i in range(50)} and len([r for r in parts if r.user_id == 1]) == count
+        assert [(r.start, r.tags) for r in parts if r.user_id == 2] == [("only"[:letters], {"only": 1})]
 
 
 def test_orderings(spark):
