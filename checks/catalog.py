@@ -17,7 +17,7 @@ from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_dif
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import first_of_month, period_filter, preset_start, resolve_window
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
-from devpulse.plans import files, incremental, refresh
+from devpulse.plans import files, incremental, refresh, store
 from devpulse.schemas import (
     CATEGORY_COLORS,
     DEFAULT_COLOR,
@@ -1326,8 +1326,7 @@ def _(t):
         incremental.refresh_daily_stats(t.spark, f"{root}/commits", f"{root}/daily", repos, merged.touched)
         merged.release()
     files.delete(t.spark, f"{root}/commits")
-    stored = t.spark.read.parquet(f"{root}/daily")
-    return stored.select("commit_date", "repo_id", "user_id", "commit_count", "total_additions")
+    return store.read(t.spark, f"{root}/daily").select("commit_date", "repo_id", "user_id", "commit_count", "total_additions")
 
 
 @query(
@@ -1354,7 +1353,7 @@ def _(t):
     run.awaitTermination()
     for done in ("landing", "commits", "quarantine"):
         files.delete(t.spark, f"{root}/{done}")
-    return t.spark.read.parquet(f"{root}/daily").drop("year_month", "full_name", "primary_language")
+    return store.read(t.spark, f"{root}/daily").drop("year_month", "full_name", "primary_language")
 
 
 @query(

@@ -1,8 +1,9 @@
 """Incremental upserts and rollup maintenance by month (S9, S10 on storage; T2).
 
-A batch touches some months of a table.  Its keys are looked up in a
-column-pruned scan, only the months holding a hit are rewritten, and all other
-new rows are appended.  Replaying a batch after a failure gives the same table.
+A batch touches some months of a table.  One join of its keys with the stored
+ones finds the rows it changes; the months holding one are rewritten, all other
+new rows are added, and both become visible together.  Replaying a batch after a
+failure gives the same table.  Rollups live in the store that `read_rollup` reads.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 
 from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators import rollups
-from devpulse.operators.upsert import UpsertSpec, collapse_batch, matched_keys, new_rows, updated_rows
-from devpulse.plans import files
-from devpulse.sources.tables import month_of, write_monthly
+from devpulse.operators.upsert import UpsertSpec, collapse_batch, updated_rows
+from devpulse.plans import files, store
+from devpulse.sources.tables import month_of, stored_schema
 
 
 @dataclass
@@ -47,37 +48,32 @@ def merge_monthly(
     even when the incoming record says otherwise.  ``trust_dates`` limits the
     search to the batch's own months for sources whose record time is immutable.
     """
-    incoming, p1 = files.staged(collapse_batch(batch, spec, order), "incoming")
     ts = spec.timestamp
-    if not files.exists(spark, path):
-        write_monthly(incoming.select(*spec.columns), ts, path)
-        return MergeResult(incoming.select(*spec.keys, ts), [], [p1])
-
-    # an explicit schema, as the table may still hold no file
+    incoming = collapse_batch(batch, spec, order)
     stored = T.StructType([*incoming.select(*spec.columns).schema, T.StructField(MONTH_COLUMN, T.StringType())])
-    base = spark.read.schema(stored).parquet(path)
-    searched = base
+    months = None
     if trust_dates:
-        searched = base.filter(F.col(MONTH_COLUMN).isin(_months_in(incoming.withColumn(MONTH_COLUMN, month_of(ts)))))
-    hits, p2 = files.staged(matched_keys(searched, incoming, spec, ts, MONTH_COLUMN), "hits")
-    inserts, p3 = files.staged(new_rows(incoming, hits, spec), "inserts")
-    months = _months_in(hits)
+        months = _months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN)))
+    base = store.read(spark, path, months, stored)
+    at = F.struct(F.col(ts).alias("at"), F.col(MONTH_COLUMN).alias("month"))
+    known = base.select(*spec.keys, at.alias("_stored"))
+    found, scratch = files.staged(incoming.join(known, spec.keys, "left"), "found")
 
-    if months:
-        kept = base.filter(F.col(MONTH_COLUMN).isin(months)).drop(MONTH_COLUMN)
-        here = inserts.filter(month_of(ts).isin(months))
-        merged = updated_rows(kept, incoming, spec).unionByName(here, allowMissingColumns=True)
-        write_monthly(merged, ts, path, mode="overwrite")
-    write_monthly(inserts.filter(~month_of(ts).isin(months)) if months else inserts, ts, path)
+    hits, fresh = found.filter("_stored IS NOT NULL"), found.filter("_stored IS NULL").select(*spec.columns)
+    rewritten = sorted(_months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN))))
+    changed = store.read(spark, path, rewritten, stored).drop(MONTH_COLUMN)
+    merged = updated_rows(changed, hits, spec).unionByName(fresh, allowMissingColumns=True)
+    # rows for a rewritten month come in with it, others are added to theirs
+    store.commit(merged, path, ts, rewritten)
 
-    touched = hits.select(*spec.keys, ts).unionByName(inserts.select(*spec.keys, ts))
-    return MergeResult(touched, months, [p1, p2, p3])
+    touched = hits.select(*spec.keys, F.col("_stored.at").alias(ts)).unionByName(fresh.select(*spec.keys, ts))
+    return MergeResult(touched, rewritten, [scratch])
 
 
 def refresh_daily_stats(
     spark: SparkSession, commits_path: str, rollup_path: str, repos: DataFrame, touched: DataFrame
 ) -> None:
-    """Recompute the touched (day, repository) keys of the daily rollup.
+    """Recompute the touched (day, repository) keys of the daily rollup (A1).
 
     ``touched`` must be stored rows (see `merge_monthly`).  Only commits in the
     touched months are read and only those months of the rollup are replaced.
@@ -85,7 +81,7 @@ def refresh_daily_stats(
     keys = touched.select(F.to_date("committed_at").alias("commit_date"), "repo_id").distinct()
     months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("commit_date")))
     if months:
-        commits = spark.read.parquet(commits_path).filter(F.col(MONTH_COLUMN).isin(months))
+        commits = store.read(spark, commits_path, months)
         fresh = _touched_counts(rollups.commit_counts_by_day(commits), keys)
         rows = rollups.with_owner(fresh, repos, "full_name", "primary_language")
         _replace_keys(spark, rollup_path, rows, keys, months)
@@ -100,7 +96,7 @@ def refresh_renamed(spark: SparkSession, commits_path: str, rollup_path: str, re
     attributes = ["user_id", "full_name", "primary_language"]
     now = repos.select("repo_id", F.struct(*attributes).alias("_now"))
     stale = (
-        spark.read.parquet(rollup_path)
+        store.read(spark, rollup_path)
         .select("repo_id", F.col("commit_date").cast("timestamp").alias("committed_at"), F.struct(*attributes).alias("_then"))
         .join(now, "repo_id")
         .filter(~F.col("_now").eqNullSafe(F.col("_then")))
@@ -130,11 +126,34 @@ def refresh_analysis_rollup(
     if months:
         last = F.date_add(day, 6 if weekly else 0)
         sources = {*months, *_months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))}
-        analyses = spark.read.parquet(analyses_path).filter(F.col(MONTH_COLUMN).isin(sorted(sources)))
+        analyses = store.read(spark, analyses_path, sorted(sources))
         rows = rollups.with_owner(_touched_counts(count(analyses), keys), repos)
         _replace_keys(spark, rollup_path, rows, keys, months)
 
 
+def refresh_hourly(
+    spark: SparkSession, commits_path: str, prs_path: str, rollup_path: str, repos: DataFrame, touched: DataFrame
+) -> None:
+    """T2 for the hourly rollup (A17): recompute the touched (user, day) keys.
+
+    ``touched`` holds ``repo_id`` and ``at``, the time of a commit or of a pull
+    request's creation.
+    """
+    days = touched.select(F.to_date("at").alias("activity_date"), "repo_id").distinct()
+    owned = days.join(repos.select("repo_id", "user_id"), "repo_id")
+    keys, scratch = files.staged(owned.select("activity_date", "user_id").distinct(), "hours")
+    months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("activity_date")))
+    if months:
+        mine = repos.join(keys.select("user_id").distinct(), "user_id", "left_semi")
+        sources = [
+            store.read(spark, path, months, stored_schema(entity))
+            for path, entity in ((commits_path, "commits"), (prs_path, "pull_requests"))
+        ]
+        fresh = _touched_counts(rollups.hourly_activity(*sources, mine), keys)
+        _replace_keys(spark, rollup_path, fresh, keys, months)
+    files.delete(spark, scratch)
+
+
 def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """The counts of the touched keys.
 
@@ -147,7 +166,7 @@ def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _replace_keys(spark: SparkSession, path: str, fresh: DataFrame, keys: DataFrame, months: list[str]) -> None:
     """Replace the rows of the given keys in the given months of a rollup."""
-    if files.exists(spark, path):
-        stored = spark.read.parquet(path).filter(F.col(MONTH_COLUMN).isin(months)).drop(MONTH_COLUMN)
+    if store.exists(spark, path):
+        stored = store.read(spark, path, months, fresh.schema).drop(MONTH_COLUMN)
         fresh = stored.join(keys, keys.columns, "left_anti").unionByName(fresh)
-    write_monthly(fresh, keys.columns[0], path, mode="overwrite", sort_by=("user_id",))
+    store.commit(fresh, path, keys.columns[0], months, sort_by=("user_id", keys.columns[0]))

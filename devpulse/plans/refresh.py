@@ -7,56 +7,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators import rollups
-from devpulse.plans import files
+from devpulse.plans import store
 
 log = logging.getLogger(__name__)
 
-_PREFIX = "version-"
-# Files hold ranges of these keys, so a read for one user, or one user and some
-# days, skips most of them by their column statistics.
-READ_ORDER = {
-    "daily_commit_stats": ["user_id", "commit_date"],
-    "weekly_tech_trends": ["user_id", "week_start"],
-    "work_category_stats": ["user_id", "analysis_date"],
-    "hourly_activity": ["user_id", "activity_date"],
+#: the day that a rollup is stored by; its files are sorted by user, so a read for
+#: one user and some days skips most of them by their column statistics
+DAY = {
+    "daily_commit_stats": "commit_date",
+    "weekly_tech_trends": "week_start",
+    "work_category_stats": "analysis_date",
+    "hourly_activity": "activity_date",
 }
 
-def _versions(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Complete versions, oldest first; a version counts once its job committed."""
-    base = f"{root}/{name}"
-    return [
-        v
-        for v in files.child_names(spark, base)
-        if v.startswith(_PREFIX) and files.exists(spark, f"{base}/{v}/_SUCCESS")
-    ]
-
 
 def read_rollup(spark: SparkSession, root: str, name: str) -> DataFrame:
-    versions = _versions(spark, root, name)
-    if not versions:
+    if not store.exists(spark, f"{root}/{name}"):
         raise FileNotFoundError(f"rollup {name} was never created under {root}")
-    return spark.read.parquet(f"{root}/{name}/{versions[-1]}")
+    return store.read(spark, f"{root}/{name}").drop(MONTH_COLUMN)
 
 
-def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame, keep: int | None = None) -> None:
-    """Write the next version beside the current one.
+def create_rollup(spark: SparkSession, root: str, name: str, df: DataFrame) -> None:
+    """Write the whole rollup anew and switch to it.
 
-    The commit marker of the write is the switch, so readers see either the old
-    or the new version and a failed write leaves the old one in place.  ``keep``
-    removes all but so many newest versions; without it none is removed, as only
-    the caller knows which ones are still being read.
+    A failed write leaves the old version in place.  Old versions stay until
+    `store.expire` removes them, as only the caller knows which are being read.
     """
-    base = f"{root}/{name}"
-    taken = [v for v in files.child_names(spark, base) if v.startswith(_PREFIX)]
-    number = int(taken[-1].removeprefix(_PREFIX)) + 1 if taken else 1
-    if name in READ_ORDER:
-        # a range over user and day also spreads the rows of a dominant user
-        df = df.repartitionByRange(*READ_ORDER[name]).sortWithinPartitions(*READ_ORDER[name])
-    df.write.parquet(f"{base}/{_PREFIX}{number:08d}")
-    if keep is not None:
-        for old in _versions(spark, root, name)[: -max(1, keep)]:
-            files.delete(spark, f"{base}/{old}")
+    store.commit(df, f"{root}/{name}", DAY[name], None, sort_by=("user_id", DAY[name]))
 
 
 def definitions(
@@ -84,7 +63,7 @@ def refresh_rollups(
     report = []
     for name in names or list(definitions):
         try:
-            if not _versions(spark, root, name):
+            if not store.exists(spark, f"{root}/{name}"):
                 report.append((name, "skipped", "does not exist"))
                 continue
             create_rollup(spark, root, name, definitions[name]())

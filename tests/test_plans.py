@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from devpulse.operators import rollups, upsert
-from devpulse.plans import files, incremental, refresh
+from devpulse.plans import files, incremental, refresh, store
 from devpulse.session import scratch_dir
 from devpulse.sources import payloads, tables
 from devpulse.streaming import daily, ingest
@@ -54,11 +54,11 @@ def check(spark, root, repos, *batches):
     base = upsert.collapse_batch(whole, upsert.COMMITS).drop("processed")
     for batch in batches[1:]:
         base = upsert.upsert_commits(base, parsed(spark, batch))
-    stored = spark.read.parquet(f"{root}/commits")
+    stored = store.read(spark, f"{root}/commits")
     columns = ["repo_id", "github_commit_sha", "message", "additions", F.col("committed_at").cast("string")]
     assert rows(stored, *columns) == rows(base, *columns)
     assert rows(stored.filter("year_month <> date_format(committed_at, 'yyyy-MM')")) == []
-    assert rows(spark.read.parquet(f"{root}/daily"), *ROLLUP) == rows(rollups.daily_commit_stats(base, repos), *ROLLUP)
+    assert rows(store.read(spark, f"{root}/daily"), *ROLLUP) == rows(rollups.daily_commit_stats(base, repos), *ROLLUP)
 
 
 def test_merge_touches_only_months_with_a_hit(spark, repos, tmp_path):
@@ -66,7 +66,7 @@ def test_merge_touches_only_months_with_a_hit(spark, repos, tmp_path):
     assert take(spark, root, repos, FIRST) == []
 
     def february():
-        return {f for f in spark.read.parquet(f"{root}/commits").inputFiles() if "2024-02" in f}
+        return {f for f in store.read(spark, f"{root}/commits").inputFiles() if "2024-02" in f}
 
     untouched = february()
     assert take(spark, root, repos, SECOND) == ["2024-01"]
@@ -96,8 +96,8 @@ def test_renamed_repositories_are_brought_up_to_date(spark, repos, tmp_path):
     renamed = renamed.withColumn("primary_language", F.when(F.col("repo_id") == 4, "Zig").otherwise(F.col("primary_language")))
     for _ in range(2):
         incremental.refresh_renamed(spark, f"{root}/commits", f"{root}/daily", renamed)
-        stored = spark.read.parquet(f"{root}/daily")
-        whole = rollups.daily_commit_stats(spark.read.parquet(f"{root}/commits"), renamed)
+        stored = store.read(spark, f"{root}/daily")
+        whole = rollups.daily_commit_stats(store.read(spark, f"{root}/commits"), renamed)
         assert rows(stored, *whole.columns) == rows(whole)
 
 
@@ -119,43 +119,94 @@ def test_analysis_rollups_are_maintained(spark, repos, tmp_path, name):
     one = batch((1, 1, datetime(2024, 1, 30)), (2, 4, datetime(2024, 2, 20)))
     two = batch((3, 1, datetime(2024, 2, 2)), (4, 1, datetime(2024, 2, 21)))
     for df in (one, two):
-        tables.write_monthly(df, "analyzed_at", f"{tmp_path}/analyses")
+        store.commit(df, f"{tmp_path}/analyses", "analyzed_at")
         incremental.refresh_analysis_rollup(spark, name, f"{tmp_path}/analyses", f"{tmp_path}/{name}", repos, df)
     whole = getattr(rollups, name)(one.unionByName(two), repos)
-    assert rows(spark.read.parquet(f"{tmp_path}/{name}").drop("year_month"), *whole.columns) == rows(whole)
+    assert rows(store.read(spark, f"{tmp_path}/{name}"), *whole.columns) == rows(whole)
+
+
+DAILY, WEEKLY, CATEGORY = "daily_commit_stats", "weekly_tech_trends", "work_category_stats"
+
+
+def days(spark, n, column="commit_date"):
+    return spark.range(n).select(F.col("id").alias("user_id"), F.date_add(F.lit(date(2024, 1, 20)), F.col("id").cast("int") * 5).alias(column))
 
 
 def test_refresh_reports_and_isolates_failures(spark, tmp_path):
     root = str(tmp_path)
-    for name in ("good", "bad"):
-        refresh.create_rollup(spark, root, name, spark.range(1))
+    for name in (DAILY, CATEGORY):
+        refresh.create_rollup(spark, root, name, days(spark, 1, refresh.DAY[name]))
 
     def broken():
         raise RuntimeError("no source")
 
-    report = refresh.refresh_rollups(spark, root, {"bad": broken, "good": lambda: spark.range(5), "new": broken})
-    assert rows(report, "name", "status") == [("bad", "failed"), ("good", "refreshed"), ("new", "skipped")]
-    assert refresh.read_rollup(spark, root, "good").count() == 5
-    assert refresh.read_rollup(spark, root, "bad").count() == 1
+    report = refresh.refresh_rollups(spark, root, {CATEGORY: broken, DAILY: lambda: days(spark, 5), WEEKLY: broken})
+    assert rows(report, "name", "status") == [(DAILY, "refreshed"), (WEEKLY, "skipped"), (CATEGORY, "failed")]
+    assert refresh.read_rollup(spark, root, DAILY).count() == 5
+    assert refresh.read_rollup(spark, root, CATEGORY).count() == 1
     with pytest.raises(FileNotFoundError):
-        refresh.read_rollup(spark, root, "new")
+        refresh.read_rollup(spark, root, WEEKLY)
 
 
 def test_old_versions_stay_readable_during_a_refresh_and_unfinished_ones_do_not_count(spark, tmp_path):
     root = str(tmp_path)
-    refresh.create_rollup(spark, root, "r", spark.range(1))
-    reader = refresh.read_rollup(spark, root, "r")
-    refresh.create_rollup(spark, root, "r", spark.range(2))
+    refresh.create_rollup(spark, root, DAILY, days(spark, 1))
+    reader = refresh.read_rollup(spark, root, DAILY)
+    refresh.create_rollup(spark, root, DAILY, days(spark, 2))
+    assert reader.count() == 1
+    # a run that died with its rows written but not its list, or the list not committed
+    days(spark, 9).withColumn("year_month", F.lit("2024-01")).write.partitionBy("year_month").parquet(f"{root}/{DAILY}/data/version-00000003")
+    spark.createDataFrame([("2024-01", "version-00000003")], "year_month string, version string").write.json(f"{root}/{DAILY}/lists/version-00000003")
+    files.delete(spark, f"{root}/{DAILY}/lists/version-00000003/_SUCCESS")
+    assert refresh.read_rollup(spark, root, DAILY).count() == 2
+    refresh.create_rollup(spark, root, DAILY, days(spark, 4))
+    assert refresh.read_rollup(spark, root, DAILY).count() == 4
     assert reader.count() == 1
-    spark.range(9).write.parquet(f"{root}/r/version-00000003")
-    files.delete(spark, f"{root}/r/version-00000003/_SUCCESS")
-    assert refresh.read_rollup(spark, root, "r").count() == 2
-    refresh.create_rollup(spark, root, "r", spark.range(4))
-    assert refresh.read_rollup(spark, root, "r").count() == 4
-    assert "version-00000001" in files.child_names(spark, f"{root}/r")
-    refresh.create_rollup(spark, root, "r", spark.range(5), keep=2)
-    assert refresh.read_rollup(spark, root, "r").count() == 5
-    assert "version-00000001" not in files.child_names(spark, f"{root}/r")
+    store.expire(spark, f"{root}/{DAILY}", 1)
+    assert refresh.read_rollup(spark, root, DAILY).count() == 4
+    assert files.child_names(spark, f"{root}/{DAILY}/lists")[-1:] == ["version-00000004"]
+    assert not files.exists(spark, f"{root}/{DAILY}/data/version-00000001/year_month=2024-01")
+
+
+def test_a_merge_that_dies_loses_nothing(spark, repos, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    take(spark, root, repos, FIRST)
+    before = rows(store.read(spark, f"{root}/commits"), "repo_id", "github_commit_sha", "additions")
+
+    real = store.files.child_names
+
+    def dies(session, path):
+        if "/data/version-" in path:
+            raise OSError("lost")  # after the rows are written, before the switch
+        return real(session, path)
+
+    monkeypatch.setattr(store.files, "child_names", dies)
+    with pytest.raises(OSError):
+        take(spark, root, repos, SECOND)
+    monkeypatch.undo()
+    assert rows(store.read(spark, f"{root}/commits"), "repo_id", "github_commit_sha", "additions") == before
+    take(spark, root, repos, SECOND)
+    check(spark, root, repos, FIRST, SECOND)
+
+
+def test_small_pieces_of_a_month_are_joined(spark, tmp_path):
+    for i in range(4):
+        store.commit(days(spark, 3), f"{tmp_path}/t", "commit_date", sort_by=("user_id",))
+    assert store.compact(spark, f"{tmp_path}/t", "commit_date", 3, ("user_id",)) == ["2024-01"]
+    assert store.compact(spark, f"{tmp_path}/t", "commit_date", 3, ("user_id",)) == []
+    assert store.read(spark, f"{tmp_path}/t").count() == 12
+
+
+def test_hourly_rollup_is_maintained(spark, repos, tmp_path):
+    root, schema = str(tmp_path), "pr_id long, repo_id long, pr_created_at timestamp"
+    prs = [spark.createDataFrame([(1, 1, datetime(2024, 1, 5, 10))], schema), spark.createDataFrame([(2, 4, datetime(2024, 2, 1, 1)), (3, 2, datetime(2024, 1, 5, 10))], schema)]
+    for records, pulls in zip((FIRST, SECOND), prs):
+        merged = incremental.merge_monthly(spark, f"{root}/commits", parsed(spark, records), upsert.COMMITS)
+        store.commit(pulls, f"{root}/prs", "pr_created_at")
+        times = merged.touched.select("repo_id", F.col("committed_at").alias("at")).union(pulls.select("repo_id", "pr_created_at"))
+        incremental.refresh_hourly(spark, f"{root}/commits", f"{root}/prs", f"{root}/rollups/hourly_activity", repos, times)
+        whole = rollups.hourly_activity(store.read(spark, f"{root}/commits"), store.read(spark, f"{root}/prs"), repos)
+        assert rows(refresh.read_rollup(spark, f"{root}/rollups", "hourly_activity"), *whole.columns) == rows(whole)
 
 
 def test_rows_outside_the_month_range_are_set_aside(spark):
@@ -210,7 +261,7 @@ def test_files_in_one_micro_batch_arrive_in_their_order(spark, repos, tmp_path):
         ingest.ingest_commits(
             spark, f"{root}/landing", f"{root}/commits", f"{root}/daily", repos, f"{root}/checkpoint", max_files, quarantine=f"{root}/rejects"
         ).awaitTermination()
-        got.append(rows(spark.read.parquet(f"{root}/commits"), "additions", "message"))
+        got.append(rows(store.read(spark, f"{root}/commits"), "additions", "message"))
     assert got[0] == got[1] == [(222, "a9")]
 
 
@@ -221,7 +272,7 @@ def test_streamed_pull_requests(spark, tmp_path):
     ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp", quarantine=f"{root}/rejects").awaitTermination()
     land(tmp_path / "landing", "2.json", [{"repo_id": 1, "seq": 0, "payload": {**pr, "state": "closed", "number": 3}}])
     ingest.ingest_pull_requests(spark, f"{root}/landing", f"{root}/prs", f"{root}/cp", quarantine=f"{root}/rejects").awaitTermination()
-    assert rows(spark.read.parquet(f"{root}/prs"), "state", "github_pr_number") == [("closed", 1)]
+    assert rows(store.read(spark, f"{root}/prs"), "state", "github_pr_number") == [("closed", 1)]
 
 
 def test_live_counts_with_late_rows(spark, tmp_path):
