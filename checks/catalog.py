@@ -6,6 +6,7 @@ sides compare as plain values.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from checks.prelude import lookup, pct1, pct_change1, round1, with_views
 from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_diff, truncate_diff
 from devpulse.functions.exprs import round1 as round1_expr
-from devpulse.functions.timeops import first_of_month, period_filter, preset_start, resolve_window
+from devpulse.functions.timeops import preset_start
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
 from devpulse.plans import files, incremental, refresh, store
 from devpulse.schemas import (
@@ -101,12 +102,8 @@ def _(t):
 # --- Widgets --------------------------------------------------------------------
 
 
-def _daily(t: TestTables, start: date | None = None, end: date | None = None) -> DataFrame:
-    """The daily rollup, of the days a query needs if it says which."""
-    commits = t.commits()
-    if start and end:
-        commits = period_filter(commits, "committed_at", start, end + timedelta(days=1))
-    return rollups.daily_commit_stats(commits, t.repositories())
+def _daily(t: TestTables) -> DataFrame:
+    return rollups.daily_commit_stats(t.commits(), t.repositories())
 
 
 def _event_daily(t: TestTables) -> DataFrame:
@@ -124,18 +121,18 @@ def _activity_sql(bucket: str, lo: str, hi: str) -> str:
 
 @query("commit_activity_daily", _activity_sql("commit_date", "2001-05-03", "2001-08-01"))
 def _(t):
-    return widgets.commit_activity(_daily(t, *resolve_window(ORDERS_AS_OF)), ORDERS_AS_OF)
+    return widgets.commit_activity(_daily(t), ORDERS_AS_OF)
 
 
 @query("commit_activity_weekly", _activity_sql("date_trunc('week', commit_date)", "2001-05-03", "2001-08-01"))
 def _(t):
-    return widgets.commit_activity(_daily(t, *resolve_window(ORDERS_AS_OF)), ORDERS_AS_OF, "weekly")
+    return widgets.commit_activity(_daily(t), ORDERS_AS_OF, "weekly")
 
 
 @query("commit_activity_monthly", _activity_sql("date_trunc('month', commit_date)", "1996-01-15", "2001-07-10"))
 def _(t):
     window = date(1996, 1, 15), date(2001, 7, 10)
-    return widgets.commit_activity(_daily(t, *window), ORDERS_AS_OF, "monthly", *window)
+    return widgets.commit_activity(_daily(t), ORDERS_AS_OF, "monthly", *window)
 
 
 @query(
@@ -172,7 +169,7 @@ _TOP_REPOS = """
 
 def _top_repos(t: TestTables) -> DataFrame:
     start = date(2000, 1, 1)
-    return widgets.repo_breakdown(_daily(t, start, ORDERS_AS_OF), ORDERS_AS_OF, start)
+    return widgets.repo_breakdown(_daily(t), ORDERS_AS_OF, start)
 
 
 @query(
@@ -302,7 +299,7 @@ def _months_sql(source: str) -> str:
         FROM ({_months_sql("(SELECT * FROM daily WHERE commit_date BETWEEN DATE '2001-06-01' AND DATE '2001-07-20')")})""",
 )
 def _(t):
-    return widgets.month_over_month(_daily(t, first_of_month(MONTH_AS_OF, 1), MONTH_AS_OF), MONTH_AS_OF)
+    return widgets.month_over_month(_daily(t), MONTH_AS_OF)
 
 
 #: how far back the published streak looks
@@ -646,6 +643,55 @@ def _(t):
     return _plain(rows, "user_id", "month_start", "analyzed_at", "analysis_id", highlight)
 
 
+# --- Orders of lists, for one user (F1, L1-L3, L7) --------------------------------
+
+
+def _in_order(df: DataFrame, kind: str, *columns: str) -> DataFrame:
+    """The rows of one user's list with their position; a list on a screen is short."""
+    listed = present.ordered(df, kind).coalesce(1)
+    return listed.select(*columns, F.monotonically_increasing_id().alias("position"))
+
+
+@query(
+    "activity_in_order",
+    """SELECT commit_date AS date, CAST(sum(commit_count) AS BIGINT) AS count, row_number() OVER (ORDER BY commit_date) - 1 AS position
+       FROM daily WHERE user_id = 7 AND commit_date BETWEEN DATE '2001-05-03' AND DATE '2001-08-01' GROUP BY 1""",
+)
+def _(t):
+    return _in_order(widgets.commit_activity(_daily(t), ORDERS_AS_OF, user_id=7), "activity", "date", "count")
+
+
+@query(
+    "languages_in_order",
+    """SELECT primary_language AS language, count(*) AS repo_count,
+              row_number() OVER (ORDER BY count(*) DESC, primary_language) - 1 AS position
+       FROM repositories WHERE user_id = 7 AND is_active AND primary_language IS NOT NULL GROUP BY 1""",
+)
+def _(t):
+    return _in_order(widgets.language_breakdown(t.repositories(), user_id=7), "languages", "language", "repo_count")
+
+
+@query(
+    "trends_in_order",
+    """SELECT week_start AS period_start, tech_tag AS tag, CAST(sum(tag_count) AS BIGINT) AS count,
+              row_number() OVER (ORDER BY week_start, sum(tag_count) DESC, tech_tag) - 1 AS position
+       FROM weekly_tags WHERE user_id = 7 AND week_start BETWEEN DATE '2024-01-30' - 90 AND DATE '2024-01-30' GROUP BY 1, 2""",
+)
+def _(t):
+    weekly = rollups.weekly_tech_trends(t.analyses(), t.repositories())
+    return _in_order(widgets.tech_trends(weekly, EVENTS_AS_OF, user_id=7), "trends", "period_start", "tag", "count")
+
+
+@query(
+    "tech_stacks_in_order",
+    """SELECT repo_id, full_name, row_number() OVER (ORDER BY full_name) - 1 AS position
+       FROM repositories WHERE user_id = 7 AND is_active""",
+)
+def _(t):
+    report = listings.tech_stack_report(t.repositories()).filter("user_id = 7")
+    return _in_order(report, "tech_stacks", "repo_id", "full_name")
+
+
 # --- Listings ---------------------------------------------------------------------
 
 
@@ -955,6 +1001,31 @@ def _(t):
     )
 
 
+@query(
+    "parse_commits_whole",
+    """SELECT o_custkey AS repo_id, md5(CAST(o_orderkey AS VARCHAR)) AS github_commit_sha,
+              md5(CASE WHEN o_orderkey % 200 = 5 THEN repeat(o_orderpriority || ' ', 400) ELSE o_orderpriority END) AS message,
+              CAST(floor(o_totalprice) AS BIGINT) AS additions,
+              CAST(CASE WHEN o_orderkey % 3 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 97 END AS BIGINT) AS deletions,
+              md5(array_to_string([
+                  'src/f' || i || ' modified ' || i || ' 0 ' || repeat('ab', CAST((i % 4) * 100 AS INTEGER))
+                  for i in range(1, CASE WHEN o_orderkey % 100 = 99 THEN 55 ELSE o_orderkey % 7 END + 1)], chr(10))) AS files
+       FROM orders WHERE o_orderkey % 50 <> 1""",
+)
+def _(t):
+    """Every file with its name, status, counts and whole patch, and every key of the statistics."""
+    parsed, _ = payloads.parse_commits(t.commit_payloads())
+    line = lambda f: F.concat_ws(" ", f["filename"], f["status"], f["additions"], f["deletions"], f["patch"])
+    return parsed.select(
+        "repo_id",
+        "github_commit_sha",
+        F.md5("message").alias("message"),
+        F.col("raw_data.stats.additions").cast("long").alias("additions"),
+        F.col("raw_data.stats.deletions").cast("long").alias("deletions"),
+        F.md5(F.array_join(F.transform("raw_data.files", line), "\n")).alias("files"),
+    )
+
+
 @query("parse_commits_rejected", "SELECT o_custkey AS repo_id, o_orderkey AS seq FROM orders WHERE o_orderkey % 50 = 1")
 def _(t):
     return payloads.parse_commits(t.commit_payloads())[1].select("repo_id", "seq")
@@ -1078,24 +1149,32 @@ def _(t):
 @query(
     "upsert_pull_requests",
     """SELECT repo_id, github_pr_id, CAST(github_pr_number AS INTEGER) AS github_pr_number, pr_created_at,
-              CASE WHEN state = 'open' THEN 'new ' || title ELSE title END AS title,
+              CASE WHEN state = 'open' THEN 'last ' || title ELSE title END AS title,
               CASE WHEN state = 'open' THEN 'closed' ELSE state END AS state,
               CASE WHEN state = 'open' THEN pr_created_at + INTERVAL 3 DAY ELSE merged_at END AS merged_at
        FROM pull_requests""",
 )
 def _(t):
-    stored = t.pull_requests().withColumn("raw_data", F.lit(None).cast("string"))
-    batch = stored.filter(F.col("state") == "open").select(
-        *[c for c in stored.columns if c not in ("title", "state", "merged_at", "github_pr_number")],
-        F.concat(F.lit("new "), "title").alias("title"),
-        F.lit("closed").alias("state"),
-        F.date_add(F.to_date("pr_created_at"), 3).cast("timestamp").alias("merged_at"),
-        F.lit(-1).alias("github_pr_number"),
-        F.lit(1).alias("seq"),
-    )
-    rows = upsert.upsert_pull_requests(stored, batch)
+    """Closed and half of the open ones are stored; the open ones arrive twice."""
+    rows = t.pull_requests().withColumn("raw_data", F.lit(None).cast("string"))
+    stored = rows.filter((F.col("state") == "closed") | (F.col("pr_id") % 2 == 0))
+    fresh = F.col("pr_id") % 2 == 1
+
+    def arrival(seq: int, word: str) -> DataFrame:
+        return rows.filter(F.col("state") == "open").select(
+            *[c for c in rows.columns if c not in ("title", "state", "merged_at", "github_pr_number", "pr_created_at")],
+            F.concat(F.lit(word + " "), "title").alias("title"),
+            F.lit("closed").alias("state"),
+            F.date_add(F.to_date("pr_created_at"), 3).cast("timestamp").alias("merged_at"),
+            # only the first record of a new one says when and under which number it was opened
+            F.when(fresh & F.lit(seq == 1), F.col("github_pr_number")).otherwise(-1).alias("github_pr_number"),
+            F.when(fresh & F.lit(seq == 1), F.col("pr_created_at")).alias("pr_created_at"),
+            F.lit(seq).alias("seq"),
+        )
+
+    upserted = upsert.upsert_pull_requests(stored, arrival(1, "first").unionByName(arrival(2, "last")))
     return _plain(
-        rows, "repo_id", "github_pr_id", "github_pr_number", "pr_created_at", "title", "state", "merged_at"
+        upserted, "repo_id", "github_pr_id", "github_pr_number", "pr_created_at", "title", "state", "merged_at"
     )
 
 
@@ -1274,10 +1353,12 @@ def _(t):
        FROM commits WHERE committed_at >= DATE '1997-01-01' GROUP BY 1""",
 )
 def _(t):
-    path = scratch_dir(t.spark, "months")
+    root = scratch_dir(t.spark, "months")
     inside, _ = tables.split_month_range(t.commits(), "committed_at", (date(1997, 1, 1), date(2002, 1, 1)))
-    tables.write_monthly(inside, "committed_at", path)
-    stored = t.spark.read.schema("year_month string, additions long").parquet(path)
+    whole = {f.name: f.dataType for f in tables.stored_schema("commits")}
+    typed = inside.select(*[F.col(c).cast(whole[c]).alias(c) for c in inside.columns])
+    tables.write_monthly(typed, "committed_at", f"{root}/commits")
+    stored = tables.load(t.spark, root, "commits")
     return stored.groupBy("year_month").agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"))
 
 
@@ -1356,6 +1437,108 @@ def _(t):
     return store.read(t.spark, f"{root}/daily").drop("year_month", "full_name", "primary_language")
 
 
+@query(
+    "stream_ingest_files",
+    """SELECT repo_id, github_commit_sha, message, committed_at, additions + 7 AS additions
+       FROM commits WHERE commit_id % 3 = 0""",
+)
+def _(t):
+    """Two files in one micro-batch; the second one repeats each key at a smaller `seq`."""
+    root = scratch_dir(t.spark, "files")
+    rows = t.commits().filter(F.col("commit_id") % 3 == 0)
+
+    def land(seq: int, added: int, days: int) -> None:
+        stamp = F.date_format(F.col("committed_at") + F.expr(f"INTERVAL {days} DAY"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        payload = F.struct(
+            F.col("github_commit_sha").alias("sha"),
+            F.struct(F.concat(F.when(F.lit(days > 0), "again ").otherwise(""), "message").alias("message"), F.struct(stamp.alias("date")).alias("committer")).alias("commit"),
+            F.struct((F.col("additions") + added).alias("additions")).alias("stats"),
+        )
+        rows.select("repo_id", F.lit(seq).alias("seq"), payload.alias("payload")).coalesce(1).write.mode("append").json(f"{root}/landing")
+        time.sleep(0.05)  # the files' times tell them apart
+
+    land(9, 1, 0)
+    land(0, 7, 2)
+    run = ingest.ingest_commits(
+        t.spark, f"{root}/landing", f"{root}/commits", f"{root}/daily", t.repositories(), f"{root}/checkpoint",
+        months=ORDER_MONTHS, quarantine=f"{root}/quarantine",
+    )
+    run.awaitTermination()
+    stored = store.read(t.spark, f"{root}/commits")
+    return _plain(stored.withColumn("additions", F.col("additions").cast("long")), "repo_id", "github_commit_sha", "message", "committed_at", "additions")
+
+
+@query(
+    "stream_quarantine",
+    """SELECT 'out_of_range' AS reason, count(*) AS records FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderdate < DATE '1997-01-01'
+       UNION ALL SELECT 'undated', count(*) FROM orders WHERE o_orderkey % 50 = 1""",
+)
+def _(t):
+    root = scratch_dir(t.spark, "rejects")
+    payloads.typed_payload(t.commit_payloads(), payloads.COMMIT_PAYLOAD).write.json(f"{root}/landing")
+    ingest.ingest_commits(
+        t.spark, f"{root}/landing", f"{root}/commits", f"{root}/daily", t.repositories(), f"{root}/checkpoint",
+        months=(date(1997, 1, 1), date(2002, 1, 1)), quarantine=f"{root}/quarantine",
+    ).awaitTermination()
+    counts = [
+        t.spark.read.parquet(f"{root}/quarantine/{reason}").select(F.lit(reason).alias("reason"))
+        for reason in ("out_of_range", "undated")
+    ]
+    return counts[0].union(counts[1]).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query(
+    "stream_ingest_pull_requests",
+    """SELECT o_custkey AS repo_id, o_orderkey + 500000000 AS github_pr_id, CAST(o_orderkey % 40 AS INTEGER) AS github_pr_number,
+              CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'open' END AS state, o_orderdate AS pr_created_at,
+              CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS merged_at, CAST(NULL AS TIMESTAMP) AS pr_closed_at, 'main' AS base_ref
+       FROM orders WHERE o_orderkey % 40 <> 0 AND o_orderkey % 60 <> 7""",
+)
+def _(t):
+    root = scratch_dir(t.spark, "prs")
+    payloads.typed_payload(t.pull_request_payloads(), payloads.PULL_REQUEST_PAYLOAD).write.json(f"{root}/landing")
+    ingest.ingest_pull_requests(
+        t.spark, f"{root}/landing", f"{root}/prs", f"{root}/checkpoint", months=ORDER_MONTHS, quarantine=f"{root}/quarantine"
+    ).awaitTermination()
+    stored = store.read(t.spark, f"{root}/prs").withColumn("base_ref", F.col("raw_data.base_ref"))
+    return _plain(stored, "repo_id", "github_pr_id", "github_pr_number", "state", "pr_created_at", "merged_at", "pr_closed_at", "base_ref")
+
+
+def _incremental(t: TestTables, name: str) -> DataFrame:
+    """An analysis rollup kept up to date over two batches, read where readers look."""
+    root, repos = scratch_dir(t.spark, "analyses"), t.repositories()
+    rows = t.analyses().join(repos.select("repo_id"), "repo_id", "left_semi")
+    for half in (0, 1):
+        batch = rows.filter(F.col("analysis_id") % 2 == half)
+        store.commit(batch, f"{root}/analyses", "analyzed_at")
+        incremental.refresh_analysis_rollup(t.spark, name, f"{root}/analyses", f"{root}/rollups/{name}", repos, batch)
+    return refresh.read_rollup(t.spark, f"{root}/rollups", name)
+
+
+@query("merge_tech_trends", "SELECT * FROM weekly_tags")
+def _(t):
+    return _incremental(t, "weekly_tech_trends")
+
+
+@query("merge_category_stats", "SELECT * FROM categories")
+def _(t):
+    return _incremental(t, "work_category_stats")
+
+
+@query("merge_hourly_activity", "SELECT * FROM hourly")
+def _(t):
+    root, repos = scratch_dir(t.spark, "hourly"), t.repositories()
+    commits, prs = t.event_commits(), t.event_pull_requests()
+    for half in (0, 1):
+        some, pulls = commits.filter(F.col("commit_id") % 2 == half), prs.filter(F.col("pr_id") % 2 == half)
+        store.commit(some, f"{root}/commits", "committed_at")
+        store.commit(pulls, f"{root}/prs", "pr_created_at")
+        times = some.select("repo_id", F.col("committed_at").alias("at")).union(pulls.select("repo_id", "pr_created_at"))
+        incremental.refresh_hourly(t.spark, f"{root}/commits", f"{root}/prs", f"{root}/rollups/hourly_activity", repos, times)
+    rows = refresh.read_rollup(t.spark, f"{root}/rollups", "hourly_activity")
+    return rows.withColumns({c: F.col(c).cast("int") for c in ("day_of_week", "hour_of_day")})
+
+
 @query(
     "stream_daily_counts",
     """SELECT CAST(committed_at AS DATE) AS commit_date, repo_id, count(*) AS commit_count,
