@@ -18,7 +18,7 @@ from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_dif
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import preset_start
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
-from devpulse.plans import files, incremental, refresh, store
+from devpulse.plans import enrichment, files, incremental, refresh, store
 from devpulse.schemas import (
     CATEGORY_COLORS,
     DEFAULT_COLOR,
@@ -1262,7 +1262,7 @@ def keyword_rules(diff: str, message: str, repo_name: str) -> dict:
         FROM st""",
 )
 def _(t):
-    rows = backlog.enrich(t.document_commits(), keyword_rules)
+    rows = backlog.enrich(t.document_commits(), backlog.per_record(keyword_rules))
     return rows.select(
         "commit_id",
         "status",
@@ -1274,6 +1274,48 @@ def _(t):
     )
 
 
+_FRESH_DOCUMENTS = """doc_id % 4 <> 1"""
+
+
+@query(
+    "enrich_backlog",
+    _cut_sql(DIFF_BUDGET)
+    + f""", n AS (SELECT *, (length(diff) - length(replace(diff, '+++ b/', ''))) // 6 AS files FROM diffs)
+        SELECT doc_id AS commit_id, CASE WHEN {_FRESH_DOCUMENTS} THEN lang || '|' || source ELSE 'known' END AS tech_tags,
+               CASE WHEN {_FRESH_DOCUMENTS} THEN CASE WHEN files >= 5 THEN 'feature' ELSE 'bugfix' END ELSE 'docs' END AS work_category,
+               CASE WHEN {_FRESH_DOCUMENTS} THEN {round1("(files / CAST(7 AS DOUBLE))")} END AS complexity_score
+        FROM n WHERE NOT ({_FRESH_DOCUMENTS}) OR (diff <> '' AND files % 11 <> 10)""",
+)
+def _(t):
+    """A quarter of the commits is analyzed; the job runs twice and adds the others once."""
+    root, at = scratch_dir(t.spark, "enrich"), datetime(2024, 1, 5)
+    narrow = {"github_commit_sha": F.lit("sha"), "committed_at": F.lit(at).cast("timestamp"), "additions": F.size("raw_data.files"), "deletions": F.lit(0)}
+    commits = t.document_commits().withColumns(narrow)
+    repos = commits.select("repo_id", "full_name", F.lit(1).cast("long").alias("user_id"))
+    known = commits.filter("commit_id % 4 = 1").select(
+        (-F.col("commit_id")).alias("analysis_id"),
+        F.lit("commit").alias("source_type"),
+        F.col("commit_id").alias("source_id"),
+        "repo_id",
+        F.array(F.lit("known")).alias("tech_tags"),
+        F.lit("docs").alias("work_category"),
+        F.lit("s").alias("summary"),
+        F.lit(None).cast("decimal(3,1)").alias("complexity_score"),
+        F.lit(None).cast("string").alias("raw_response"),
+        F.lit(at).cast("timestamp").alias("analyzed_at"),
+        F.lit(at).cast("timestamp").alias("created_at"),
+    )
+    store.commit(known, f"{root}/analyses", "analyzed_at")
+    for day in (6, 7):
+        enrichment.enrich_backlog(
+            t.spark, commits.drop("full_name"), f"{root}/analyses", repos, backlog.per_record(keyword_rules), datetime(2024, 1, day)
+        )
+    stored = store.read(t.spark, f"{root}/analyses")
+    return stored.select(
+        F.col("source_id").alias("commit_id"), _text("tech_tags").alias("tech_tags"), "work_category", F.col("complexity_score").cast("double").alias("complexity_score")
+    )
+
+
 # --- Audit, storage and streams -------------------------------------------------------
 
 _AUDITED = {

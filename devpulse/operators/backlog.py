@@ -83,58 +83,80 @@ ENRICHED = (
 )
 
 
-def with_diff(commits: DataFrame, max_chars: int = DIFF_BUDGET) -> DataFrame:
-    """H18 + H19: the text handed to the analysis."""
+def with_diff(commits: DataFrame, max_chars: int | None = DIFF_BUDGET) -> DataFrame:
+    """H18 + H19: the text handed to the analysis, whole without a budget."""
+    if max_chars is None:
+        return commits.withColumn("diff", assemble_diff(F.col("raw_data")))
     assembled = commits.withColumn("_full_diff", assemble_diff(F.col("raw_data")))
     return truncate_diff(assembled, "_full_diff", "diff", max_chars).drop("_full_diff")
 
 
+#: what an analysis function gets, and what it returns, row by row in the same order
+ANALYZED = ["diff", "message", "full_name"]
+FOUND = ["status", "tech_tags", "work_category", "summary", "complexity_score", "raw_response", "error"]
+BatchAnalysis = Callable[[pd.DataFrame], pd.DataFrame]
+
+
+def per_record(analyze: Callable[[str, str, str], dict[str, Any]]) -> BatchAnalysis:
+    """A batch function from one for single records.
+
+    ``analyze(diff, message, repo_name)`` returns technologies_detected,
+    work_category, summary and complexity_score.  An exception marks its record
+    only; `RateLimited` leaves that record and all later ones of the task pending.
+    """
+    limited = False
+
+    def one(diff: str, message: str, full_name: str) -> tuple:
+        nonlocal limited
+        if limited:
+            return ("pending", None, None, None, None, None, None)
+        try:
+            found = analyze(diff, message, full_name)
+            text = json.dumps(found, ensure_ascii=False)
+            score = float(found["complexity_score"])
+            return ("analyzed", list(found["technologies_detected"]), found["work_category"], found["summary"], score, text, None)
+        except RateLimited as e:
+            limited = True
+            return ("pending", None, None, None, None, None, str(e))
+        except Exception as e:  # isolate the record, as a batch must go on
+            return ("error", None, None, None, None, None, f"{type(e).__name__}: {e}")
+
+    def analyze_batch(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(*r) for r in zip(*(batch[c] for c in ANALYZED))], columns=FOUND)
+
+    return analyze_batch
+
+
 def enrich(
     backlog: DataFrame,
-    analyze: Callable[[str, str, str], dict[str, Any]],
-    max_chars: int = DIFF_BUDGET,
+    analyze: BatchAnalysis,
+    max_chars: int | None = DIFF_BUDGET,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Run ``analyze(diff, message, repo_name)`` over a backlog with raw data.
-
-    One row per commit with a status: ``analyzed``, ``skipped`` (no diff),
-    ``error`` (that record only) or ``pending`` (rate limit in its partition).
-    The function returns technologies_detected, work_category, summary and
-    complexity_score.  ``tasks`` spreads a backlog of few, slow calls.
+    """Run a batch function over a backlog with raw data.
+
+    ``analyze`` takes a frame with diff, message and full_name and returns one
+    with the columns ``FOUND``, as many rows in the same order; `per_record`
+    makes one from a function for single records.  One row per commit with a
+    status: ``analyzed``, ``skipped`` (no diff), ``error`` (that record only) or
+    ``pending`` (rate limit in its task).  ``tasks`` spreads a backlog of few,
+    slow calls.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limited = False
-        blank = {f.split()[0]: None for f in ENRICHED.split(", ")}
-
-        def one(row: Any) -> dict[str, Any]:
-            nonlocal limited
-            out = {**blank, "commit_id": row.commit_id, "repo_id": row.repo_id}
-            if limited:
-                return {**out, "status": "pending"}
-            if not row.diff:
-                return {**out, "status": "skipped"}
-            try:
-                found = analyze(row.diff, row.message, row.full_name)
-                return {
-                    **out,
-                    "status": "analyzed",
-                    "tech_tags": list(found["technologies_detected"]),
-                    "work_category": found["work_category"],
-                    "summary": found["summary"],
-                    "complexity_score": float(found["complexity_score"]),
-                    "raw_response": json.dumps(found, ensure_ascii=False),
-                }
-            except RateLimited as e:
-                limited = True
-                return {**out, "status": "pending", "error": str(e)}
-            except Exception as e:  # isolate the record, as a batch must go on
-                return {**out, "status": "error", "error": f"{type(e).__name__}: {e}"}
+    names = [f.split()[0] for f in ENRICHED.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=list(blank))
+            has_diff = pdf["diff"] != ""
+            skipped = pdf.loc[~has_diff, ["commit_id", "repo_id"]].assign(status="skipped")
+            given = pdf[has_diff].reset_index(drop=True)
+            parts = [skipped]
+            if len(given):
+                parts.append(pd.concat([given[["commit_id", "repo_id"]], analyze(given[ANALYZED])], axis=1))
+            out = pd.concat(parts).reindex(columns=names).astype(object)
+            yield out.where(out.notna(), None)
 
     rows = with_diff(backlog, max_chars).select(
-        "commit_id", "repo_id", F.coalesce("message", F.lit("")).alias("message"), "full_name", "diff"
+        "commit_id", "repo_id", F.coalesce("message", F.lit("")).alias("message"), F.coalesce("full_name", F.lit("")).alias("full_name"), F.coalesce("diff", F.lit("")).alias("diff")
     )
     if tasks:
         rows = rows.repartition(tasks, "commit_id")

@@ -111,7 +111,7 @@ def test_enrichment_isolates_records(spark, repos):
         return {"technologies_detected": [repo], "work_category": "docs", "summary": diff[:7], "complexity_score": 2.35}
 
     todo = backlog.with_raw_data(backlog.analysis_backlog(commits(spark), analyses(spark), repos), commits(spark))
-    done = backlog.enrich(todo, analyze, tasks=2)
+    done = backlog.enrich(todo, backlog.per_record(analyze), tasks=2)
     assert rows(done, "commit_id", "status") == [(1, "analyzed"), (2, "analyzed"), (3, "skipped"), (4, "analyzed"), (5, "error")]
     kept = backlog.to_analyses(done, datetime(2024, 2, 1))
     assert rows(kept, "source_id", "tech_tags", "summary") == [(i, ["a/one"], "--- a/f") for i in (1, 2, 4)]
@@ -123,8 +123,8 @@ def test_rate_limit_leaves_the_rest_pending(spark, repos):
         raise backlog.RateLimited("wait")
 
     todo = commits(spark).withColumnRenamed("github_commit_sha", "full_name")
-    statuses = rows(backlog.enrich(todo.coalesce(1), analyze), "status")
-    assert statuses == [("pending",)] * 6
+    statuses = rows(backlog.enrich(todo.coalesce(1), backlog.per_record(analyze)), "status")
+    assert statuses == [("pending",)] * 5 + [("skipped",)]
 
 
 def test_settings_and_stack_report(spark, repos):
