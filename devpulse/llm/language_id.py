@@ -2,134 +2,134 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from devpulse.llm import words
+
 #: n-grams kept of a language and of a document
 PROFILE_SIZE = 300
 #: the profiles are broadcast: at most so many languages
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHED_WORDS = 100_000
-
-
-def ngrams(word: str) -> list[str]:
-    """The 1-, 2- and 3-grams of a word with a blank on both sides, without lone blanks."""
-    padded = f" {word} "
-    return list(word) + [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
-
-
-class _Grams:
-    """Numbers for n-grams; the n-grams of words seen before are kept, up to a bound."""
-
-    def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.id_of: dict[str, int] = {}
-        self.tie = np.zeros(1024, np.uint64)
-        self.of_word: dict[str, np.ndarray] = {}
-
-    def _id(self, gram: str) -> int:
-        i = self.id_of.get(gram)
-        if i is None:
-            i = self.id_of[gram] = len(self.id_of)
-            if i == len(self.tie):
-                self.tie = np.concatenate((self.tie, np.zeros_like(self.tie)))
-            self.tie[i] = xxhash.xxh3_64_intdigest(gram)
-        return i
-
-    def counts(self, of_words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram numbers, how often each occurs)."""
-        parts = []
-        for w in of_words:
-            ids = self.of_word.get(w)
-            if ids is None:
-                ids = self.of_word[w] = np.array([self._id(g) for g in ngrams(w)], dtype=np.int64)
-            parts.append(ids)
-        repeats = np.repeat(np.fromiter(of_words.values(), np.int64, len(parts)), [len(p) for p in parts])
-        sums = np.bincount(np.concatenate(parts), weights=repeats)
-        ids = np.flatnonzero(sums)
-        return ids, sums[ids]
-
-    def ranked(self, of_words: Counter, size: int) -> np.ndarray:
-        """The most frequent n-grams, most frequent first; ties in the order of a hash."""
-        ids, sums = self.counts(of_words)
-        if len(ids) > size:
-            least = np.partition(sums, len(sums) - size)[len(sums) - size]
-            near = sums >= least
-            ids, sums = ids[near], sums[near]
-        return ids[np.lexsort((self.tie[ids], -sums))[:size]]
-
-
-def _words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
+
+#: an n-gram is a number: the code points of its letters, 21 bits each, zeros after a shorter one
+_BITS = np.uint64(21)
+_BLANK = np.uint64(32)
+_LONE_BLANK = int(_BLANK << (_BITS + _BITS))
+
+
+def gram_text(gram: int) -> str:
+    """The letters of an n-gram."""
+    return "".join(chr(c) for c in (gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF) if c)
+
+
+class Grams:
+    """The 1-, 2- and 3-grams of each text of a batch: of words, that is runs of lower-cased letters, with a blank on both sides."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        is_letter = np.zeros(0x110000, bool)
+        is_letter[points] = True
+        met = np.flatnonzero(is_letter)
+        is_letter[met] = [chr(c).isalpha() for c in met.tolist()]
+        # a blank before each text and after the last; other than letters become blanks
+        line = np.full(len(points) + len(sizes) + 1, _BLANK, dtype=np.uint64)
+        place = np.arange(len(points)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        line[place] = np.where(is_letter[points], points, 32)
+        kept = np.ones(len(line), bool)
+        kept[1:] = (line[1:] != _BLANK) | (line[:-1] != _BLANK)  # runs of blanks are one
+        self.bounds = (np.cumsum(kept) - 1)[np.concatenate(([0], np.cumsum(sizes + 1)))].tolist()
+        line = line[kept]
+        self.one = line << (_BITS + _BITS)
+        self.two = self.one[:-1] | (line[1:] << _BITS)
+        self.three = self.two[:-1] | line[2:]
+        self.three[line[1:-1] == _BLANK] = 0  # no n-gram spans two words
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def of(self, i: int) -> np.ndarray:
+        """All n-grams of text i, with 0 and lone blanks among them."""
+        a, b = self.bounds[i], self.bounds[i + 1]
+        return np.concatenate((self.one[a + 1 : b], self.two[a:b], self.three[a : max(a, b - 1)]))
+
+
+def counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct n-grams, how often each stands), without 0 and lone blanks."""
+    grams = np.sort(grams)
+    at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate((at, [len(grams)])))
+    found = grams[at]
+    real = (found != 0) & (found != _LONE_BLANK)
+    return found[real], n[real]
+
+
+def ranked(grams: np.ndarray, size: int) -> np.ndarray:
+    """The most frequent n-grams, most frequent first; ties in the order of a hash."""
+    found, n = counted(grams)
+    if len(found) > size:
+        near = n >= np.partition(n, len(n) - size)[len(n) - size]
+        found, n = found[near], n[near]
+    return found[np.lexsort((words.mixed(found), -n))[:size]]
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
-
-    def flushed() -> Iterator[pa.RecordBatch]:
-        for lang, counter in held.items():
-            sums: Counter = Counter()
-            for word, n in counter.items():
-                for g in ngrams(word):
-                    sums[g] += n
-            if sums:
-                yield pa.record_batch({"lang": [lang] * len(sums), "gram": list(sums), "n": pa.array(sums.values(), pa.int64())})
-        held.clear()
-
-    for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-            held.setdefault(lang, Counter()).update(_words_of(text))
-        if sum(map(len, held.values())) > 4 * _CACHED_WORDS:
-            yield from flushed()
-    yield from flushed()
+    for batch in words.slices(batches, "text"):
+        grams = Grams(batch["text"])
+        of: dict[str, list[np.ndarray]] = {}
+        for i, lang in enumerate(batch["lang"].to_pylist()):
+            of.setdefault(lang, []).append(grams.of(i))
+        for lang, parts in of.items():
+            found, n = counted(np.concatenate(parts))
+            yield pa.record_batch({"lang": pa.array([lang] * len(found), pa.string()), "gram": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
 
 
 def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> DataFrame:
-    """One row per language and rank: lang, gram, rank (0 for the most frequent n-gram).
+    """One row per language and rank: lang, gram (see ``gram_text``), rank (0 for the most frequent n-gram).
 
-    Counts cover whole texts of all rows; n-grams with equal counts are ranked by
-    a hash of theirs.  Rows with a null text or language teach nothing.
+    Counts cover whole texts of all rows.  Rows with a null text or language
+    teach nothing.
     """
     taught = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = taught.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram")
+    counts = taught.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
 
 
 class _Profiles:
     """The profiles as one table of ranks: a row for each n-gram, a column for each language."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], size: int) -> None:
+    def __init__(self, rows: list[tuple[str, int, int]], size: int) -> None:
         self.size = size
         self.langs = sorted({r[0] for r in rows})
-        self.row_of: dict[str, int] = {}
-        for _, gram, _ in rows:
-            self.row_of.setdefault(gram, len(self.row_of))
-        self.ranks = np.full((len(self.row_of) + 1, len(self.langs)), -1, dtype=np.int32)
+        self.grams = np.unique(np.array([r[1] for r in rows], dtype=np.uint64))
+        # the last row stands for n-grams in no profile
+        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, dtype=np.int32)
         column = {lang: i for i, lang in enumerate(self.langs)}
         for lang, gram, rank in rows:
-            self.ranks[self.row_of[gram], column[lang]] = rank
+            self.ranks[np.searchsorted(self.grams, np.uint64(gram)), column[lang]] = rank
 
-    def nearest(self, rows: np.ndarray) -> tuple[str, float]:
+    def nearest(self, grams: np.ndarray) -> tuple[str, float]:
         """The language at the least out-of-place distance, and 1 less that distance as a share of the largest."""
-        ranks = self.ranks[rows]
-        places = np.abs(ranks - np.arange(len(rows), dtype=np.int32)[:, None])
+        at = np.searchsorted(self.grams, grams)
+        at[at == len(self.grams)] = 0
+        ranks = self.ranks[np.where(self.grams[at] == grams, at, -1)]
+        places = np.abs(ranks - np.arange(len(grams), dtype=np.int32)[:, None])
         places[ranks < 0] = self.size
         away = places.sum(axis=0)
         best = int(away.argmin())
-        return self.langs[best], 1.0 - float(away[best]) / (self.size * len(rows))
+        return self.langs[best], 1.0 - float(away[best]) / (self.size * len(grams))
 
 
 def identify(docs: DataFrame, learned: DataFrame, text: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
@@ -153,25 +153,15 @@ def identify(docs: DataFrame, learned: DataFrame, text: str = "text", size: int
     sent = docs.sparkSession.sparkContext.broadcast(_Profiles(rows, size))
 
     @F.pandas_udf("lang_pred string, score double")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, grams = sent.value, _Grams()
-        row_of = np.zeros(0, np.int64)
-        for texts in batches:
-            out = []
-            for t in texts:
-                found = _words_of(t)
-                if not found or not known.langs:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                if len(grams.of_word) > _CACHED_WORDS:
-                    grams.clear()
-                    row_of = row_of[:0]
-                top = grams.ranked(found, size)
-                if len(row_of) < len(grams.id_of):
-                    fresh = list(grams.id_of)[len(row_of) :]
-                    row_of = np.concatenate((row_of, [known.row_of.get(g, -1) for g in fresh])).astype(np.int64)
-                out.append(known.nearest(row_of[top]))
-            yield pd.DataFrame(out, columns=["lang_pred", "score"])
+    def nearest(texts: pd.Series) -> pd.DataFrame:
+        known, out = sent.value, []
+        column = pa.record_batch({"text": pa.array(texts, type=pa.large_string(), from_pandas=True)})
+        for part in words.slices([column], "text"):
+            grams = Grams(part["text"])
+            for i in range(len(grams)):
+                top = ranked(grams.of(i), size)
+                out.append(known.nearest(top) if len(top) and known.langs else (UNKNOWN, 0.0))
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.withColumn("_found", nearest(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
