@@ -18,6 +18,8 @@ PROFILE_SIZE = 300
 #: the profiles are broadcast: at most so many languages
 MOST_LANGUAGES = 2000
 UNKNOWN = "und"
+#: bytes of text taken apart at a time; a hundred times as many of memory
+_SLICE = 2 << 20
 
 #: an n-gram is a number: the code points of its letters, 21 bits each, zeros after a shorter one
 _BITS = np.uint64(21)
@@ -85,7 +87,7 @@ def ranked(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in words.slices(batches, "text"):
+    for batch in words.slices(batches, "text", _SLICE):
         grams = Grams(batch["text"])
         of: dict[str, list[np.ndarray]] = {}
         for i, lang in enumerate(batch["lang"].to_pylist()):
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, learned: DataFrame, text: str = "text", size: int
     def nearest(texts: pd.Series) -> pd.DataFrame:
         known, out = sent.value, []
         column = pa.record_batch({"text": pa.array(texts, type=pa.large_string(), from_pandas=True)})
-        for part in words.slices([column], "text"):
+        for part in words.slices([column], "text", _SLICE):
             grams = Grams(part["text"])
             for i in range(len(grams)):
                 top = ranked(grams.of(i), size)
