@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
+from devpulse.plans.files import staged
 
 #: added to every token's count, and for one unknown token
 ADDED = 0.5
@@ -76,7 +77,18 @@ class _Block:
         return self.before[at], self.token[at], short[self.token[at]], counts
 
 
-_PIECE = "shard int, block long, pairs boolean, contexts binary, sizes binary, followers binary, counts binary"
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as few bytes each as the largest needs; the first byte says how many."""
+    top = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+_PIECE = "shard int, block long, contexts binary, sizes binary, followers binary, counts binary"
 
 
 def _piece_rows(shards: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -93,12 +105,9 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Requests:
-    """A block's n-grams as dealt to the shards; the same each time it is made."""
+    """A block's bigrams as dealt to the shards; the same each time it is made."""
 
     def __init__(self, block: _Block, model: Model) -> None:
-        self.used, self.used_counts = block.unigrams()
-        used_hash = block.hash_of[self.used]
-        self.used_shard = (words.mixed(used_hash) % np.uint64(model.shards)).astype(np.int64)
         self.context, self.follower, short, counts = block.bigrams()
         context_hash = block.hash_of[self.context]
         here = set(context_hash[np.isin(context_hash, _u64(model.spread))].tolist())
@@ -110,22 +119,18 @@ class _Requests:
             shard[mine] = (first[mine] + (short[mine] % np.uint64(size)).astype(np.int64)) % model.shards
         self.pair_shard = shard
         self._pairs = {"context": context_hash, "short": short.astype(np.uint32), "count": counts}
-        self._words = {"hash": used_hash, "count": self.used_counts}
         self.shards = model.shards
 
-    def pieces(self) -> Iterator[tuple]:
-        """(shard, pairs?, contexts, sizes, followers, counts)."""
-        for shard, part in _piece_rows(self.used_shard, self._words):
-            yield shard, False, b"", b"", part["hash"].tobytes(), part["count"].astype(np.int64).tobytes()
+    def pieces(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shard, contexts, followers of each, the followers, their training counts)."""
         met: set[int] = set()
         for shard, part in _piece_rows(self.pair_shard, self._pairs):
             starts, sizes = _runs(part["context"])
-            contexts, sizes = self._with_spread(shard, part["context"][starts], sizes)
             met.add(shard)
-            yield shard, True, contexts.tobytes(), sizes.astype(np.int32).tobytes(), part["short"].tobytes(), part["count"].astype(np.int64).tobytes()
+            yield shard, *self._with_spread(shard, part["context"][starts], sizes), part["short"], part["count"]
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for shard in sorted({s for h, size in self.spread for s in self._shards_of(h, size)} - met):
-            contexts, sizes = self._with_spread(shard, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield shard, True, contexts.tobytes(), sizes.astype(np.int32).tobytes(), b"", b""
+            yield shard, *self._with_spread(shard, *nothing), np.zeros(0, np.uint32), nothing[1]
 
     def _shards_of(self, context: int, size: int) -> list[int]:
         first = int(words.mixed(np.array([context], np.uint64))[0] % np.uint64(self.shards))
@@ -149,15 +154,16 @@ def _train_of(table: pa.Table) -> np.ndarray:
 def _asked(model: Model):
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        rows = list(_Requests(_Block(table["text"].combine_chunks(), _train_of(table)), model).pieces())
-        kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        shard, pairs, contexts, sizes, followers, counts = (pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))
-        return pa.table([shard, pa.array([block] * len(rows), pa.int64()), pairs, contexts, sizes, followers, counts], ["shard", "block", "pairs", "contexts", "sizes", "followers", "counts"])
+        made = _Requests(_Block(table["text"].combine_chunks(), _train_of(table)), model).pieces()
+        rows = [(shard, block, c.tobytes(), packed(s), f.tobytes(), packed(n)) for shard, c, s, f, n in made]
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        names = ["shard", "block", "contexts", "sizes", "followers", "counts"]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return ask
 
 
-_REPLY = "block long, shard int, pairs boolean, contexts binary, stats binary, totals binary"
+_REPLY = "block long, shard int, stats binary, totals binary"
 
 
 def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
@@ -165,41 +171,33 @@ def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """All blocks' pieces of one shard to each block's counts over the whole corpus, in the order asked.
+    """All blocks' pieces of one shard to what each block asked for, in its order.
 
-    For pairs also, for each context asked: the training followers in this
-    shard, how many of them are kept pairs, and the number of kept pairs.
+    For each context: its training followers in this shard, how many of them are
+    kept pairs, and the number of kept pairs; for each pair its training count
+    over all blocks, 0 for one that is not kept.
     """
-    out: list[tuple] = []
-    for pairs in (False, True):
-        part = table.filter(pc.equal(table["pairs"], pairs))
-        if not part.num_rows:
-            continue
-        blocks, shards = part["block"].to_pylist(), part["shard"].to_pylist()
-        counts = _arrays(part["counts"], np.int64)
-        lengths = [len(c) for c in counts]
-        cuts = np.cumsum(lengths)[:-1]
-        if not pairs:
-            followers = np.concatenate(_arrays(part["followers"], np.uint64))
-            _, inverse = np.unique(followers, return_inverse=True)
-            totals = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
-            out += [(b, s, False, b"", b"", t.tobytes()) for b, s, t in zip(blocks, shards, np.split(totals, cuts))]
-            continue
-        contexts, sizes = _arrays(part["contexts"], np.uint64), _arrays(part["sizes"], np.int32)
-        _, context = np.unique(np.concatenate(contexts), return_inverse=True)
-        of = np.repeat(context, np.concatenate(sizes)).astype(np.uint64)
-        code = (of << np.uint64(32)) | np.concatenate(_arrays(part["followers"], np.uint32))
-        unique, inverse = np.unique(code, return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
-        kept = np.where(sums >= LEAST_COUNT, sums, 0)
-        owner, n = (unique >> np.uint64(32)).astype(np.int64), int(context.max()) + 1
-        stats = np.stack([np.bincount(owner, weights=x, minlength=n) for x in (sums, kept, kept > 0)], axis=1).astype(np.int64)
-        asked = np.split(context, np.cumsum([len(c) for c in contexts])[:-1])
-        for b, s, c, own, t in zip(blocks, shards, contexts, asked, np.split(kept[inverse], cuts)):
-            out.append((b, s, True, c.tobytes(), stats[own].tobytes(), t.tobytes()))
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-    names = ["block", "shard", "pairs", "contexts", "stats", "totals"]
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+    blocks, shards = table["block"].to_pylist(), table["shard"].to_pylist()
+    contexts = _arrays(table["contexts"], np.uint64)
+    sizes, counts = ([unpacked(x) for x in table[c].to_pylist()] for c in ("sizes", "counts"))
+    _, context = np.unique(np.concatenate(contexts), return_inverse=True)
+    of = np.repeat(context, np.concatenate(sizes)).astype(np.uint64)
+    code = (of << np.uint64(32)) | np.concatenate(_arrays(table["followers"], np.uint32))
+    unique, inverse = np.unique(code, return_inverse=True)
+    sums = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
+    kept = np.where(sums >= LEAST_COUNT, sums, 0)
+    owner, n = (unique >> np.uint64(32)).astype(np.int64), int(context.max()) + 1
+    stats = [np.bincount(owner, weights=x, minlength=n).astype(np.int64) for x in (sums, kept, kept > 0)]
+    asked = np.split(context, np.cumsum([len(c) for c in contexts])[:-1])
+    totals = np.split(kept[inverse], np.cumsum([len(c) for c in counts])[:-1])
+    return pa.table(
+        {
+            "block": pa.array(blocks, pa.int64()),
+            "shard": pa.array(shards, pa.int32()),
+            "stats": pa.array([packed(np.concatenate([x[own] for x in stats])) for own in asked], pa.binary()),
+            "totals": pa.array([packed(t) for t in totals], pa.binary()),
+        }
+    )
 
 
 class BackoffAutomaton:
@@ -223,21 +221,21 @@ class BackoffAutomaton:
 def _built(block: _Block, asked: _Requests, model: Model, replies: pa.Table) -> tuple[BackoffAutomaton, np.ndarray]:
     """The automaton of the n-grams that a block can meet, and the training count of each of its tokens."""
     size = len(block.hash_of)
-    counts = np.zeros(size, np.int64)
     kept = np.zeros(len(asked.context), np.int64)
     stats: dict[int, np.ndarray] = {}
-    for shard, pairs, contexts, numbers, totals in zip(*(replies[c].to_pylist() for c in ("shard", "pairs", "contexts", "stats", "totals"))):
-        if pairs:
-            kept[asked.pair_shard == shard] = np.frombuffer(totals, np.int64)
-            for h, row in zip(np.frombuffer(contexts, np.uint64).tolist(), np.frombuffer(numbers, np.int64).reshape(-1, 3)):
-                stats[h] = stats[h] + row if h in stats else row
-        else:
-            counts[asked.used[asked.used_shard == shard]] = np.frombuffer(totals, np.int64)
-    root = model.base(counts)
+    contexts = {shard: c for shard, c, *_ in asked.pieces()}
+    for shard, numbers, totals in zip(*(replies[c].to_pylist() for c in ("shard", "stats", "totals"))):
+        kept[asked.pair_shard == shard] = unpacked(totals)
+        for h, row in zip(contexts[shard].tolist(), unpacked(numbers).reshape(3, -1).T):
+            stats[h] = stats[h] + row if h in stats else row
     of_state = np.zeros((size, 3), np.int64)
     for i, h in enumerate(block.hash_of.tolist()):
         if h in stats:
             of_state[i] = stats[h]
+    # a word has as many followers as it has places; there are as many ends as starts
+    counts = of_state[:, 0].copy()
+    counts[block.end] = counts[block.start]
+    root = model.base(counts)
     seen = np.maximum(of_state[:, 0], 1)
     left = 1.0 - (of_state[:, 1] - DISCOUNT * of_state[:, 2]) / seen
     own = np.flatnonzero(kept)
@@ -285,7 +283,7 @@ def _word_counts(shards: int):
                 {
                     "shard": pa.array([s for s, _ in parts], pa.int32()),
                     "words": pa.array([p["hash"].tobytes() for _, p in parts], pa.binary()),
-                    "counts": pa.array([p["count"].astype(np.int64).tobytes() for _, p in parts], pa.binary()),
+                    "counts": pa.array([packed(p["count"]) for _, p in parts], pa.binary()),
                 }
             )
 
@@ -295,7 +293,7 @@ def _word_counts(shards: int):
 def _totals(most: int):
     def total(table: pa.Table) -> pa.Table:
         hashed, inverse = np.unique(np.concatenate(_arrays(table["words"], np.uint64)), return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate(_arrays(table["counts"], np.int64))).astype(np.int64)
+        sums = np.bincount(inverse, weights=np.concatenate([unpacked(x) for x in table["counts"].to_pylist()])).astype(np.int64)
         top = np.argsort(-sums, kind="stable")[:most]
         rows = {"word": hashed[top].view(np.int64), "n": sums[top], "types": np.zeros(len(top), np.int64)}
         whole = {"word": [0], "n": [int(sums.sum())], "types": [len(hashed)]}
@@ -308,7 +306,7 @@ def learn(train: DataFrame, shards: int, text: str = "text") -> Model:
     """The sizes of the training text and the contexts that need several shards; at most two for each shard."""
     most = 2 * shards
     counted = train.select(F.col(text).alias("text")).mapInArrow(_word_counts(shards), "shard int, words binary, counts binary")
-    found = counted.groupBy("shard").applyInArrow(_totals(most), "word long, n long, types long")
+    found, _ = staged(counted.groupBy("shard").applyInArrow(_totals(most), "word long, n long, types long"), "totals")
     # per shard one row of sums and its most frequent words
     sums = found.withColumn("whole", F.col("types") > 0)
     tokens, types = sums.agg(F.sum(F.when(F.col("whole"), F.col("n"))), F.sum("types")).first()
