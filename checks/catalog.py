@@ -845,6 +845,20 @@ def _(t):
     return _plain(rows, "commit_id", "repo_id", "committed_at")
 
 
+@query(
+    "incremental_slice_own",
+    """SELECT commit_id, c.repo_id, committed_at FROM commits c JOIN repositories r USING (repo_id) JOIN users u ON u.user_id = r.user_id
+       WHERE github_login = (CASE WHEN commit_id % 2 = 0 THEN github_login ELSE 'other' END)""",
+)
+def _(t):
+    """A full sync of the owners' own commits: the watermark does not count."""
+    owners = t.repositories().join(t.users(), "user_id").select("repo_id", "github_login")
+    login = F.when(F.col("commit_id") % 2 == 0, F.col("github_login")).otherwise("other")
+    batch = t.commits().join(owners, "repo_id").withColumn("author_login", login).drop("github_login")
+    rows = jobs.incremental_slice(batch, t.repositories(), "committed_at", users=t.users(), full_sync=True)
+    return _plain(rows, "commit_id", "repo_id", "committed_at")
+
+
 @query(
     "advance_watermark",
     """SELECT repo_id, CASE WHEN repo_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
@@ -855,6 +869,24 @@ def _(t):
     return _plain(jobs.advance_watermark(t.repositories(), written, datetime(2001, 8, 1)), "repo_id", "last_synced_at")
 
 
+@query(
+    "patch_unreadable",
+    """SELECT repo_id, CASE WHEN repo_id % 4 = 1 THEN 'not json' WHEN repo_id % 8 = 3 THEN '[1,2]' END AS kept,
+              CASE WHEN repo_id % 4 <> 1 AND repo_id % 8 <> 3 THEN repo_id % 5 END AS stars
+       FROM repositories""",
+)
+def _(t):
+    """Documents that are no JSON object stay as they are; all others get the value."""
+    k = F.col("repo_id")
+    document = F.when(k % 4 == 1, "not json").when(k % 8 == 3, "[1,2]").otherwise(F.col("repo_metadata"))
+    stored = t.repositories().withColumn("repo_metadata", document)
+    patches = stored.select("repo_id", F.lit(0).alias("seq"), (k % 5).cast("string").alias("value"))
+    patched = upsert.patch_json(stored, patches, "repo_id", "repo_metadata", "stars")
+    unread = upsert.unreadable_documents(patched, "repo_metadata").select("repo_id", F.col("repo_metadata").alias("kept"))
+    stars = F.when(F.col("kept").isNull(), F.get_json_object("repo_metadata", "$.stars").cast("long"))
+    return patched.join(unread, "repo_id", "left").select("repo_id", "kept", stars.alias("stars"))
+
+
 @query(
     "patch_profiles",
     """SELECT user_id, CAST(CASE WHEN n % 3 = 1 THEN n % 24 + 1 END AS INTEGER) AS sync_interval_hours,
@@ -1324,8 +1356,11 @@ _AUDITED = {
     "commits": ["commit_id", "repo_id", "github_commit_sha", "committed_at"],
     "pull_requests": ["pr_id", "repo_id", "github_pr_id", "state", "pr_created_at"],
     "analyses": ["analysis_id", "source_type", "repo_id", "work_category", "analyzed_at"],
-    "sync_jobs": ["job_id", "user_id", "repo_id", "status"],
+    "sync_jobs": ["job_id", "user_id", "repo_id", "job_type", "status"],
     "hourly_activity": ["user_id", "activity_date", "day_of_week", "hour_of_day"],
+    "daily_commit_stats": ["commit_date", "repo_id", "user_id"],
+    "weekly_tech_trends": ["week_start", "repo_id", "tech_tag"],
+    "work_category_stats": ["analysis_date", "repo_id", "work_category"],
 }
 
 
@@ -1333,6 +1368,9 @@ def _audit_sql() -> str:
     """Every rule spelled out on the SQL side; only active repositories count as known."""
     source = {name: name for name in _AUDITED} | {
         "hourly_activity": "hourly",
+        "daily_commit_stats": "daily",
+        "weekly_tech_trends": "weekly_tags",
+        "work_category_stats": "categories",
         "repositories": "(SELECT * FROM repositories WHERE is_active)",
     }
     parts: list[str] = []
@@ -1355,7 +1393,7 @@ def _audit_sql() -> str:
                     f"SELECT 'V3 {table}({cols}) unique', count(*) FROM "
                     f"(SELECT {cols} FROM {source[table]} GROUP BY ALL HAVING count(*) > 1)"
                 )
-        for field in quality.ENTITIES[table]:
+        for field in quality.ENTITIES.get(table, []):
             if not field.nullable and field.name in columns:
                 rule(f"V5 {table}.{field.name} not null", table, f"{field.name} IS NULL")
         stamp = quality.PARTITION_TIMESTAMP.get(table)
@@ -1385,6 +1423,9 @@ def _(t):
         "analyses": t.analyses(),
         "sync_jobs": t.sync_jobs(),
         "hourly_activity": _hourly(t),
+        "daily_commit_stats": _daily(t),
+        "weekly_tech_trends": rollups.weekly_tech_trends(t.analyses(), t.repositories()),
+        "work_category_stats": rollups.work_category_stats(t.analyses(), t.repositories()),
     }
     return quality.audit({name: df.select(*_AUDITED[name]) for name, df in given.items()})
 
@@ -1594,6 +1635,6 @@ def _(t):
     stream.read = lambda name: (
         t.spark.readStream.schema(t.schema(name)).parquet(f"{t.dir}/{name}.parque[t]")
     )
-    counts = live.daily_counts(stream.event_commits())
-    live.write_updates(counts, f"{root}/updates", f"{root}/checkpoint").awaitTermination()
-    return live.read_latest(t.spark, f"{root}/updates")
+    live.write_counts(stream.event_commits(), f"{root}/counts", f"{root}/checkpoint").awaitTermination()
+    live.compact(t.spark, f"{root}/counts")
+    return live.read_counts(t.spark, f"{root}/counts")

@@ -61,6 +61,7 @@ VIEWS: dict[str, str] = {
         FROM ev JOIN customer ON c_custkey = user_id""",
     "sync_jobs": """
         SELECT event_id AS job_id, k % 25 AS user_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS repo_id,
+               CASE WHEN event_id % 4 = 0 THEN 'scheduled_sync' ELSE 'manual_sync' END AS job_type,
                CASE event_type WHEN 'click' THEN 'completed' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'running'
                     WHEN 'signup' THEN 'pending' ELSE 'failed' END AS status,
                k AS items_fetched, ts AS created_at

@@ -1,7 +1,8 @@
 """Integrity rules as one audit (V1-V7): ``rule, violations`` per rule.
 
-Row-level rules of a table share a single pass.  Uniqueness and references are
-checked on grouped keys, so copies of a key never meet in one task as rows.
+Row-level rules of a table share a single pass, and its keys another.  Uniqueness
+and references are checked on counted keys, so copies of a key never meet in one
+task as rows.
 """
 
 from __future__ import annotations
@@ -75,33 +76,67 @@ def _one_pass(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
 
 
-def _unique(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    # NULLs never clash, as in a unique index
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    copies = df.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return copies.agg(F.count_if(F.col("n") > 1).alias("violations")).select(
-        F.lit(f"V3 {table}({', '.join(keys)}) unique").alias("rule"), "violations"
-    )
+#: what a key value stands for in the shared count of keys
+_PARENT = "parent"
 
 
-def _reference(table: str, child: DataFrame, key: str, parent_table: str, parent: DataFrame) -> DataFrame:
-    parent_key = "user_id" if parent_table == "users" else "repo_id"
-    counted = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    orphans = counted.join(parent.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
-    return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-        F.lit(f"V4 {table}.{key} in {parent_table}").alias("rule"), "violations"
-    )
+def _keys(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> list[tuple[str, str, list[str]]]:
+    """(rule, domain, key columns) of the uniqueness rules, references and referenced keys of a table."""
+    found = []
+    for keys in UNIQUE.get(table, []):
+        if set(keys) <= set(df.columns):
+            rule = f"V3 {table}({', '.join(keys)}) unique"
+            found.append((rule, rule, keys))
+    for child, key, parent in REFERENCES:
+        parent_key = _parent_key(parent)
+        if parent in tables and child in tables and key in tables[child].columns:
+            if child == table:
+                found.append((f"V4 {table}.{key} in {parent}", f"{parent}.{parent_key}", [key]))
+            if parent == table and (_PARENT, f"{parent}.{parent_key}", [parent_key]) not in found:
+                found.append((_PARENT, f"{parent}.{parent_key}", [parent_key]))
+    return found
+
+
+def _parent_key(parent: str) -> str:
+    return "user_id" if parent == "users" else "repo_id"
+
+
+def _key_counts(df: DataFrame, keys: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """How often each value of each key stands, all keys of a table in one pass; NULLs never clash."""
+
+    def entry(rule: str, domain: str, columns: list[str]) -> Column:
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        value = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
+        return F.struct(F.lit(rule).alias("rule"), F.lit(domain).alias("domain"), F.when(known, value).alias("key"))
+
+    each = df.select(F.explode(F.array(*[entry(*k) for k in keys])).alias("e")).select("e.*").filter("key IS NOT NULL")
+    return each.groupBy("domain", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _key_rules(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """V3 and V4 for all tables: keys are counted where they stand, then met by their domain."""
+    wanted = {table: keys for table, df in tables.items() if (keys := _keys(table, df, tables))}
+    if not wanted:
+        return []
+    counts = reduce(DataFrame.unionByName, [_key_counts(tables[table], keys) for table, keys in wanted.items()])
+    # a value of a domain has one entry for each rule at most
+    met = counts.groupBy("domain", "key").agg(F.collect_list(F.struct("rule", "n")).alias("by"))
+    orphan = ~F.exists("by", lambda e: e["rule"] == _PARENT)
+    found = met.withColumn("orphan", orphan).select("orphan", F.explode("by").alias("e")).select("orphan", "e.*")
+    repeated = F.col("rule").startswith("V3") & (F.col("n") > 1)
+    lost = F.col("rule").startswith("V4") & F.col("orphan")
+    bad = F.when(repeated, F.lit(1).cast("long")).when(lost, F.col("n")).otherwise(F.lit(0).cast("long"))
+    rules = [rule for keys in wanted.values() for rule, _, _ in keys if rule != _PARENT]
+    # a rule without any key has no violation
+    zeros = counts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, rules))).alias("rule"), F.lit(0).cast("long").alias("violations"))
+    sums = found.filter(F.col("rule") != _PARENT).select("rule", bad.alias("violations")).unionByName(zeros)
+    return [sums.groupBy("rule").agg(F.sum("violations").alias("violations"))]
 
 
 def audit(tables: dict[str, DataFrame], months: tuple[date, date] = MONTH_RANGE) -> DataFrame:
-    """Count the violations of every rule that applies to the given tables."""
-    parts: list[DataFrame] = []
-    for table, df in tables.items():
-        rules = _row_rules(table, df, months)
-        if rules:
-            parts.append(_one_pass(df, rules))
-        parts += [_unique(table, df, keys) for keys in UNIQUE.get(table, []) if set(keys) <= set(df.columns)]
-    for child, key, parent in REFERENCES:
-        if child in tables and parent in tables and key in tables[child].columns:
-            parts.append(_reference(child, tables[child], key, parent, tables[parent]))
-    return reduce(DataFrame.unionByName, parts)
+    """Count the violations of every rule that applies to the given tables.
+
+    Each table is read twice: once for the rules on single rows, once for its keys.
+    """
+    parts = [_one_pass(df, rules) for table, df in tables.items() if (rules := _row_rules(table, df, months))]
+    return reduce(DataFrame.unionByName, parts + _key_rules(tables))

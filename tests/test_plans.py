@@ -280,16 +280,15 @@ def test_live_counts_with_late_rows(spark, tmp_path):
     source = f"{tmp_path}/in"
     batches = [
         [(1, datetime(2024, 1, 10, 5), 1, 1), (1, datetime(2024, 1, 11, 5), 2, 1)],
-        [(1, datetime(2024, 1, 10, 23), 4, 1), (2, datetime(2024, 1, 9, 1), 8, 1)],
+        [(1, datetime(2024, 1, 10, 23), 4, 1), (2, datetime(2024, 1, 9, 1), 8, 1), (1, datetime(2020, 1, 1), 16, 1)],
     ]
-    everything = []
     for batch in batches:
-        everything += batch
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
-        counts = daily.daily_counts(spark.readStream.schema(schema).parquet(source), "7 days")
-        daily.write_updates(counts, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = rows(daily.read_latest(spark, f"{tmp_path}/out"), "commit_date", "repo_id", "commit_count", "total_additions")
-    assert got == [(date(2024, 1, 9), 2, 1, 8), (date(2024, 1, 10), 1, 2, 5), (date(2024, 1, 11), 1, 1, 2)]
+        daily.write_counts(spark.readStream.schema(schema).parquet(source), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        got = rows(daily.read_counts(spark, f"{tmp_path}/out"), "commit_date", "repo_id", "commit_count", "total_additions")
+        daily.compact(spark, f"{tmp_path}/out")
+        assert got == rows(daily.read_counts(spark, f"{tmp_path}/out"), "commit_date", "repo_id", "commit_count", "total_additions")
+    assert got == [(date(2020, 1, 1), 1, 1, 16), (date(2024, 1, 9), 2, 1, 8), (date(2024, 1, 10), 1, 2, 5), (date(2024, 1, 11), 1, 1, 2)]
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
