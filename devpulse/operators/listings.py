@@ -26,6 +26,12 @@ def _id_block(column: str) -> Column:
     return F.floor(F.col(column) / F.lit(_ID_BLOCK))
 
 
+def _newest_first(time: str, ident: str) -> list[tuple[Column, bool]]:
+    """Day, minute, instant and id range: none has many values within the one before."""
+    steps = [F.to_date(time), F.date_trunc("minute", time), F.col(time)]
+    return [*((step, False) for step in steps), (_id_block(ident), True)]
+
+
 def repository_listing(
     repos: DataFrame,
     commits: DataFrame,
@@ -45,7 +51,7 @@ def repository_listing(
         [F.desc("updated_at"), F.asc("repo_id")],
         page,
         per_page,
-        levels=[(F.to_date("updated_at"), False), (F.col("updated_at"), False), (_id_block("repo_id"), True)],
+        levels=_newest_first("updated_at", "repo_id"),
     )
     return (
         listed.join(repo_counts(commits, "commit_count"), "repo_id", "left")
@@ -64,7 +70,7 @@ def sync_history(
         [F.desc("created_at"), F.asc("job_id")],
         page,
         per_page,
-        levels=[(F.to_date("created_at"), False), (F.col("created_at"), False), (_id_block("job_id"), True)],
+        levels=_newest_first("created_at", "job_id"),
     )
     return listed.join(repos.select("repo_id", F.col("full_name").alias("repo_full_name")), "repo_id", "left")
 

@@ -34,6 +34,10 @@ def page_totals(df: DataFrame, per_page: int = 20, by: str = "user_id", groups:
             .join(totals, by, "left")
             .select(by, F.coalesce("total", F.lit(0)).alias("total"))
         )
+    return _pages(totals, per_page)
+
+
+def _pages(totals: DataFrame, per_page: int) -> DataFrame:
     return totals.withColumn("total_pages", F.ceil(F.col("total") / F.lit(per_page)).cast("long"))
 
 
@@ -58,37 +62,35 @@ def paginate(
         raise ValueError("page must be >= 1 and per_page within 1..100")
     first, last = (page - 1) * per_page, page * per_page
     if not levels:
-        rows = top_k(df, [by], order, last, "position").filter(F.col("position") > first)
+        rows, totals = top_k(df, [by], order, last, "position").filter(F.col("position") > first), page_totals(df, per_page, by)
     else:
-        rows = _deep_page(df, order, first, last, by, levels)
-    return (
-        rows.join(page_totals(df, per_page, by), by)
-        .withColumn("page", F.lit(page))
-        .withColumn("per_page", F.lit(per_page))
-    )
+        names = [f"_level{i}" for i in range(len(levels))]
+        leveled = df.withColumns({n: c for n, (c, _) in zip(names, levels)})
+        # the one count that all levels, and the totals, are derived from
+        counts = leveled.groupBy(by, *names).agg(F.count(F.lit(1)).alias("_n"))
+        rows = _deep_page(leveled, counts, order, first, last, by, names, [up for _, up in levels])
+        totals = _pages(counts.groupBy(by).agg(F.sum("_n").alias("total")), per_page)
+    return rows.join(totals, by).withColumn("page", F.lit(page)).withColumn("per_page", F.lit(per_page))
 
 
 def _deep_page(
-    df: DataFrame, order: list[Column], first: int, last: int, by: str, levels: list[tuple[Column, bool]]
+    leveled: DataFrame, counts: DataFrame, order: list[Column], first: int, last: int, by: str, names: list[str], ascending: list[bool]
 ) -> DataFrame:
-    names = [f"_level{i}" for i in range(len(levels))]
-    rows = df.withColumns({n: c for n, (c, _) in zip(names, levels)}).withColumn("_before", F.lit(0).cast("long"))
-    keys = [by]
-    for name, (_, ascending) in zip(names, levels):
-        step = F.col(name).asc() if ascending else F.col(name).desc()
+    chosen: DataFrame | None = None
+    for depth, name in enumerate(names):
+        keys = [by, *names[:depth]]
+        level = counts if depth == len(names) - 1 else counts.groupBy(*keys, name).agg(F.sum("_n").alias("_n"))
+        level = level.withColumn("_before", F.lit(0).cast("long")) if chosen is None else _rows_of(level, chosen, keys)
+        step = F.col(name).asc() if ascending[depth] else F.col(name).desc()
         running = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        keys = [*keys, name]
-        starts = F.col("_outer") + F.sum("_n").over(running) - F.col("_n")
-        overlapping = (
-            rows.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_outer"))
-            .withColumn("_start", starts)
-            .filter((F.col("_start") < last) & (F.col("_start") + F.col("_n") > first))
-        )
-        rows = _rows_of(rows.drop("_before"), overlapping.withColumnRenamed("_start", "_before"), keys)
-    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + F.col("_before")
+        start = F.col("_before") + F.sum("_n").over(running) - F.col("_n")
+        overlapping = (F.col("_start") < last) & (F.col("_start") + F.col("_n") > first)
+        chosen = level.withColumn("_start", start).filter(overlapping).select(*keys, name, F.col("_start").alias("_before"))
+    finest = [by, *names]
+    position = F.row_number().over(Window.partitionBy(*finest).orderBy(*order)) + F.col("_before")
     return (
-        rows.withColumn("position", position.cast("int"))
+        _rows_of(leveled, chosen, finest)
+        .withColumn("position", position.cast("int"))
         .filter((F.col("position") > first) & (F.col("position") <= last))
         .drop(*names, "_before")
     )
