@@ -556,6 +556,17 @@ def _by_month(view: str, ts: str, *aggs: str, where: str = "TRUE") -> str:
                 WHERE is_active AND {where} AND {ts} >= DATE '2023-12-01' AND {ts} < DATE '2024-02-01' GROUP BY 1, 2)"""
 
 
+@query(
+    "month_categories",
+    """SELECT user_id, CAST(date_trunc('month', analyzed_at) AS DATE) AS month_start, work_category, count(*) AS analyses
+       FROM analyses JOIN repositories USING (repo_id)
+       WHERE is_active AND source_type = 'commit' AND analyzed_at >= DATE '2023-12-01' AND analyzed_at < DATE '2024-02-01'
+       GROUP BY 1, 2, 3""",
+)
+def _(t):
+    return summaries.month_categories(t.analyses(), t.repositories(), date(2024, 1, 1), 2)
+
+
 @query(
     "month_stats",
     f"""WITH spine AS (SELECT user_id, unnest([DATE '2024-01-01', DATE '2023-12-01']) AS month_start FROM users),
@@ -575,7 +586,7 @@ def _by_month(view: str, ts: str, *aggs: str, where: str = "TRUE") -> str:
 )
 def _(t):
     stats = summaries.month_stats(
-        t.users(), t.event_commits(), t.event_pull_requests(), t.analyses(), t.repositories(), date(2024, 1, 1), 2
+        t.users(), t.event_commits(), t.event_pull_requests(), t.analyses(), t.repositories(), date(2024, 1, 1), 2, with_breakdown=True
     )
     pairs = F.transform(
         F.map_entries("category_breakdown"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))

@@ -241,11 +241,13 @@ def month_stats(
     repos: DataFrame,
     month: date,
     count: int = 1,
+    with_breakdown: bool = False,
 ) -> DataFrame:
-    """Month figures over active repositories, with a category -> count map.
+    """Month figures over active repositories.
 
-    The map is built from already counted categories, so its size is that of the
-    label vocabulary, not of the analyses.
+    ``with_breakdown`` adds the published category -> count map.  Its size is that
+    of the label vocabulary; where labels are free text, take the rows of
+    `month_categories` instead.
     """
     tracked = active(repos)
     zero = F.lit(0).cast("long")
@@ -268,27 +270,26 @@ def month_stats(
     )
     sums = [F.sum(n).alias(n) for n in names]
     totals = _by_user(facts.groupBy("repo_id", "month_start").agg(*sums), tracked, ["month_start"], *sums)
+    out = spine(users, _months(month, count), "month_start").join(totals, ["user_id", "month_start"], "left")
+    figures = [F.year("month_start").alias("year"), F.month("month_start").alias("month"), *[_zero(n).alias(f"total_{n}") for n in names]]
+    if not with_breakdown:
+        return out.select("user_id", *figures)
+    pairs = F.array_sort(F.collect_list(F.struct("work_category", "n")))
     categories = (
         _label_counts(analyzed, tracked, "month_start", "work_category")
         .groupBy("user_id", "month_start")
-        .agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("work_category", "n")))).alias(
-                "category_breakdown"
-            )
-        )
-    )
-    return (
-        spine(users, _months(month, count), "month_start")
-        .join(totals, ["user_id", "month_start"], "left")
-        .join(categories, ["user_id", "month_start"], "left")
-        .select(
-            "user_id",
-            F.year("month_start").alias("year"),
-            F.month("month_start").alias("month"),
-            *[_zero(n).alias(f"total_{n}") for n in names],
-            F.coalesce("category_breakdown", F.create_map().cast("map<string,bigint>")).alias("category_breakdown"),
-        )
+        .agg(F.map_from_entries(pairs).alias("category_breakdown"))
     )
+    none = F.create_map().cast("map<string,bigint>")
+    whole = out.join(categories, ["user_id", "month_start"], "left")
+    return whole.select("user_id", *figures, F.coalesce("category_breakdown", none).alias("category_breakdown"))
+
+
+def month_categories(analyses: DataFrame, repos: DataFrame, month: date, count: int = 1) -> DataFrame:
+    """Analyses per (user, month, category) over active repositories, one row each."""
+    analyzed = _commit_analyses(_in_months(analyses, "analyzed_at", month, count))
+    counts = _label_counts(analyzed, active(repos), "month_start", "work_category")
+    return counts.select("user_id", "month_start", "work_category", F.col("n").alias("analyses"))
 
 
 # --- Evidence for generated summaries (C9, C11) ------------------------------

@@ -2,7 +2,7 @@
 
 customer -> repositories, nation -> users, orders -> commits, pull requests and
 payloads, events -> analyses, jobs and timed activity, lineitem -> file lists,
-documents -> diffs.  `checks/oracle.py` states the same mapping in SQL.
+documents -> diffs.  `checks/prelude.py` states the same mapping in SQL.
 """
 
 from __future__ import annotations

@@ -116,7 +116,7 @@ def test_month_statistics_leave_out_inactive_repositories(spark, repos):
     cs = [(1, datetime(2024, 3, 1)), (3, datetime(2024, 3, 1))]
     ans = [("commit", 1, 1, [], "docs", None, datetime(2024, 3, 3)), ("weekly_summary", 1, 1, [], "summary", None, datetime(2024, 3, 3))]
     ps = [(1, datetime(2024, 3, 5), None), (1, datetime(2024, 4, 1), None)]
-    stats = summaries.month_stats(users(spark), commits(spark, *cs), prs(spark, *ps), analyses(spark, *ans), repos, date(2024, 3, 1))
+    stats = summaries.month_stats(users(spark), commits(spark, *cs), prs(spark, *ps), analyses(spark, *ans), repos, date(2024, 3, 1), with_breakdown=True)
     r = {x.user_id: x for x in stats.collect()}
     assert tuple(r[1]) == (1, 2024, 3, 1, 1, 2, 1, 1, {"docs": 1})
     assert tuple(r[2]) == (2, 2024, 3, 0, 0, 0, 0, 0, {})
