@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
@@ -316,7 +316,7 @@ def learn(train: DataFrame, shards: int, text: str = "text") -> Model:
     return Model(tokens, types, shards, {h: s for h, s in sorted(spread.items()) if s > 1})
 
 
-def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of ``docs``.
 
     ``train`` is a condition: the model learns from the rows where it is true,

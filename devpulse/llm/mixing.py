@@ -46,9 +46,13 @@ def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """Target shares in proportion to a power of the present ones; 0 makes all values equal."""
     sums = cells.groupBy(dimension).agg(F.pow(F.sum("n").cast("double"), F.lit(power)).alias("n"))
-    whole = sums.agg(F.sum("n").alias("whole"))
-    # one row
-    return sums.join(F.broadcast(whole)).select(dimension, (F.col("n") / F.col("whole")).alias("share"))
+    whole = _total(sums)
+    return sums.select(dimension, (F.col("n") / F.lit(whole) if whole else F.lit(0.0)).alias("share"))
+
+
+def _total(df: DataFrame) -> float:
+    """The sum of ``n``; one number reaches the driver."""
+    return float(df.agg(F.sum("n")).first()[0] or 0)
 
 
 def _fitted_to(cells: DataFrame, dimension: str, target: DataFrame) -> DataFrame:
@@ -70,9 +74,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     1.  Values without a target, and cells without tokens, get weight 0.
     """
     spark = cells.sparkSession
-    whole = cells.agg(F.sum("n").alias("whole"))
-    start = cells.join(F.broadcast(whole)).withColumn("weight", F.when(F.col("whole") > 0, 1 / F.col("whole")).otherwise(0.0)).drop("whole")
-    now, path = staged(start, "cells")
+    whole = _total(cells)
+    now, path = staged(cells.withColumn("weight", F.lit(1 / whole if whole else 0.0)), "cells")
     fixed = {d: staged(t, "target")[0] for d, t in targets.items()}
     for _ in range(rounds):
         step = now.withColumn("off", F.lit(0.0))
@@ -92,10 +95,10 @@ def rate(cells: DataFrame, kept_share: float = KEPT_SHARE) -> float:
 
     The relative weight of a cell is its weight over the mean.  Only sums reach the driver.
     """
-    whole = cells.agg(F.sum("n")).first()[0] or 0
+    whole = _total(cells)
     wanted, factor = kept_share * whole, kept_share
     for _ in range(60):
-        relative = F.col("weight") * F.lit(float(whole))
+        relative = F.col("weight") * F.lit(whole)
         full = F.col("n").cast("double") * (factor * relative >= 1).cast("double")
         part = F.col("n") * relative * (factor * relative < 1).cast("double")
         capped, open_tokens = cells.agg(F.sum(full), F.sum(part)).first()
@@ -137,8 +140,7 @@ def mixed(
     cells, _ = staged(plain.groupBy(*keys).agg(F.sum(tokens).alias("n")), "cells")
     weighted = rake(cells, {d: tempered(cells, d, p) for d, p in powers.items()})
     factor = rate(weighted, kept_share)
-    whole = weighted.agg(F.sum("n")).first()[0] or 0
-    chance = F.least(F.lit(1.0), F.col("weight") * F.lit(float(whole)) * F.lit(float(factor)))
+    chance = F.least(F.lit(1.0), F.col("weight") * F.lit(_total(weighted)) * F.lit(float(factor)))
     drawn = F.pmod(F.xxhash64(F.col(doc_id), F.lit(_SEED)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     out = _joined(plain, weighted.drop("n"), keys).withColumn("probability", chance)
     return out.withColumn("sampled", drawn < F.col("probability"))
