@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.prelude import lookup, pct1, pct_change1, round1, with_views
-from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_diff, truncate_diff
+from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_diff
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import preset_start
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
