@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devpulse.llm.graph import components
+from devpulse.llm.graph import components, splittable
 from devpulse.plans.files import staged
 
 COSINE = 0.9
@@ -248,7 +248,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "v
     named = named.withColumn("component", F.coalesce("component", "digest"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = F.coalesce("n", F.lit(0).cast("long")) + F.col("copies") - 1
-    ids = named.join(least, "component").select("digest", linked.alias("n_links"), "component_id")
+    ids = named.join(splittable(least), "component").select("digest", linked.alias("n_links"), "component_id")
     known = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     out = rows.drop("vector").withColumn("digest", F.when(F.col("vec_id").isNotNull(), F.col("digest"))).join(ids, "digest", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), known.alias("component_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
-from devpulse.llm.graph import components
+from devpulse.llm.graph import components, splittable
 from devpulse.plans.files import staged
 
 SHINGLE = 5
@@ -263,7 +263,7 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     named = classes.join(groups.withColumnRenamed("node", "digest"), "digest", "left")
     named = named.select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = named.join(least, "component").select("digest", "component_id")
+    ids = named.join(splittable(least), "component").select("digest", "component_id")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = rows.join(ids, "digest", "left").select("doc_id", "text_hash", "n_shingles", known.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
