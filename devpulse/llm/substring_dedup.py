@@ -61,13 +61,13 @@ class _Text:
     def window_anchors(self, ids: np.ndarray) -> np.ndarray:
         return _sliding(self.runs(ids), self.inside, np.minimum)
 
-    def chosen(self, ids: np.ndarray) -> np.ndarray:
-        """The hash of each run that is the anchor of some window, once for each place of it."""
+    def chosen(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that are the anchor of some window, by their hashes, and in how many places each stands."""
         runs = self.runs(ids)
         least = _sliding(runs, self.inside, np.minimum)
         edge = np.zeros(self.inside - 1, np.uint64)
         most = _sliding(np.concatenate((edge, least, edge)), self.inside, np.maximum)
-        return runs[runs == most]
+        return np.unique(runs[runs == most], return_counts=True)
 
 
 def _version(spelled: bytes) -> int:
@@ -80,14 +80,16 @@ def _described(window: int):
             texts = _Text(batch["text"], window)
             docs = [texts.doc(i) for i in range(batch.num_rows)]
             digests = [hashlib.sha256(texts.spelled(d)) for d in docs]
-            anchors = [texts.chosen(d).view(np.int64) if len(d) >= window else np.zeros(0, np.int64) for d in docs]
+            none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            chosen = [texts.chosen(d) if len(d) >= window else none for d in docs]
             yield pa.record_batch(
                 {
                     "doc_id": batch["doc_id"],
                     "n_words": pa.array([len(d) for d in docs], pa.int64()),
                     "digest": pa.array([d.hexdigest() for d in digests]),
                     "version": pa.array([int.from_bytes(d.digest()[:8], "big", signed=True) for d in digests], pa.int64()),
-                    "anchors": pa.array(anchors, pa.list_(pa.int64())),
+                    "anchors": pa.array([a.view(np.int64) for a, _ in chosen], pa.list_(pa.int64())),
+                    "times": pa.array([n for _, n in chosen], pa.list_(pa.int32())),
                 }
             )
 
@@ -180,19 +182,23 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = "doc_id long, n_words long, digest string, version long, anchors array<long>"
+    kind = "doc_id long, n_words long, digest string, version long, anchors array<long>, times array<int>"
     described, described_at = staged(plain.mapInArrow(_described(window), kind), "anchors")
     long_enough = described.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     first = long_enough.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    marked = described.drop("anchors").join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    marked = described.drop("anchors", "times").join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
     rows, _ = staged(marked.drop("first_id"), "rows")
 
     firsts = first.select("digest", F.col("first_id").alias("doc_id"))
-    places = long_enough.join(firsts, ["digest", "doc_id"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
-    often = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
-    wanted = places.join(often, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("at"))
+    found = long_enough.join(firsts, ["digest", "doc_id"], "left_semi")
+    places = found.select("doc_id", F.explode(F.arrays_zip("anchors", "times")).alias("at")).select("doc_id", F.col("at.anchors").alias("anchor"), "at.times")
+    often = places.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
+    # written down, so that the join below has two shuffled sides and a frequent anchor can be split
+    often, often_at = staged(often, "often")
+    wanted = places.drop("times").join(often, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "hot")).alias("at"))
     wanted, wanted_at = staged(wanted.select("doc_id", F.col("at.anchor").alias("anchors"), F.col("at.hot").alias("hot")), "wanted")
     delete(spark, described_at)
+    delete(spark, often_at)
 
     segments, segments_at = staged(plain.join(wanted, "doc_id").mapInArrow(_segments(window), _SEGMENT), "segments")
     earliest = segments.groupBy("key", "segment").agg(F.min(F.struct("doc_id", "version", "start")).alias("at"))
