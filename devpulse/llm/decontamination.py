@@ -163,6 +163,7 @@ def _search(automaton: Broadcast):
             rows.append((sum(b - a for a, b in spans), [{"start": a, "end": b} for a, b in spans], sorted(items)))
         out = pd.DataFrame(rows, columns=["n_hit", "spans", "items"])
         out.insert(0, "n_words", np.diff(found.offsets))
+        words.release()
         return out
 
     return F.pandas_udf(search, FOUND)

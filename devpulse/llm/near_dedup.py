@@ -167,6 +167,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flushed()
     search()
     yield flushed()
+    words.release()
 
 
 def _sorted_orders(classes: DataFrame) -> DataFrame:

@@ -155,6 +155,7 @@ def _matched(window: int):
                 [*(batch[c] for c in ("key", "segment", "doc_id", "version", "start")), pa.array(repeated, pa.list_(pa.int32()))],
                 ["key", "segment", "doc_id", "version", "start", "repeated"],
             )
+        words.release()
 
     return match
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -94,8 +95,16 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return chained(h[i : i + n] for i in range(size)) if n > 0 else np.zeros(0, np.uint64)
 
 
+def release() -> None:
+    """Give freed memory back to the machine: a worker lives on between tasks, beside others that need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most so many bytes of text, or of one row."""
+    """The same rows in batches of at most so many bytes of text, or of one row; memory is given back after the last."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
@@ -106,3 +115,4 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most_bytes: int = 16 <<
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+    release()
