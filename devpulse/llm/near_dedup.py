@@ -25,6 +25,9 @@ LEAST_DEPTH, DEPTH = 2, 8
 REGION = 64
 #: beyond the depth of the order: sorted neighbours compared on either side
 NEIGHBOURS = 12
+#: classes of which more orders cut the region of least depth are joined exactly.  A pair at the limit shares that
+#: depth in no more than so many of the orders with a chance of 4 in 10,000 (binomial of 16 and 0.75 ** 2)
+MOST_CUT = 2
 #: pairs of which a smaller share of hash values agrees are not confirmed (five standard deviations below the limit)
 LEAST_AGREEMENT = 0.48
 
@@ -77,23 +80,49 @@ def described(docs: DataFrame) -> DataFrame:
     return hashed.mapInArrow(_described, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
-def _regions(paths: np.ndarray, start: int, end: int, depth: int) -> Iterator[tuple[int, int]]:
-    """Runs of sorted paths that share a prefix: no deeper than it takes to hold REGION rows."""
-    if end - start < 2:
-        return
-    if end - start <= REGION or depth >= paths.shape[1]:
-        yield start, end
-        return
-    cuts = np.flatnonzero(paths[start + 1 : end, depth] != paths[start : end - 1, depth]) + start + 1
-    for a, b in zip([start, *cuts.tolist()], [*cuts.tolist(), end]):
-        yield from _regions(paths, a, b, depth + 1)
+def _regions(paths: np.ndarray, groups: np.ndarray | None, start: int, end: int, depth: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, depth) of runs of sorted paths that share a prefix: no deeper than it takes to hold REGION rows.
+
+    With groups, more rows are held if they have no more partners in other groups
+    than REGION rows have.  A run that stays larger has a depth of DEPTH + 1.
+    """
+    n = end - start
+    if n <= REGION or (groups is not None and _partners(groups[start:end]) <= REGION * n // 2):
+        yield start, end, depth
+    elif depth >= paths.shape[1]:
+        yield start, end, DEPTH + 1
+    else:
+        for a, b in _runs(paths, start, end, depth):
+            yield from _regions(paths, groups, a, b, depth + 1)
+
+
+def _runs(paths: np.ndarray, start: int, end: int, depth: int) -> Iterator[tuple[int, int]]:
+    """Runs of equal values at a depth."""
+    cuts = (np.flatnonzero(paths[start + 1 : end, depth] != paths[start : end - 1, depth]) + start + 1).tolist()
+    return zip([start, *cuts], [*cuts, end])
+
+
+def _partners(groups: np.ndarray) -> int:
+    """Pairs of different groups."""
+    n = np.unique(groups, return_counts=True)[1]
+    return int(len(groups) ** 2 - (n * n).sum()) // 2
+
+
+def _across(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs of different groups, each once and in order."""
+    found, code, n = np.unique(groups, return_inverse=True, return_counts=True)
+    rare = code != n.argmax()
+    i, j = np.nonzero(groups[rare][:, None] != groups)
+    i = np.flatnonzero(rare)[i]
+    once = ~rare[j] | (i < j)
+    return np.minimum(i, j)[once], np.maximum(i, j)[once]
 
 
 def _agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (left == right).mean(axis=-1)
 
 
-def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | None) -> Iterator[tuple[int, int]]:
+def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | None, regions: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
     """Index pairs of one region of least depth: the best partner of each row, or, with groups, all partners of other groups."""
     n = len(paths)
     pairs: dict[tuple[int, int], float] = {}
@@ -109,9 +138,9 @@ def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | No
         for p, q, s in zip(i[near].tolist(), j[near].tolist(), share[near].tolist()):
             pairs[(p, q)] = s
 
-    for a, b in _regions(paths, 0, n, LEAST_DEPTH):
-        if b - a <= REGION:
-            i, j = np.triu_indices(b - a, 1)
+    for a, b, depth in regions:
+        if depth <= DEPTH and b - a > 1:
+            i, j = np.triu_indices(b - a, 1) if groups is None else _across(groups[a:b])
             add(i + a, j + a)
     if n > REGION:  # neighbours with the longest common prefix, whatever their region
         for step in range(1, NEIGHBOURS + 1):
@@ -132,40 +161,57 @@ def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | No
 _HELD_ROWS = 4096
 
 
+_SEARCHED = "a binary, b binary, cut long"
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (tree, path, sketch, digest and perhaps group) to candidate pairs of digests."""
+    """Sorted rows (tree, path, sketch, digest and perhaps group) to candidate pairs of digests.
+
+    With groups, also a row (digest, null, 1) for each row that has not met all
+    rows of other groups in its region of least depth.
+    """
     held: list[tuple] = []
     found: set[tuple[bytes, bytes]] = set()
+    cut: list[bytes] = []
 
-    def search() -> None:
-        if len(held) < 2:
+    def search(whole: bool, stay: int) -> None:
+        """Compares the rows held, which are a whole region of least depth or a part of one, and lets all but the last go."""
+        if not held:
             return
         paths = np.frombuffer(b"".join(r[1] for r in held), dtype=">u4").reshape(len(held), DEPTH)
         sketches = np.frombuffer(b"".join(r[2] for r in held), dtype=np.uint8).reshape(len(held), PERMUTATIONS)
         codes = {g: i for i, g in enumerate({r[4] for r in held})}
         groups = np.array([codes[r[4]] for r in held]) if held[0][4] is not None else None
-        for i, j in _candidates(paths, sketches, groups):
+        regions = list(_regions(paths, groups, 0, len(held), LEAST_DEPTH))
+        for i, j in _candidates(paths, sketches, groups, regions):
             x, y = held[i][3], held[j][3]
             found.add((x, y) if x < y else (y, x))
+        gone = len(held) - stay
+        if groups is not None and not (whole and regions[0][2] == LEAST_DEPTH):
+            cut.extend(r[3] for r in held[:gone])
+        del held[:gone]
 
     def flushed() -> pa.RecordBatch:
-        pairs = list(found)
+        a, b = [p[0] for p in found] + cut, [p[1] for p in found] + [None] * len(cut)
+        n = [0] * len(found) + [1] * len(cut)
         found.clear()
-        return pa.record_batch({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        cut.clear()
+        return pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "cut": pa.array(n, pa.int64())})
 
     key = None
+    open_start = True  # the region may begin in another task
     for batch in batches:
         columns = [batch[c].to_pylist() for c in ("tree", "path", "sketch", "digest", "group")]
         for row in zip(*columns):
             at = (row[0], row[1][: 4 * LEAST_DEPTH])
             if at != key or len(held) >= _HELD_ROWS:
-                search()
-                held[:] = held[-REGION:] if at == key else []
+                search(whole=not open_start and at != key, stay=REGION if at == key else 0)
+                open_start = at == key or key is None
                 key = at
             held.append(row)
-        if len(found) > 100_000:
+        if len(found) + len(cut) > 100_000:
             yield flushed()
-    search()
+    search(whole=False, stay=0)  # the region may go on in another task
     yield flushed()
     words.release()
 
@@ -200,15 +246,17 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs of digests (a, b) whose whole shingle sets are similar enough.
-
-    The sets are made again, from the text of each class's first document.
-    """
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(digest, shingles) of the wanted classes, made again from the text of each class's first document."""
     ids = classes.join(wanted, "digest", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
     sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_rows, "digest binary, shingles array<long>")
-    sets = sets.dropDuplicates(["digest"])  # a document may stand in several rows
+    return sets.dropDuplicates(["digest"])  # a document may stand in several rows
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs of digests (a, b) whose whole shingle sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    sets = _sets(wanted, classes, docs)
     left = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("s")), "a")
     both = left.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
@@ -216,6 +264,42 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.where(of * shared >= least * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
+def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs of digests (a, b) of the marked classes (digest, group) that can be similar enough, but for those of one group.
+
+    Shingles are ordered by the number of sets that hold them.  Similar sets
+    share one of their rarest: the smaller set among its n - ceil(2t / (1 + t) n)
+    + 1 first, the larger among its n - ceil(t n) + 1 first, and after the first
+    that they share enough must be left of both.  A shingle of one group only
+    joins nothing; of the others, its largest group meets only the rest.
+    """
+    least, of = SIMILARITY
+    sets = _sets(marked, classes, docs).join(marked, "digest")
+    tokens, _ = staged(sets.select("digest", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    held = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    ordered = tokens.join(splittable(held), "token").groupBy("digest").agg(
+        F.first("group").alias("group"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("some")
+    )
+    # shingles of one set only come first
+    ordered = ordered.withColumn("alone", F.col("n") - F.size("some"))
+    first = F.expr(f"n - ({least} * n + {of - 1}) div {of} + 1")
+    ordered = ordered.select("digest", "group", "n", "alone", F.posexplode(F.slice("some", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))))
+    indexed = F.expr(f"at < n - ({2 * least} * n + {of + least - 1}) div {of + least} + 1")
+    rows = ordered.select("digest", "group", "n", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")).withColumn("indexed", indexed)
+    rows, _ = staged(rows, "prefixes")
+
+    sizes = rows.groupBy("token", "group").agg(F.count("*").alias("rows"))
+    top = sizes.groupBy("token").agg(F.max_by("group", F.struct("rows", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    rows, _ = staged(rows.join(splittable(top.drop("groups")), "token").withColumn("in_top", F.col("group") == F.col("top")).drop("top"), "prefixes")
+    x, y = rows.where("indexed").alias("x"), rows.alias("y")
+    smaller = "(x.n < y.n OR x.n = y.n AND x.digest < y.digest)"
+    enough = f"{of + least} * least(x.n - x.at, y.n - y.at) >= {least} * (x.n + y.n)"
+    match = F.expr(f"x.token = y.token AND x.group <> y.group AND {smaller} AND {of} * x.n >= {least} * y.n AND {enough}")
+    parts = [x.where("NOT x.in_top").join(y, match), x.where("x.in_top").join(y.where("NOT y.in_top"), match)]
+    a, b = F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")
+    return parts[0].select(a, b).union(parts[1].select(a, b)).distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``.
 
@@ -230,7 +314,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     documents is cut at a greater depth, and sorted neighbours are compared
     besides.  The first pass confirms each document's best partners on whole
     sets; the second all candidates that are still in different components, so
-    that a large group costs its links and not its pairs.
+    that a large group costs its links and not its pairs.  Classes whose
+    regions were cut in more than two orders are joined exactly on their rarest
+    shingles (``prefix_pairs``), so a link at the limit is missed with a chance
+    below 1 in 1,000 whatever the documents have in common.
 
     Null, empty and blank texts have an empty set and are linked with nothing; a
     row with a null doc_id is linked with nothing and kept, with a null
@@ -241,6 +328,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return _grouped(docs, doc_id, text).drop("text_hash")
 
 
+def _in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with the component of each digest as its group."""
+    of = groups.select(F.col("node").alias("digest"), F.col("component").alias("group"))
+    return rows.join(of, "digest", "left").withColumn("group", F.coalesce("group", "digest"))
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, _ = staged(described(plain), "signatures")
@@ -248,18 +341,26 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
     classes, _ = staged(classes, "classes")
     sketched = classes.select("digest", "signature").mapInArrow(_low_bytes, "digest binary, signature binary, sketch binary")
-    pair_type = "a binary, b binary"
-
-    best = _sorted_orders(sketched.withColumn("group", F.lit(None).cast("binary"))).mapInArrow(_search, pair_type).distinct()
+    best = _sorted_orders(sketched.withColumn("group", F.lit(None).cast("binary"))).mapInArrow(_search, _SEARCHED).select("a", "b").distinct()
     first, _ = staged(best, "pairs")
     links, _ = staged(confirmed(first, classes, plain), "confirmed")
     groups, _ = staged(components(links), "groups")
 
-    of = groups.select(F.col("node").alias("digest"), F.col("component").alias("group"))
-    grouped = sketched.join(of, "digest", "left").withColumn("group", F.coalesce("group", "digest"))
-    rest = _sorted_orders(grouped).mapInArrow(_search, pair_type).distinct().join(first, ["a", "b"], "left_anti")
+    searched = _sorted_orders(_in_groups(sketched, groups)).mapInArrow(_search, _SEARCHED)
+    searched = searched.groupBy("a", "b").agg(F.sum("cut").alias("cut"))
+    searched, _ = staged(searched.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = searched.where("b IS NOT NULL").select("a", "b")
     more, _ = staged(confirmed(rest, classes, plain), "confirmed")
-    groups = components(links.union(more))
+    links = links.union(more)
+    groups = components(links)
+
+    hard = searched.where(F.col("b").isNull() & (F.col("cut") > MOST_CUT))
+    if not hard.isEmpty():
+        marked, _ = staged(_in_groups(hard.select(F.col("a").alias("digest")), groups), "marked")
+        exact = prefix_pairs(marked, classes, plain).join(rest.union(first), ["a", "b"], "left_anti")
+        exact, _ = staged(exact, "pairs")
+        last, _ = staged(confirmed(exact, classes, plain), "confirmed")
+        groups = components(links.union(last))
 
     named = classes.join(groups.withColumnRenamed("node", "digest"), "digest", "left")
     named = named.select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
