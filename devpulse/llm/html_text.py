@@ -34,12 +34,16 @@ ENDS = {
 WALLS = {"li": LISTS | {"table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}}
 TABLE_WALL = frozenset({"table"})
 
+# as in HTML a quote opens a string only after '=': elsewhere it is a character like others, and the next '>' ends the tag
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
 _TOKEN = re.compile(
     r"""(?P<comment><!--(?:.*?-->|.*))|(?P<odd><[!?/](?![a-zA-Z])[^>]*+>?|<![^>]*+>?|<\?[^>]*+>?)"""
-    r"""|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)["']?>?|(?P<text>[^<]++|<)""",
+    r"""|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?|<(?P<start>[a-zA-Z][^\s/>]*+)"""
+    rf"""(?P<attributes>(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)|(?!\s*+=)))*+(?:{_NAME}\s*+=\s*+["'])?+)>?"""
+    r"""|(?P<text>[^<]++|<)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]*+)))?""")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: a column is padded up to this width; longer cells stand out

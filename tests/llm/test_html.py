@@ -65,3 +65,21 @@ def test_long_input_takes_linear_time():
         start = time.perf_counter()
         render(piece * 20_000)
         assert time.perf_counter() - start < 20, piece
+
+
+STRAY_QUOTES = {
+    '<div class="a"">Text</div><p class="b">More</p>': "Text\n\nMore",
+    "<a title=Bob's>Bob's page</a>": "Bob's page",
+    '<div "quoted">a</div>': "a",
+    '<a href=x?y="z>w</a>': "w",
+    "<p title=x'hidden>a</p>": "a",
+    '<a x = "p>q" y=\'r>s\'>t</a>': "t",
+    "<p hidden=>a</p>b": "b",
+}
+
+
+@pytest.mark.parametrize("html", STRAY_QUOTES)
+def test_stray_quotes_in_a_tag_swallow_nothing(html):
+    rest = '<div class="c">w1</div>' * 500 + "<p title='d'>w2</p>" * 500
+    assert render(html) == STRAY_QUOTES[html]
+    assert render(html + rest).split() == STRAY_QUOTES[html].split() + ["w1"] * 500 + ["w2"] * 500
