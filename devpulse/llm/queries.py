@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, embedding_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, substring_dedup, toxicity, url_filter
+from devpulse.llm import decontamination, divergence, embedding_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -194,3 +195,47 @@ FROM doc_words d LEFT JOIN sizes z USING (doc_id) JOIN least_id m USING (doc_id)
 )
 def _(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+#: the tokenizer whose tokens are counted
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query("op12_token_counts")
+def _(spark, sf_dir):
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+  FROM documents),
+occurring AS (
+  SELECT row_no, lang, source, unnest([x for x in string_split_regex(lowered, '[\x00-\x40\x5B-\x60\x7B-\x7F]+') if x <> '']) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM occurring GROUP BY ALL HAVING count(DISTINCT row_no) >= 30),
+here AS (SELECT lang, source, term, count(*) AS n FROM occurring GROUP BY ALL),
+all_groups AS (SELECT DISTINCT lang, source FROM docs),
+dense AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(h.n, 0) AS n
+  FROM all_groups g JOIN kept k ON k.lang = g.lang LEFT JOIN here h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+shares AS (
+  SELECT lang, source, term, n,
+    1 + (1000000000 * (CAST(n AS HUGEINT) + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+    1 + (1000000000 * (CAST(lang_n AS HUGEINT) + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q
+  FROM dense WINDOW g AS (PARTITION BY lang, source)),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS total
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.total, 0) AS BIGINT) AS value
+  FROM all_groups a JOIN all_groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+)
+def _(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
