@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devpulse.llm import decontamination, divergence, embedding_dedup, html_text, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts, toxicity, url_filter
+from devpulse.llm import decontamination, divergence, embedding_dedup, embedding_whitening, html_text, language_id, lm_scoring, mixing, near_dedup, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -197,6 +197,12 @@ def _(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@query("op11_embedding_whitening")
+def _(spark, sf_dir):
+    found = embedding_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 #: the tokenizer whose tokens are counted
 TOKENIZER = "byte_bpe_50k.json"
 
