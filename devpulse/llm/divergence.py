@@ -149,7 +149,7 @@ def _tile(rows: pa.Table) -> pa.Table:
     terms = known["term"].combine_chunks().dictionary_encode()
     share = np.repeat(base[:, None], len(terms.dictionary), axis=1)
     share[np.searchsorted(no, known["no"].to_numpy()), terms.indices.to_numpy(zero_copy_only=False)] = known["p"].to_numpy()
-    block = no // TILE_SOURCES
+    block = sources["block"].to_numpy()
     left, right, value = [], [], []
     for i in range(int((block == block[0]).sum())):
         # of two blocks each pair has one source of either; of one block each pair comes once
@@ -183,9 +183,9 @@ def _pairs(shares: DataFrame, groups: DataFrame) -> DataFrame:
     rows = (
         shares.select("lang", "source", "no", "terms", "sources", "base", F.pmod(F.xxhash64("term"), blocks).alias("part"), "term", "p")
         .unionByName(marks, allowMissingColumns=True)
-        .withColumn("other", F.explode(F.expr(f"sequence(0L, (sources - 1) div {TILE_SOURCES})")))
-        .withColumns({"u": F.least(F.expr(f"no div {TILE_SOURCES}"), "other"), "v": F.greatest(F.expr(f"no div {TILE_SOURCES}"), "other")})
-        .select("lang", "part", "u", "v", "no", "source", "base", "terms", "term", "p")
+        .withColumns({"block": F.expr(f"no div {TILE_SOURCES}"), "other": F.explode(F.expr(f"sequence(0L, (sources - 1) div {TILE_SOURCES})"))})
+        .withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")})
+        .select("lang", "part", "u", "v", "no", "block", "source", "base", "terms", "term", "p")
     )
     tiles = rows.groupBy("lang", "part", "u", "v").applyInArrow(
         _tile, "lang string, a string, b string, met long, seen long, gap long, terms long"
