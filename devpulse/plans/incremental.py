@@ -1,13 +1,19 @@
 """Incremental upserts and rollup maintenance by month (S9, S10 on storage; T2).
 
-A batch touches some months of a table.  One join of its keys with the stored
-ones finds the rows it changes; the months holding one are rewritten, all other
-new rows are added, and both become visible together.  Replaying a batch after a
-failure gives the same table.  Rollups live in the store that `read_rollup` reads.
+A batch touches some months of a table.  Its keys are looked up in the key hashes of
+the store, and one join with the folders that hold some finds the rows it changes; the
+months holding one are rewritten, all other new rows are added, and both become visible
+together.  Replaying a batch after a failure gives the same table.  Rollups live in the
+store that `read_rollup` reads.
+
+Each step works in a transaction (`store.Transaction`), so several of them can be made
+one commit; the functions with a path are transactions of their own, run anew if another
+writer was faster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +26,9 @@ from devpulse.operators.upsert import UpsertSpec, collapse_batch, updated_rows
 from devpulse.plans import files, store
 from devpulse.sources.tables import month_of, stored_schema
 
+#: gives some months of a stored table
+Reader = Callable[[list[str]], DataFrame]
+
 
 @dataclass
 class MergeResult:
@@ -28,6 +37,9 @@ class MergeResult:
     touched: DataFrame
     rewritten_months: list[str]
     scratch: list[str]
+    #: folders that were searched for keys, of so many in the table
+    opened_folders: int = 0
+    stored_folders: int = 0
 
     def release(self) -> None:
         for path in self.scratch:
@@ -44,30 +56,36 @@ def merge_monthly(
 ) -> MergeResult:
     """Upsert a batch into a month-partitioned table.
 
-    Keys are searched in every month, because a stored row keeps its timestamp
+    Keys are looked up in every month, because a stored row keeps its timestamp
     even when the incoming record says otherwise.  ``trust_dates`` limits the
     search to the batch's own months for sources whose record time is immutable.
     """
+    incoming, scratch = files.staged(collapse_batch(batch, spec, order), "collapsed")
+    merged = store.attempt(spark, path, lambda tx: merge(tx, "", incoming, spec, trust_dates))
+    files.delete(spark, scratch)
+    return merged
+
+
+def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSpec, trust_dates: bool = False) -> MergeResult:
+    """`merge_monthly` of a collapsed batch, within a transaction; the batch is read several times."""
     ts = spec.timestamp
-    incoming = collapse_batch(batch, spec, order)
     stored = T.StructType([*incoming.select(*spec.columns).schema, T.StructField(MONTH_COLUMN, T.StringType())])
-    months = None
-    if trust_dates:
-        months = _months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN)))
-    base = store.read(spark, path, months, stored)
+    months = _months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN))) if trust_dates else None
+    total = len(tx.parts(table))
+    base, opened = tx.lookup(incoming, spec.keys, table, months, stored)
     at = F.struct(F.col(ts).alias("at"), F.col(MONTH_COLUMN).alias("month"))
     known = base.select(*spec.keys, at.alias("_stored"))
     found, scratch = files.staged(incoming.join(known, spec.keys, "left"), "found")
 
     hits, fresh = found.filter("_stored IS NOT NULL"), found.filter("_stored IS NULL").select(*spec.columns)
-    rewritten = sorted(_months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN))))
-    changed = store.read(spark, path, rewritten, stored).drop(MONTH_COLUMN)
-    merged = updated_rows(changed, hits, spec).unionByName(fresh, allowMissingColumns=True)
+    rewritten = sorted(_months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN)))) if opened else []
+    changed = tx.read(table, rewritten, stored).drop(MONTH_COLUMN)
+    merged = updated_rows(changed, hits, spec).unionByName(fresh, allowMissingColumns=True) if rewritten else fresh
     # rows for a rewritten month come in with it, others are added to theirs
-    store.commit(merged, path, ts, rewritten)
+    tx.write(merged, month_of(ts), table, rewritten, keys=spec.keys)
 
     touched = hits.select(*spec.keys, F.col("_stored.at").alias(ts)).unionByName(fresh.select(*spec.keys, ts))
-    return MergeResult(touched, rewritten, [scratch])
+    return MergeResult(touched, rewritten, [scratch], opened, total)
 
 
 def refresh_daily_stats(
@@ -78,13 +96,21 @@ def refresh_daily_stats(
     ``touched`` must be stored rows (see `merge_monthly`).  Only commits in the
     touched months are read and only those months of the rollup are replaced.
     """
+    store.attempt(spark, rollup_path, lambda tx: update_daily(tx, "", _months_of(spark, commits_path), repos, touched))
+
+
+def update_daily(tx: store.Transaction, table: str, commits: Reader, repos: DataFrame, touched: DataFrame) -> None:
+    """`refresh_daily_stats` within a transaction."""
     keys = touched.select(F.to_date("committed_at").alias("commit_date"), "repo_id").distinct()
     months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("commit_date")))
     if months:
-        commits = store.read(spark, commits_path, months)
-        fresh = _touched_counts(rollups.commit_counts_by_day(commits), keys)
+        fresh = _touched_counts(rollups.commit_counts_by_day(commits(months)), keys)
         rows = rollups.with_owner(fresh, repos, "full_name", "primary_language")
-        _replace_keys(spark, rollup_path, rows, keys, months)
+        _replace_keys(tx, table, rows, keys, months)
+
+
+def _months_of(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Reader:
+    return lambda months: store.read(spark, path, months, schema)
 
 
 def refresh_renamed(spark: SparkSession, commits_path: str, rollup_path: str, repos: DataFrame) -> None:
@@ -123,12 +149,15 @@ def refresh_analysis_rollup(
         day, start, count = "analysis_date", analyzed, rollups.category_counts_by_day
     keys = touched.select(start.alias(day), "repo_id").distinct()
     months = _months_in(keys.withColumn(MONTH_COLUMN, month_of(day)))
-    if months:
+
+    def update(tx: store.Transaction) -> None:
         last = F.date_add(day, 6 if weekly else 0)
         sources = {*months, *_months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))}
         analyses = store.read(spark, analyses_path, sorted(sources))
-        rows = rollups.with_owner(_touched_counts(count(analyses), keys), repos)
-        _replace_keys(spark, rollup_path, rows, keys, months)
+        _replace_keys(tx, "", rollups.with_owner(_touched_counts(count(analyses), keys), repos), keys, months)
+
+    if months:
+        store.attempt(spark, rollup_path, update)
 
 
 def refresh_hourly(
@@ -139,19 +168,21 @@ def refresh_hourly(
     ``touched`` holds ``repo_id`` and ``at``, the time of a commit or of a pull
     request's creation.
     """
+    sources = [_months_of(spark, path, stored_schema(entity)) for path, entity in ((commits_path, "commits"), (prs_path, "pull_requests"))]
+    store.attempt(spark, rollup_path, lambda tx: update_hourly(tx, "", *sources, repos, touched))
+
+
+def update_hourly(tx: store.Transaction, table: str, commits: Reader, prs: Reader, repos: DataFrame, touched: DataFrame) -> None:
+    """`refresh_hourly` within a transaction."""
     days = touched.select(F.to_date("at").alias("activity_date"), "repo_id").distinct()
     owned = days.join(repos.select("repo_id", "user_id"), "repo_id")
     keys, scratch = files.staged(owned.select("activity_date", "user_id").distinct(), "hours")
     months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("activity_date")))
     if months:
         mine = repos.join(keys.select("user_id").distinct(), "user_id", "left_semi")
-        sources = [
-            store.read(spark, path, months, stored_schema(entity))
-            for path, entity in ((commits_path, "commits"), (prs_path, "pull_requests"))
-        ]
-        fresh = _touched_counts(rollups.hourly_activity(*sources, mine), keys)
-        _replace_keys(spark, rollup_path, fresh, keys, months)
-    files.delete(spark, scratch)
+        fresh = _touched_counts(rollups.hourly_activity(commits(months), prs(months), mine), keys)
+        _replace_keys(tx, table, fresh, keys, months)
+    files.delete(tx.spark, scratch)
 
 
 def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -164,9 +195,9 @@ def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
     return counts.join(keys, keys.columns, "left_semi")
 
 
-def _replace_keys(spark: SparkSession, path: str, fresh: DataFrame, keys: DataFrame, months: list[str]) -> None:
+def _replace_keys(tx: store.Transaction, table: str, fresh: DataFrame, keys: DataFrame, months: list[str]) -> None:
     """Replace the rows of the given keys in the given months of a rollup."""
-    if store.exists(spark, path):
-        stored = store.read(spark, path, months, fresh.schema).drop(MONTH_COLUMN)
+    stored = tx.read(table, months, fresh.schema).drop(MONTH_COLUMN)
+    if tx.parts(table, months):
         fresh = stored.join(keys, keys.columns, "left_anti").unionByName(fresh)
-    store.commit(fresh, path, keys.columns[0], months, sort_by=("user_id", keys.columns[0]))
+    tx.write(fresh, month_of(keys.columns[0]), table, months, sort_by=("user_id", keys.columns[0]))

@@ -1,13 +1,28 @@
-"""Tables stored by month whose content changes in one step.
+"""Tables stored in parts whose content changes in one step.
 
-Every write goes to a folder of its own; a small list then says which folders
-make up each month, and the commit marker of the newest list is the switch.  A
-run that dies before it leaves the table as it was; readers keep the files they
-started with.
+A store is a folder with one or more tables.  Every write goes to a folder of its own;
+a small numbered list then says which folders make up each part of each table, and
+creating the next list is the switch, for all tables at once.  A run that dies before
+it leaves everything as it was; readers keep the files they started with.
+
+Writers do not wait for each other.  A transaction notes which parts it read and
+replaced.  If another writer's list came first, it is taken as the new base, and the
+commit goes on unless the content of one of those parts has changed since: then it
+raises `Conflict` and nothing is stored.  `attempt` runs such a job anew.
+
+Beside the rows of a table with a key stand their 64-bit key hashes.  A batch is
+looked up in these 8 bytes a row, and only folders with a hit are opened.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import asdict, dataclass, replace
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,48 +32,242 @@ from devpulse.plans import files
 from devpulse.sources.tables import month_of
 
 _VERSION = "version-"
-_ENTRY = f"{MONTH_COLUMN} string, version string"
+#: folders of runs that ended without a commit are kept for so long, as they may still be at work
+ABANDONED_SECONDS = 86_400
+
+R = TypeVar("R")
+
+
+class Conflict(RuntimeError):
+    """Another writer changed what a transaction had read or replaced."""
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A folder of a part; no folder says that the part is empty."""
+
+    table: str
+    part: str
+    folder: str | None
+    #: the version that last changed the content of the part
+    since: int
+    #: the columns whose hashes stand beside the rows, comma-separated
+    keys: str = ""
+
+
+def _number(version: str) -> int:
+    return int(version.removeprefix(_VERSION).partition("-")[0])
+
+
+def _named(spark: SparkSession, folder: str) -> list[str]:
+    return [n for n in files.child_names(spark, folder) if n.startswith(_VERSION)]
+
+
+def _entries(spark: SparkSession, root: str, version: str) -> list[Entry]:
+    """A few for each part of the tables' history."""
+    return [Entry(**json.loads(line)) for line in files.read_text(spark, f"{root}/lists/{version}").splitlines()]
+
+
+def _newest(spark: SparkSession, root: str) -> tuple[int, list[Entry], int]:
+    """The newest version, its entries, and the next free number, all from one look at the folder.
+
+    Whoever takes that number has seen every list before it.
+    """
+    versions = _named(spark, f"{root}/lists")
+    free = 1 + max(map(_number, versions), default=0)
+    for version in reversed(versions):
+        if files.is_file(spark, f"{root}/lists/{version}"):  # a list is complete once it has its name
+            return _number(version), _entries(spark, root, version), free
+    return 0, [], free
+
+
+def key_hash(keys: Iterable[str]) -> Column:
+    return F.xxhash64(*keys)
+
 
+class Transaction:
+    """Reads of one version and writes that become visible together."""
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    """Complete lists, oldest first."""
-    names = files.child_names(spark, f"{root}/lists")
-    return [v for v in names if v.startswith(_VERSION) and files.exists(spark, f"{root}/lists/{v}/_SUCCESS")]
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.base, self.entries, _ = _newest(spark, root)
+        self._seen: set[tuple[str, str | None]] = set()  # no part: all of them
+        self._replaced: set[tuple[str, str]] = set()
+        self._same: set[tuple[str, str]] = set()
+        self._written: list[Entry] = []
 
+    # --- reading --------------------------------------------------------------
 
-def _entries(spark: SparkSession, root: str, version: str | None = None) -> list[tuple[str, str]]:
-    """(month, version) of the folders in use: a few for each month of the table's history."""
-    versions = _versions(spark, root)
-    if not versions:
-        return []
-    return sorted(tuple(r) for r in spark.read.schema(_ENTRY).json(f"{root}/lists/{version or versions[-1]}").collect())
+    def parts(self, table: str = "", values: Iterable[str] | None = None, column: str = MONTH_COLUMN) -> list[Entry]:
+        """The folders of the given parts, of all if None."""
+        wanted = None if values is None else {f"{column}={v}" for v in values}
+        return [e for e in self.entries if e.table == table and e.folder and (wanted is None or e.part in wanted)]
+
+    def has(self, table: str = "") -> bool:
+        return any(e.table == table for e in self.entries)
+
+    def read(
+        self, table: str = "", values: Iterable[str] | None = None, schema: T.StructType | None = None, column: str = MONTH_COLUMN
+    ) -> DataFrame:
+        """The table, or some parts of it, with its part column; ``schema`` is needed while it holds no row.
+
+        Rows written by this transaction are included.
+        """
+        values = None if values is None else list(values)
+        self.note(table, values, column)
+        return self._open(table, self.parts(table, values, column), schema, column)
+
+    def note(self, table: str = "", values: Iterable[str] | None = None, column: str = MONTH_COLUMN) -> None:
+        """The commit must not go on if the given parts change meanwhile."""
+        self._seen |= {(table, None)} if values is None else {(table, f"{column}={v}") for v in values}
+
+    def _open(self, table: str, entries: list[Entry], schema: T.StructType | None, column: str) -> DataFrame:
+        if not entries:
+            if schema is None:
+                known = self.parts(table)
+                if not known:
+                    raise FileNotFoundError(f"no table was ever written under {self.root}")
+                schema = self.spark.read.parquet(self._path(known[-1])).schema
+            names = [c for c in schema.fieldNames() if c != column]
+            return self.spark.createDataFrame([], schema).select(*names, F.lit(None).cast("string").alias(column))
+        # each folder names its part, so one read of all folders needs no common parent
+        found = self.spark.read.option("recursiveFileLookup", "true").parquet(*[self._path(e) for e in entries])
+        return found.withColumn(column, F.regexp_extract(F.col("_metadata.file_path"), f"/{column}=([^/]+)/", 1))
+
+    def _path(self, entry: Entry, kind: str = "data") -> str:
+        return f"{self.root}/{kind}/{entry.folder}/{entry.part}"
+
+    def lookup(
+        self,
+        batch: DataFrame,
+        keys: list[str],
+        table: str = "",
+        values: Iterable[str] | None = None,
+        schema: T.StructType | None = None,
+        column: str = MONTH_COLUMN,
+    ) -> tuple[DataFrame, int]:
+        """The rows of the folders that can hold a key of the batch, and how many folders these are.
+
+        Folders without hashes are always among them.  The commit must not go on if any of
+        the parts looked through changes meanwhile, as it could then hold such a key.
+        """
+        self.note(table, values, column)
+        entries = self.parts(table, values, column)
+        hashed = [e for e in entries if e.keys == ",".join(keys)]
+        opened = [e for e in entries if e not in hashed]
+        if hashed:
+            known = self.spark.read.schema("h long").option("recursiveFileLookup", "true").parquet(*[self._path(e, "keys") for e in hashed])
+            at = F.regexp_extract(F.col("_metadata.file_path"), f"/keys/([^/]+/{column}=[^/]+)/", 1)
+            asked = batch.select(key_hash(keys).alias("h"))
+            hits = {r[0] for r in known.select("h", at.alias("at")).join(asked, "h", "left_semi").select("at").distinct().collect()}
+            opened += [e for e in hashed if f"{e.folder}/{e.part}" in hits]
+        return self._open(table, opened, schema, column), len(opened)
+
+    # --- writing --------------------------------------------------------------
+
+    def write(
+        self,
+        df: DataFrame,
+        part: Column,
+        table: str = "",
+        replaced: Iterable[str] | None = (),
+        sort_by: tuple[str, ...] = ("repo_id",),
+        keys: list[str] | None = None,
+        column: str = MONTH_COLUMN,
+        same: bool = False,
+    ) -> None:
+        """Write rows to their parts.
+
+        The parts in ``replaced`` hold nothing else afterwards (all parts if None); to
+        others the rows are added.  ``same`` says that replaced parts get the rows they had.
+        The rebalance hint lets AQE split a heavy part over many tasks and merge light ones.
+        """
+        folder = f"{_VERSION}{self.base + 1:08d}-{uuid.uuid4().hex[:12]}"
+        data = f"{self.root}/data/{folder}"
+        (
+            df.withColumn(column, part)
+            .hint("rebalance", column)
+            .sortWithinPartitions(column, *sort_by)
+            .write.partitionBy(column)
+            .parquet(data)
+        )
+        fresh = [Entry(table, n, folder, 0, ",".join(keys or [])) for n in files.child_names(self.spark, data) if n.startswith(f"{column}=")]
+        if not fresh:
+            files.delete(self.spark, data)
+        if keys and fresh:
+            rows = self._open(table, fresh, None, column).select(key_hash(keys).alias("h"), column)
+            hashes = rows.hint("rebalance", column).sortWithinPartitions(column, "h")
+            hashes.write.partitionBy(column).parquet(f"{self.root}/keys/{folder}")
+        if replaced is None:
+            self.note(table)
+            gone = {(table, e.part) for e in self.entries if e.table == table}
+        else:
+            gone = {(table, f"{column}={v}") for v in replaced}
+            self._seen |= gone
+        self._replaced |= gone
+        if same:
+            self._same |= gone
+        self._written = [e for e in self._written if (e.table, e.part) not in gone] + fresh
+        self.entries = [e for e in self.entries if (e.table, e.part) not in gone] + fresh
+
+    def _changed(self, newest: list[Entry]) -> list[str]:
+        return sorted(
+            {
+                f"{e.table}/{e.part}".lstrip("/")
+                for e in newest
+                if e.since > self.base and ((e.table, None) in self._seen or (e.table, e.part) in self._seen)
+            }
+        )
+
+    def commit(self) -> int:
+        """Make all writes visible; returns the version.  Raises `Conflict`, after removing what was written."""
+        while True:
+            number, newest, mine = _newest(self.spark, self.root)
+            if number > self.base and (changed := self._changed(newest)):
+                self.abort()
+                raise Conflict(f"changed meanwhile: {', '.join(changed)}")
+            before = {}
+            for e in newest:
+                before[e.table, e.part] = max(e.since, before.get((e.table, e.part), 0))
+            fresh = [replace(e, since=before.get(k, mine) if (k := (e.table, e.part)) in self._same else mine) for e in self._written]
+            held = {(e.table, e.part) for e in fresh}
+            emptied = [Entry(t, p, None, mine) for t, p in sorted(self._replaced - held) if (t, p) in before]
+            stay = [e for e in newest if (e.table, e.part) not in self._replaced and (e.folder or (e.table, e.part) not in held)]
+            lines = [json.dumps(asdict(e)) for e in [*stay, *emptied, *fresh]]
+            if files.write_new(self.spark, f"{self.root}/lists/{_VERSION}{mine:08d}", "\n".join(lines)):
+                return mine
+
+    def abort(self) -> None:
+        for folder in {e.folder for e in self._written}:
+            for kind in ("data", "keys"):
+                files.delete(self.spark, f"{self.root}/{kind}/{folder}")
+
+
+def attempt(spark: SparkSession, root: str, work: Callable[[Transaction], R], tries: int = 3) -> R:
+    """Run a job in a transaction and commit it; start anew if another writer was faster."""
+    while True:
+        tx, tries = Transaction(spark, root), tries - 1
+        result = work(tx)
+        try:
+            tx.commit()
+            return result
+        except Conflict:
+            if tries <= 0:
+                raise
+
+
+# --- stores of one table by month ---------------------------------------------
 
 
 def exists(spark: SparkSession, root: str) -> bool:
-    return bool(_versions(spark, root))
+    return _newest(spark, root)[0] > 0
 
 
-def read(spark: SparkSession, root: str, months: list[str] | None = None, schema: T.StructType | None = None) -> DataFrame:
+def read(
+    spark: SparkSession, root: str, months: list[str] | None = None, schema: T.StructType | None = None, table: str = "", column: str = MONTH_COLUMN
+) -> DataFrame:
     """The table, or some months of it, with its month column; ``schema`` is needed while it holds no row."""
-    kept = [(m, v) for m, v in _entries(spark, root) if months is None or m in months]
-    if not kept:
-        if schema is None:
-            schema = _any_schema(spark, root)
-        names = [c for c in schema.fieldNames() if c != MONTH_COLUMN]
-        return spark.createDataFrame([], schema).select(*names, F.lit(None).cast("string").alias(MONTH_COLUMN))
-    paths = [f"{root}/data/{v}/{MONTH_COLUMN}={m}" for m, v in kept]
-    # each folder names its month, so one read of all folders needs no common parent
-    found = spark.read.option("recursiveFileLookup", "true").parquet(*paths)
-    month = F.regexp_extract(F.col("_metadata.file_path"), f"{MONTH_COLUMN}=([0-9-]+)", 1)
-    return found.withColumn(MONTH_COLUMN, month)
-
-
-def _any_schema(spark: SparkSession, root: str) -> T.StructType:
-    entries = _entries(spark, root)
-    if not entries:
-        raise FileNotFoundError(f"no table was ever written under {root}")
-    month, version = entries[-1]
-    return spark.read.parquet(f"{root}/data/{version}/{MONTH_COLUMN}={month}").schema
+    return Transaction(spark, root).read(table, months, schema, column)
 
 
 def commit(
@@ -67,55 +276,57 @@ def commit(
     ts: str | Column,
     replaced: list[str] | None = (),
     sort_by: tuple[str, ...] = ("repo_id",),
+    keys: list[str] | None = None,
 ) -> None:
     """Write rows, by the month of ``ts``, and switch to the table that holds them.
 
     The months in ``replaced`` hold nothing else afterwards (all months if None);
-    to others the rows are added.  The rebalance hint lets AQE split a heavy
-    month over many tasks and merge light ones.
+    to others the rows are added.  A `Conflict` is raised if a replaced month changes
+    while the rows are written.
+    """
+    tx = Transaction(df.sparkSession, root)
+    tx.write(df, month_of(ts), "", replaced, sort_by, keys)
+    tx.commit()
+
+
+def compact(spark: SparkSession, root: str, ts: str, most: int, sort_by: tuple[str, ...] = ("repo_id",), table: str = "") -> list[str]:
+    """Rewrite the months that consist of more than ``most`` folders; returns them.
+
+    The rows stay the same, so this disturbs no other writer; if one changes such a month
+    first, nothing is rewritten and the months are left for the next run.
     """
-    spark = df.sparkSession
-    taken = [*files.child_names(spark, f"{root}/data"), *files.child_names(spark, f"{root}/lists")]
-    version = f"{_VERSION}{1 + max([0, *(int(v.removeprefix(_VERSION)) for v in taken if v.startswith(_VERSION))]):08d}"
-    data = f"{root}/data/{version}"
-    (
-        df.withColumn(MONTH_COLUMN, month_of(ts))
-        .hint("rebalance", MONTH_COLUMN)
-        .sortWithinPartitions(MONTH_COLUMN, *sort_by)
-        .write.partitionBy(MONTH_COLUMN)
-        .parquet(data)
-    )
-    heads = f"{MONTH_COLUMN}="
-    fresh = [(n.removeprefix(heads), version) for n in files.child_names(spark, data) if n.startswith(heads)]
-    stay = [] if replaced is None else [(m, v) for m, v in _entries(spark, root) if m not in replaced]
-    spark.createDataFrame([*stay, *fresh], _ENTRY).coalesce(1).write.json(f"{root}/lists/{version}")
-
-
-def compact(spark: SparkSession, root: str, ts: str, most: int, sort_by: tuple[str, ...] = ("repo_id",)) -> list[str]:
-    """Rewrite the months that consist of more than ``most`` folders; returns them."""
-    pieces: dict[str, int] = {}
-    for month, _ in _entries(spark, root):
-        pieces[month] = pieces.get(month, 0) + 1
-    months = sorted(m for m, n in pieces.items() if n > most)
+    tx = Transaction(spark, root)
+    pieces: dict[str, list[Entry]] = {}
+    for e in tx.parts(table):
+        pieces.setdefault(e.part, []).append(e)
+    months = sorted(p.partition("=")[2] for p, found in pieces.items() if len(found) > most)
     if months:
-        commit(read(spark, root, months).drop(MONTH_COLUMN), root, ts, months, sort_by)
+        keys = {e.keys for e in tx.parts(table, months)}
+        hashed = keys.pop().split(",") if len(keys) == 1 and keys != {""} else None
+        tx.write(tx.read(table, months).drop(MONTH_COLUMN), month_of(ts), table, months, sort_by, hashed, same=True)
+        try:
+            tx.commit()
+        except Conflict:
+            return []
     return months
 
 
-def expire(spark: SparkSession, root: str, keep: int) -> None:
-    """Remove what only versions older than the ``keep`` newest use.
+def expire(spark: SparkSession, root: str, keep: int, abandoned_seconds: int = ABANDONED_SECONDS) -> None:
+    """Remove what only versions older than the ``keep`` newest use, and folders that runs without a commit left long ago.
 
     The caller knows which versions are still being read; nothing else removes any.
     """
-    versions = _versions(spark, root)
+    versions = [v for v in _named(spark, f"{root}/lists") if files.is_file(spark, f"{root}/lists/{v}")]
     kept, old = versions[-max(1, keep) :], versions[: -max(1, keep)]
-    used = {(m, v) for version in kept for m, v in _entries(spark, root, version)}
+    used = {(e.folder, e.part) for v in kept for e in _entries(spark, root, v)}
+    unused = {(e.folder, e.part) for v in old for e in _entries(spark, root, v) if e.folder} - used
     for version in old:
         files.delete(spark, f"{root}/lists/{version}")
-    heads = f"{MONTH_COLUMN}="
-    for version in files.child_names(spark, f"{root}/data"):
-        if version > kept[-1]:
-            continue  # being written
-        for name in files.child_names(spark, f"{root}/data/{version}"):
-            if name.startswith(heads) and (name.removeprefix(heads), version) not in used:
-                files.delete(spark, f"{root}/data/{version}/{name}")
+    in_use = {folder for folder, _ in used}
+    for kind in ("data", "keys"):
+        for folder, part in unused:
+            files.delete(spark, f"{root}/{kind}/{folder}/{part}")
+        for folder in set(_named(spark, f"{root}/{kind}")) - in_use:
+            path = f"{root}/{kind}/{folder}"
+            if folder in {f for f, _ in unused} or files.modified(spark, path) < time.time() - abandoned_seconds:
+                files.delete(spark, path)
