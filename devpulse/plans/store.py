@@ -156,11 +156,13 @@ class Transaction:
         hashed = [e for e in entries if e.keys == ",".join(keys)]
         opened = [e for e in entries if e not in hashed]
         if hashed:
-            known = self.spark.read.schema("h long").option("recursiveFileLookup", "true").parquet(*[self._path(e, "keys") for e in hashed])
-            at = F.regexp_extract(F.col("_metadata.file_path"), f"/keys/([^/]+/{column}=[^/]+)/", 1)
+            folders = sorted({f"{self.root}/keys/{e.folder}" for e in hashed})
+            known = self.spark.read.schema("h long, part string").option("recursiveFileLookup", "true").parquet(*folders)
+            folder = F.regexp_extract(F.col("_metadata.file_path"), "/keys/([^/]+)/", 1)
             asked = batch.select(key_hash(keys).alias("h"))
-            hits = {r[0] for r in known.select("h", at.alias("at")).join(asked, "h", "left_semi").select("at").distinct().collect()}
-            opened += [e for e in hashed if f"{e.folder}/{e.part}" in hits]
+            met = known.select("h", folder.alias("folder"), "part").join(asked, "h", "left_semi")
+            hits = {tuple(r) for r in met.select("folder", "part").distinct().collect()}
+            opened += [e for e in hashed if (e.folder, e.part) in hits]
         return self._open(table, opened, schema, column), len(opened)
 
     # --- writing --------------------------------------------------------------
@@ -195,9 +197,10 @@ class Transaction:
         if not fresh:
             files.delete(self.spark, data)
         if keys and fresh:
-            rows = self._open(table, fresh, None, column).select(key_hash(keys).alias("h"), column)
-            hashes = rows.hint("rebalance", column).sortWithinPartitions(column, "h")
-            hashes.write.partitionBy(column).parquet(f"{self.root}/keys/{folder}")
+            # in few files: what is later replaced of a folder stays in its hashes and is passed over
+            part_name = F.concat(F.lit(f"{column}="), F.col(column)).alias("part")
+            rows = self._open(table, fresh, None, column).select(key_hash(keys).alias("h"), part_name)
+            rows.hint("rebalance").write.parquet(f"{self.root}/keys/{folder}")
         if replaced is None:
             self.note(table)
             gone = {(table, e.part) for e in self.entries if e.table == table}
@@ -323,9 +326,9 @@ def expire(spark: SparkSession, root: str, keep: int, abandoned_seconds: int = A
     for version in old:
         files.delete(spark, f"{root}/lists/{version}")
     in_use = {folder for folder, _ in used}
+    for folder, part in unused:
+        files.delete(spark, f"{root}/data/{folder}/{part}")
     for kind in ("data", "keys"):
-        for folder, part in unused:
-            files.delete(spark, f"{root}/{kind}/{folder}/{part}")
         for folder in set(_named(spark, f"{root}/{kind}")) - in_use:
             path = f"{root}/{kind}/{folder}"
             if folder in {f for f, _ in unused} or files.modified(spark, path) < time.time() - abandoned_seconds:
