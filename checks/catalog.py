@@ -18,7 +18,7 @@ from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_dif
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import preset_start
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
-from devpulse.plans import enrichment, files, incremental, refresh, store
+from devpulse.plans import enrichment, files, incremental, refresh, store, sync
 from devpulse.schemas import (
     CATEGORY_COLORS,
     DEFAULT_COLOR,
@@ -1504,6 +1504,195 @@ def _(t):
     return store.read(t.spark, f"{root}/daily").select("commit_date", "repo_id", "user_id", "commit_count", "total_additions")
 
 
+@query(
+    "store_two_writers",
+    """SELECT strftime(committed_at, '%Y-%m') AS year_month, count(*) AS commits, CAST(sum(additions) AS BIGINT) AS additions, 'changed meanwhile' AS loser
+       FROM commits GROUP BY 1""",
+)
+def _(t):
+    """Two writers at once, then one that replaces months to which another adds first."""
+    root = scratch_dir(t.spark, "writers")
+    month, rows = tables.month_of("committed_at"), t.commits()
+    slow = store.Transaction(t.spark, root)
+    slow.write(rows.filter("commit_id % 4 = 0"), month)
+    store.commit(rows.filter("commit_id % 4 = 1"), root, "committed_at")  # from start to end while the other is at work
+    slow.commit()
+    late = store.Transaction(t.spark, root)
+    late.write(late.read().drop("year_month").withColumn("additions", F.lit(0).cast("long")), month, replaced=None)
+    store.commit(rows.filter("commit_id % 4 > 1"), root, "committed_at")
+    try:
+        late.commit()
+        loser = "stored"
+    except store.Conflict as conflict:
+        loser = str(conflict).partition(":")[0]
+    stored = store.read(t.spark, root)
+    sums = stored.groupBy("year_month").agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"))
+    return sums.withColumn("loser", F.lit(loser))
+
+
+@query(
+    "merge_key_lookup",
+    """SELECT strftime(committed_at, '%Y-%m') AS year_month, count(*) AS commits,
+              CAST(sum(CASE WHEN commit_id % 100 IN (7, 8) THEN additions + 1 ELSE additions END) AS BIGINT) AS additions,
+              TRUE AS few_opened_for_new_keys, TRUE AS all_opened_for_known_keys
+       FROM commits GROUP BY 1""",
+)
+def _(t):
+    """New keys open hardly a folder; keys that are stored everywhere open those that hold them."""
+    root = scratch_dir(t.spark, "lookup")
+    rows = t.commits().withColumns({"raw_data": F.lit("r"), "seq": F.lit(0)})
+    more = rows.withColumn("additions", F.col("additions") + 1)
+    opened = []
+    for batch in (rows.filter("commit_id % 100 <> 7"), more.filter("commit_id % 100 = 7"), more.filter("commit_id % 100 IN (7, 8)")):
+        merged = incremental.merge_monthly(t.spark, f"{root}/commits", batch, upsert.COMMITS)
+        merged.release()
+        opened.append((merged.opened_folders, merged.stored_folders, len(merged.rewritten_months)))
+    stored = store.read(t.spark, f"{root}/commits")
+    sums = stored.groupBy("year_month").agg(F.count(F.lit(1)).alias("commits"), F.sum("additions").alias("additions"))
+    return sums.withColumns(
+        {
+            "few_opened_for_new_keys": F.lit(opened[1][0] * 10 <= opened[1][1]),
+            "all_opened_for_known_keys": F.lit(opened[2][2] <= opened[2][0] <= opened[2][1]),
+        }
+    )
+
+
+_SYNCED = datetime(2001, 8, 1)
+_SYNC_ERROR = "CASE WHEN repo_id % 38 = 4 THEN 'unexpected_error' WHEN repo_id % 19 = 4 THEN 'api_error' END"
+
+
+@query(
+    "sync_job",
+    f"""WITH able AS (SELECT user_id, github_login FROM users WHERE has_token AND user_id IN (SELECT user_id FROM repositories WHERE is_active)),
+        registered AS (SELECT github_repo_id, CAST(u AS BIGINT) AS user_id, primary_language FROM ({_LISTED}) l
+                       WHERE NOT is_fork AND u IN (SELECT user_id FROM able) AND github_repo_id NOT IN (SELECT github_repo_id FROM repositories)
+                       QUALIFY row_number() OVER (PARTITION BY github_repo_id ORDER BY seq, u) = 1),
+        targets AS (SELECT r.*, {_SYNC_ERROR} AS error_type FROM repositories r WHERE is_active AND user_id IN (SELECT user_id FROM able)),
+        taken AS (SELECT * FROM targets WHERE error_type IS NULL),
+        mine AS (SELECT user_id, o_custkey AS repo_id, CAST(floor(o_totalprice) AS BIGINT) AS additions FROM orders JOIN taken ON repo_id = o_custkey
+                 WHERE o_orderkey % 50 <> 1 AND o_orderkey % 7 <> 0 AND (last_synced_at IS NULL OR o_orderdate >= last_synced_at)),
+        pulls AS (SELECT user_id FROM orders JOIN taken ON repo_id = o_custkey
+                  WHERE o_orderkey % 40 <> 0 AND o_orderkey % 60 <> 7 AND (last_synced_at IS NULL OR o_orderdate >= last_synced_at)),
+        languages AS (SELECT repo_id, {_PRIMARY} AS main FROM ({_LANGUAGES})),
+        known AS (SELECT r.user_id, t.repo_id IS NOT NULL AS synced, CASE WHEN t.repo_id IS NOT NULL THEN main ELSE r.primary_language END AS language
+                  FROM repositories r LEFT JOIN taken t USING (repo_id) LEFT JOIN languages l USING (repo_id)
+                  UNION ALL SELECT user_id, TRUE, primary_language FROM registered),
+        failed AS (SELECT user_id, max_by(error_type, repo_id) AS error_type, max_by(full_name, repo_id) AS error_repo FROM targets WHERE error_type IS NOT NULL GROUP BY 1)
+        SELECT u.user_id, CASE WHEN a.user_id IS NOT NULL THEN 'completed' END AS status,
+               CASE WHEN a.user_id IS NOT NULL THEN (SELECT count(*) FROM mine m WHERE m.user_id = u.user_id) END AS items_fetched,
+               f.error_type, f.error_repo,
+               (SELECT count(*) FROM known k WHERE k.user_id = u.user_id) AS repos,
+               (SELECT count(*) FROM known k WHERE k.user_id = u.user_id AND synced) AS repos_synced,
+               (SELECT count(*) FROM known k WHERE k.user_id = u.user_id AND language = 'Python') AS python_repos,
+               (SELECT count(*) FROM mine m WHERE m.user_id = u.user_id) AS daily_commits,
+               CAST((SELECT coalesce(sum(additions), 0) FROM mine m WHERE m.user_id = u.user_id) AS BIGINT) AS daily_additions,
+               (SELECT count(*) FROM mine m WHERE m.user_id = u.user_id) AS hourly_commits,
+               (SELECT count(*) FROM pulls p WHERE p.user_id = u.user_id) AS hourly_prs,
+               TRUE AS second_run_stored_the_same
+        FROM users u LEFT JOIN able a ON a.user_id = u.user_id LEFT JOIN failed f ON f.user_id = u.user_id""",
+)
+def _(t):
+    """One run over everything landed, and the same run again."""
+    root = scratch_dir(t.spark, "sync")
+    repos, users = t.repositories(), t.users()
+    login = repos.join(users, "user_id").select("repo_id", "github_login")
+    written = payloads.typed_payload(t.commit_payloads(), payloads.COMMIT_PAYLOAD).join(login, "repo_id")
+    author = F.struct(F.when(F.col("seq") % 7 != 0, F.col("github_login")).otherwise("someone").alias("login"))
+    error = F.when(F.col("repo_id") % 38 == 4, "unexpected_error").when(F.col("repo_id") % 19 == 4, "api_error")
+    languages, _ = files.staged(t.language_payloads(), "languages")  # landed, as otherwise its computation is also tried on ids of the other side
+    landed = sync.Landed(
+        t.repository_payloads(),
+        written.select("repo_id", "seq", F.col("payload").withField("author", author).alias("payload")),
+        t.pull_request_payloads(),
+        languages,
+        repos.select("repo_id", error.alias("error_type"), F.lit("m").alias("message")).filter("error_type IS NOT NULL"),
+    )
+    sync.create(t.spark, f"{root}/store", repos)
+    states = []
+    for _ in range(2):
+        done = sync.run_sync(t.spark, f"{root}/store", users, landed, sync.Run(_SYNCED, months=ORDER_MONTHS), f"{root}/rejects")
+        states.append(_sync_state(t, f"{root}/store", done))
+    before, path = files.staged(states[0], "first_run")
+    same = before.exceptAll(states[1]).isEmpty() and states[1].exceptAll(before).isEmpty()
+    files.delete(t.spark, path)
+    return states[1].withColumn("second_run_stored_the_same", F.lit(same))
+
+
+def _sync_state(t: TestTables, root: str, done: DataFrame) -> DataFrame:
+    """A row for each user of what the store holds; read at once, as the next run changes it."""
+
+    def stored(table: str) -> DataFrame:
+        return store.read(t.spark, root, None, tables.stored_schema(table) if table == "sync_jobs" else None, table)
+
+    repos = sync.repositories(t.spark, root)
+    known = repos.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("repos"),
+        F.count_if(F.col("last_synced_at") == F.lit(_SYNCED).cast("timestamp")).alias("repos_synced"),
+        F.count_if(F.col("primary_language") == "Python").alias("python_repos"),
+    )
+    daily = stored(sync.DAILY).groupBy("user_id").agg(F.sum("commit_count").alias("daily_commits"), F.sum("total_additions").alias("daily_additions"))
+    hourly = stored(sync.HOURLY).groupBy("user_id").agg(F.sum("commit_count").alias("hourly_commits"), F.sum("pr_count").alias("hourly_prs"))
+    job = done.select(
+        "user_id",
+        "status",
+        F.col("items_fetched").cast("long").alias("items_fetched"),
+        F.col("error_detail.type").alias("error_type"),
+        F.col("error_detail.repo_full_name").alias("error_repo"),
+    )
+    out = t.users().select("user_id")
+    for part in (job, known, daily, hourly):
+        out = out.join(part, "user_id", "left")
+    counts = ["repos", "repos_synced", "python_repos", "daily_commits", "daily_additions", "hourly_commits", "hourly_prs"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in counts})
+
+
+@query(
+    "stream_undecided",
+    """SELECT 'stored' AS kind, count(*) AS records FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderkey % 30 <> 2
+       UNION ALL SELECT 'undecided', 2 * count(*) FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderkey % 30 = 2""",
+)
+def _(t):
+    """Of some commits two different records stand at one position; they are kept apart and the others come in."""
+    root = scratch_dir(t.spark, "undecided")
+    typed = payloads.typed_payload(t.commit_payloads(), payloads.COMMIT_PAYLOAD)
+    changed = F.col("payload").withField("stats", F.create_map(F.lit("additions"), F.lit(-1)))
+    several = F.when(F.col("seq") % 30 == 2, F.array("payload", changed)).otherwise(F.array("payload"))
+    typed.select("repo_id", "seq", F.explode(several).alias("payload")).write.json(f"{root}/landing")
+    ingest.ingest_commits(
+        t.spark, f"{root}/landing", f"{root}/commits", f"{root}/daily", t.repositories(), f"{root}/checkpoint",
+        months=ORDER_MONTHS, quarantine=f"{root}/quarantine",
+    ).awaitTermination()
+    found = {"stored": store.read(t.spark, f"{root}/commits"), "undecided": t.spark.read.parquet(f"{root}/quarantine/undecided")}
+    counts = [df.agg(F.count(F.lit(1)).alias("records")).select(F.lit(kind).alias("kind"), "records") for kind, df in found.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query(
+    "stream_ingest_hours",
+    f"""SELECT user_id, CAST(moment AS DATE) AS activity_date, CAST(hour(moment) AS INTEGER) AS hour_of_day,
+               CAST(sum(c) AS BIGINT) AS commit_count, CAST(sum(p) AS BIGINT) AS pr_count, CAST(sum(a) AS BIGINT) AS additions
+        FROM (SELECT repo_id, committed_at AS moment, 1 AS c, 0 AS p, additions AS a FROM ({_PARSED_COMMITS})
+              UNION ALL SELECT o_custkey, o_orderdate, 0, 1, 0 FROM orders WHERE o_orderkey % 40 <> 0 AND o_orderkey % 60 <> 7)
+        JOIN repositories USING (repo_id) GROUP BY 1, 2, 3""",
+)
+def _(t):
+    """Commits and pull requests stream in, and the hourly rollup follows both."""
+    root, repos = scratch_dir(t.spark, "hours"), t.repositories()
+    payloads.typed_payload(t.commit_payloads(), payloads.COMMIT_PAYLOAD).write.json(f"{root}/landing/commits")
+    payloads.typed_payload(t.pull_request_payloads(), payloads.PULL_REQUEST_PAYLOAD).write.json(f"{root}/landing/prs")
+    commits, prs, hourly = (f"{root}/{n}" for n in ("commits", "prs", "hourly"))
+    ingest.ingest_pull_requests(
+        t.spark, f"{root}/landing/prs", prs, f"{root}/checkpoint/prs", months=ORDER_MONTHS, quarantine=f"{root}/quarantine/prs",
+        repos=repos, commits_path=commits, hourly_path=hourly,
+    ).awaitTermination()
+    ingest.ingest_commits(
+        t.spark, f"{root}/landing/commits", commits, f"{root}/daily", repos, f"{root}/checkpoint/commits", months=ORDER_MONTHS,
+        quarantine=f"{root}/quarantine/commits", prs_path=prs, hourly_path=hourly,
+    ).awaitTermination()
+    rows = store.read(t.spark, hourly).withColumn("hour_of_day", F.col("hour_of_day").cast("int"))
+    return rows.select("user_id", "activity_date", "hour_of_day", "commit_count", "pr_count", "additions")
+
+
 @query(
     "stream_ingest",
     f"""SELECT CAST(committed_at AS DATE) AS commit_date, repo_id, user_id, count(*) AS commit_count,

@@ -4,7 +4,7 @@ Within a batch the first occurrence of a key supplies the insert-only fields and
 the last one the updated fields.  That is two ordered aggregates, combined on
 the map side, so any number of copies of one key costs one row per map task.
 Which record came first must be certain: different records of one key at the
-same position end the job.
+same position end the job, or are set aside by a job that keeps such records.
 """
 
 from __future__ import annotations
@@ -46,35 +46,53 @@ PULL_REQUESTS = UpsertSpec(
 )
 
 
-def collapse_batch(batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
-    """One row per key with its ``processed`` record count.
+def collapse_marked(batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
+    """One row per key with its ``processed`` record count, and whether it is ``undecided``.
 
-    ``order`` is the arrival position, of any type that can be compared.  Equal
-    records may share one; different ones that do, where it decides which record
-    counts, raise an error, and so does a missing position of a repeated key.
+    ``order`` is the arrival position, of any type that can be compared.  Equal records may
+    share one.  A key is undecided if different records do where it decides which of them
+    counts, or if it is repeated and a position is missing.
     """
-    content = F.xxhash64(F.to_json(F.struct(*spec.kept, *spec.updated)))
+    records = batch.select(
+        *spec.keys,
+        F.col(order).alias("_at"),
+        F.struct(*spec.kept).alias("_kept"),
+        F.struct(*spec.updated).alias("_updated"),
+        F.xxhash64(F.to_json(F.struct(*spec.kept, *spec.updated))).alias("_content"),
+    )
 
     def tied(extreme: Callable[[Column], Column]) -> Column:
         # of the records at the extreme position, the smallest and the largest hash
-        one = extreme(F.struct(F.col(order).alias("at"), content.alias("of")))
-        other = extreme(F.struct(F.col(order).alias("at"), F.bitwise_not(content).alias("of")))
+        one = extreme(F.struct("_at", F.col("_content").alias("of")))
+        other = extreme(F.struct("_at", F.bitwise_not("_content").alias("of")))
         return one["of"] != F.bitwise_not(other["of"])
 
     several = F.count(F.lit(1)) > 1
-    unknown = several & (F.count(order) < F.count(F.lit(1)))
+    unknown = several & (F.count("_at") < F.count(F.lit(1)))
     unsure = unknown | (several & (tied(F.min) | tied(F.max)))
-    first = F.coalesce(F.min_by(F.struct(*spec.kept), order), F.first(F.struct(*spec.kept)))
-    last = F.coalesce(F.max_by(F.struct(*spec.updated), order), F.first(F.struct(*spec.updated)))
-    error = F.raise_error(F.lit(f"records of one key ({', '.join(spec.keys)}) share the position `{order}`"))
+    first = F.coalesce(F.min_by("_kept", "_at"), F.first("_kept"))
+    last = F.coalesce(F.max_by("_updated", "_at"), F.first("_updated"))
     return (
-        batch.groupBy(*spec.keys)
-        .agg(first.alias("_first"), last.alias("_last"), F.count(F.lit(1)).alias("processed"), unsure.alias("_unsure"))
-        .withColumn("_last", F.when(F.col("_unsure"), error).otherwise(F.col("_last")))
-        .select(*spec.keys, "_first.*", "_last.*", "processed")
+        records.groupBy(*spec.keys)
+        .agg(first.alias("_first"), last.alias("_last"), F.count(F.lit(1)).alias("processed"), unsure.alias("undecided"))
+        .select(*spec.keys, "_first.*", "_last.*", "processed", "undecided")
     )
 
 
+def collapse_batch(batch: DataFrame, spec: UpsertSpec, order: str = "seq") -> DataFrame:
+    """`collapse_marked` in which an undecided key is an error."""
+    error = F.raise_error(F.lit(f"records of one key ({', '.join(spec.keys)}) share the position `{order}`"))
+    marked = collapse_marked(batch, spec, order)
+    at = spec.updated[-1]
+    checked = F.when(F.col("undecided"), error).otherwise(F.col(at))
+    return marked.withColumn(at, checked).drop("undecided")
+
+
+def undecided_records(batch: DataFrame, marked: DataFrame, spec: UpsertSpec) -> DataFrame:
+    """The records of a batch whose key is undecided."""
+    return batch.join(marked.filter("undecided").select(*spec.keys), spec.keys, "left_semi").select(*batch.columns)
+
+
 def updated_rows(base: DataFrame, incoming: DataFrame, spec: UpsertSpec) -> DataFrame:
     """Every base row, with the updated fields replaced where a key came in.
 

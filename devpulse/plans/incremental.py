@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators import rollups
-from devpulse.operators.upsert import UpsertSpec, collapse_batch, updated_rows
+from devpulse.operators.upsert import UpsertSpec, collapse_batch, collapse_marked, undecided_records, updated_rows
 from devpulse.plans import files, store
 from devpulse.sources.tables import month_of, stored_schema
 
@@ -52,20 +52,38 @@ def _months_in(df: DataFrame) -> list[str]:
 
 
 def merge_monthly(
-    spark: SparkSession, path: str, batch: DataFrame, spec: UpsertSpec, order: str = "seq", trust_dates: bool = False
+    spark: SparkSession,
+    path: str,
+    batch: DataFrame,
+    spec: UpsertSpec,
+    order: str = "seq",
+    trust_dates: bool = False,
+    undecided: Callable[[DataFrame], None] | None = None,
 ) -> MergeResult:
     """Upsert a batch into a month-partitioned table.
 
     Keys are looked up in every month, because a stored row keeps its timestamp
     even when the incoming record says otherwise.  ``trust_dates`` limits the
     search to the batch's own months for sources whose record time is immutable.
+    Records that cannot be put in order go to ``undecided``; without it they end the job.
     """
-    incoming, scratch = files.staged(collapse_batch(batch, spec, order), "collapsed")
+    incoming, scratch = collapsed(batch, spec, order, undecided)
     merged = store.attempt(spark, path, lambda tx: merge(tx, "", incoming, spec, trust_dates))
     files.delete(spark, scratch)
     return merged
 
 
+def collapsed(
+    batch: DataFrame, spec: UpsertSpec, order: str = "seq", undecided: Callable[[DataFrame], None] | None = None
+) -> tuple[DataFrame, str]:
+    """One staged row for each decided key of a batch; the records of the others are handed on."""
+    if undecided is None:
+        return files.staged(collapse_batch(batch, spec, order), "collapsed")
+    marked, scratch = files.staged(collapse_marked(batch, spec, order), "collapsed")
+    undecided(undecided_records(batch, marked, spec))
+    return marked.filter("NOT undecided").drop("undecided"), scratch
+
+
 def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSpec, trust_dates: bool = False) -> MergeResult:
     """`merge_monthly` of a collapsed batch, within a transaction; the batch is read several times."""
     ts = spec.timestamp
@@ -119,18 +137,22 @@ def refresh_renamed(spark: SparkSession, commits_path: str, rollup_path: str, re
     The daily rollup carries these attributes, and a full rebuild would pick the
     new ones up; here only the days of such repositories are recomputed.
     """
+    stale = stale_days(store.read(spark, rollup_path), repos)
+    touched, path = files.staged(stale, "renamed")
+    refresh_daily_stats(spark, commits_path, rollup_path, repos, touched)
+    files.delete(spark, path)
+
+
+def stale_days(daily: DataFrame, repos: DataFrame) -> DataFrame:
+    """``repo_id, committed_at``: the days of the daily rollup whose repository has other attributes now."""
     attributes = ["user_id", "full_name", "primary_language"]
     now = repos.select("repo_id", F.struct(*attributes).alias("_now"))
-    stale = (
-        store.read(spark, rollup_path)
-        .select("repo_id", F.col("commit_date").cast("timestamp").alias("committed_at"), F.struct(*attributes).alias("_then"))
+    return (
+        daily.select("repo_id", F.col("commit_date").cast("timestamp").alias("committed_at"), F.struct(*attributes).alias("_then"))
         .join(now, "repo_id")
         .filter(~F.col("_now").eqNullSafe(F.col("_then")))
         .select("repo_id", "committed_at")
     )
-    touched, path = files.staged(stale, "renamed")
-    refresh_daily_stats(spark, commits_path, rollup_path, repos, touched)
-    files.delete(spark, path)
 
 
 def refresh_analysis_rollup(
