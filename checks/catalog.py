@@ -31,7 +31,7 @@ from devpulse.schemas import (
 from devpulse.session import scratch_dir
 from devpulse.sources import discovery, payloads, tables
 from devpulse.streaming import daily as live
-from devpulse.streaming import ingest
+from devpulse.streaming import ingest, windows
 from devpulse.testmap import EVENTS_AS_OF, MONTH_AS_OF, ORDER_MONTHS, ORDERS_AS_OF, TestTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1838,3 +1838,28 @@ def _(t):
     live.write_counts(stream.event_commits(), f"{root}/counts", f"{root}/checkpoint").awaitTermination()
     live.compact(t.spark, f"{root}/counts")
     return live.read_counts(t.spark, f"{root}/counts")
+
+
+@query(
+    "stream_daily_windows",
+    """SELECT CAST(committed_at AS DATE) AS commit_date, repo_id, count(*) AS commit_count,
+              CAST(sum(additions) AS BIGINT) AS total_additions, CAST(sum(deletions) AS BIGINT) AS total_deletions
+       FROM event_commits GROUP BY 1, 2""",
+)
+def _(t):
+    """The commits land in three files of all days, so most of the later two come after their day was closed."""
+    root, commits = scratch_dir(t.spark, "windows"), t.event_commits().drop("message")
+    for third in range(3):
+        commits.filter(F.col("commit_id") % 3 == third).write.mode("append").parquet(f"{root}/landing/{third}")
+        time.sleep(0.05)  # the folders' times tell them apart
+
+    def stream() -> DataFrame:
+        reader = t.spark.readStream.schema(commits.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8)
+        return reader.parquet(f"{root}/landing")
+
+    def stored(months: list[str]) -> DataFrame:
+        return commits.filter(tables.month_of("committed_at").isin(months))
+
+    windows.count_days(stream(), f"{root}/days", f"{root}/checkpoint/days", 3).awaitTermination()
+    windows.reconcile_late(stream(), stored, f"{root}/days", f"{root}/checkpoint/late", 3).awaitTermination()
+    return windows.read_days(t.spark, f"{root}/days")

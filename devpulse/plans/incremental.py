@@ -46,7 +46,7 @@ class MergeResult:
             files.delete(self.touched.sparkSession, path)
 
 
-def _months_in(df: DataFrame) -> list[str]:
+def months_in(df: DataFrame) -> list[str]:
     # one value per stored month, so the list is as short as the table's history
     return [r[0] for r in df.select(MONTH_COLUMN).distinct().collect()]
 
@@ -88,7 +88,7 @@ def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSp
     """`merge_monthly` of a collapsed batch, within a transaction; the batch is read several times."""
     ts = spec.timestamp
     stored = T.StructType([*incoming.select(*spec.columns).schema, T.StructField(MONTH_COLUMN, T.StringType())])
-    months = _months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN))) if trust_dates else None
+    months = months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN))) if trust_dates else None
     total = len(tx.parts(table))
     base, opened = tx.lookup(incoming, spec.keys, table, months, stored)
     at = F.struct(F.col(ts).alias("at"), F.col(MONTH_COLUMN).alias("month"))
@@ -96,7 +96,7 @@ def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSp
     found, scratch = files.staged(incoming.join(known, spec.keys, "left"), "found")
 
     hits, fresh = found.filter("_stored IS NOT NULL"), found.filter("_stored IS NULL").select(*spec.columns)
-    rewritten = sorted(_months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN)))) if opened else []
+    rewritten = sorted(months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN)))) if opened else []
     changed = tx.read(table, rewritten, stored).drop(MONTH_COLUMN)
     merged = updated_rows(changed, hits, spec).unionByName(fresh, allowMissingColumns=True) if rewritten else fresh
     # rows for a rewritten month come in with it, others are added to theirs
@@ -120,11 +120,11 @@ def refresh_daily_stats(
 def update_daily(tx: store.Transaction, table: str, commits: Reader, repos: DataFrame, touched: DataFrame) -> None:
     """`refresh_daily_stats` within a transaction."""
     keys = touched.select(F.to_date("committed_at").alias("commit_date"), "repo_id").distinct()
-    months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("commit_date")))
+    months = months_in(keys.withColumn(MONTH_COLUMN, month_of("commit_date")))
     if months:
-        fresh = _touched_counts(rollups.commit_counts_by_day(commits(months)), keys)
+        fresh = touched_counts(rollups.commit_counts_by_day(commits(months)), keys)
         rows = rollups.with_owner(fresh, repos, "full_name", "primary_language")
-        _replace_keys(tx, table, rows, keys, months)
+        replace_keys(tx, table, rows, keys, months)
 
 
 def _months_of(spark: SparkSession, path: str, schema: T.StructType | None = None) -> Reader:
@@ -170,13 +170,13 @@ def refresh_analysis_rollup(
     else:
         day, start, count = "analysis_date", analyzed, rollups.category_counts_by_day
     keys = touched.select(start.alias(day), "repo_id").distinct()
-    months = _months_in(keys.withColumn(MONTH_COLUMN, month_of(day)))
+    months = months_in(keys.withColumn(MONTH_COLUMN, month_of(day)))
 
     def update(tx: store.Transaction) -> None:
         last = F.date_add(day, 6 if weekly else 0)
-        sources = {*months, *_months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))}
+        sources = {*months, *months_in(keys.withColumn(MONTH_COLUMN, month_of(last)))}
         analyses = store.read(spark, analyses_path, sorted(sources))
-        _replace_keys(tx, "", rollups.with_owner(_touched_counts(count(analyses), keys), repos), keys, months)
+        replace_keys(tx, "", rollups.with_owner(touched_counts(count(analyses), keys), repos), keys, months)
 
     if months:
         store.attempt(spark, rollup_path, update)
@@ -199,15 +199,15 @@ def update_hourly(tx: store.Transaction, table: str, commits: Reader, prs: Reade
     days = touched.select(F.to_date("at").alias("activity_date"), "repo_id").distinct()
     owned = days.join(repos.select("repo_id", "user_id"), "repo_id")
     keys, scratch = files.staged(owned.select("activity_date", "user_id").distinct(), "hours")
-    months = _months_in(keys.withColumn(MONTH_COLUMN, month_of("activity_date")))
+    months = months_in(keys.withColumn(MONTH_COLUMN, month_of("activity_date")))
     if months:
         mine = repos.join(keys.select("user_id").distinct(), "user_id", "left_semi")
-        fresh = _touched_counts(rollups.hourly_activity(commits(months), prs(months), mine), keys)
-        _replace_keys(tx, table, fresh, keys, months)
+        fresh = touched_counts(rollups.hourly_activity(commits(months), prs(months), mine), keys)
+        replace_keys(tx, table, fresh, keys, months)
     files.delete(tx.spark, scratch)
 
 
-def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
+def touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """The counts of the touched keys.
 
     Written after the aggregation, so a busy key is reduced on the map side
@@ -217,9 +217,11 @@ def _touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
     return counts.join(keys, keys.columns, "left_semi")
 
 
-def _replace_keys(tx: store.Transaction, table: str, fresh: DataFrame, keys: DataFrame, months: list[str]) -> None:
+def replace_keys(
+    tx: store.Transaction, table: str, fresh: DataFrame, keys: DataFrame, months: list[str], sort_by: tuple[str, ...] | None = None
+) -> None:
     """Replace the rows of the given keys in the given months of a rollup."""
     stored = tx.read(table, months, fresh.schema).drop(MONTH_COLUMN)
     if tx.parts(table, months):
         fresh = stored.join(keys, keys.columns, "left_anti").unionByName(fresh)
-    tx.write(fresh, month_of(keys.columns[0]), table, months, sort_by=("user_id", keys.columns[0]))
+    tx.write(fresh, month_of(keys.columns[0]), table, months, sort_by=sort_by or ("user_id", keys.columns[0]))

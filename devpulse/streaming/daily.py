@@ -61,11 +61,18 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str) -> None:
     """Sum up the batches so far, so that a read does not add up all there ever were.
 
-    The commit marker of the sum is the switch; the parts are removed after it,
-    and a run that dies in between leaves parts that no reader takes.
+    The commit marker of the sum is the switch.  The parts stay for those who read them
+    already; `remove_summed` takes them away.
     """
-    whole, batches = _parts(spark, path)
+    _, batches = _parts(spark, path)
     if batches:
         read_counts(spark, path).write.mode("overwrite").parquet(f"{path}/upto={batches[-1].partition('=')[2]}")
-        for name in [whole, *batches] if whole else batches:
-            files.delete(spark, f"{path}/{name}")
+
+
+def remove_summed(spark: SparkSession, path: str) -> None:
+    """Remove the parts that the newest sum holds; the caller knows that nobody reads them any more."""
+    whole, batches = _parts(spark, path)
+    if whole:
+        for name in files.child_names(spark, path):
+            if name.startswith(("batch=", "upto=")) and name != whole and name not in batches:
+                files.delete(spark, f"{path}/{name}")
