@@ -17,7 +17,7 @@ from checks.prelude import lookup, pct1, pct_change1, round1, with_views
 from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_diff
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import preset_start
-from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, summaries, upsert, widgets
+from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, streaks, summaries, upsert, widgets
 from devpulse.plans import enrichment, files, incremental, refresh, store, sync
 from devpulse.schemas import (
     CATEGORY_COLORS,
@@ -324,6 +324,19 @@ def _(t):
     )
 
 
+@query("merge_streak", _streak_sql("event_daily", "2024-01-30") + " SELECT * FROM streaks")
+def _(t):
+    """The months of active days follow two versions of the daily rollup; the streak is read from them."""
+    root, commits, repos = scratch_dir(t.spark, "streak"), t.event_commits(), t.repositories()
+    some = F.col("commit_id") % 2 == 0
+    for rows, touched in ((commits.filter(some), commits.filter(some)), (commits, commits.filter(~some))):
+        store.commit(rollups.daily_commit_stats(rows, repos), f"{root}/daily", "commit_date", None)
+        days = rollups.with_owner(rollups.commit_counts_by_day(touched), repos)
+        incremental.refresh_active_days(t.spark, f"{root}/daily", f"{root}/active", days)
+    found = streaks.current_streak(store.read(t.spark, f"{root}/active"), EVENTS_AS_OF, STREAK_DAYS)
+    return found.withColumn("current_streak", F.col("current_streak").cast("long"))
+
+
 _STATS = (
     _streak_sql("daily", "2001-07-20")
     + f""", months AS ({_months_sql("daily")}), top AS ({_TOP_LANGUAGE}),
@@ -751,6 +764,26 @@ def _(t):
     )
 
 
+def _history_columns(rows: DataFrame) -> DataFrame:
+    return _plain(rows, "user_id", "job_id", "created_at", "status", "repo_full_name", "position", "total", "total_pages")
+
+
+@query(
+    "sync_history_indexed_page",
+    f"""SELECT user_id, job_id, created_at, status, full_name AS repo_full_name, position, total, CAST(ceil(total / 10) AS BIGINT) AS total_pages
+        FROM {_page_sql("SELECT * FROM sync_jobs", "created_at DESC, job_id", 40, 10)} p
+        LEFT JOIN (SELECT repo_id, full_name FROM repositories) USING (repo_id)""",
+)
+def _(t):
+    """Jobs arrive in two halves with the index kept beside them; a deep page is read through it."""
+    root, jobs = scratch_dir(t.spark, "history"), t.sync_jobs()
+    for half in (0, 1):
+        some = jobs.filter(F.col("job_id") % 2 == half)
+        store.commit(some, f"{root}/jobs", "created_at", sort_by=("user_id",))
+        incremental.refresh_history_index(t.spark, f"{root}/jobs", f"{root}/index", some)
+    return _history_columns(incremental.history_page(t.spark, f"{root}/jobs", f"{root}/index", t.repositories(), 40, 10))
+
+
 @query(
     "sync_history_deep_page",
     """SELECT status, job_id, created_at, position, total FROM (

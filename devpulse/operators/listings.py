@@ -32,6 +32,14 @@ def _newest_first(time: str, ident: str) -> list[tuple[Column, bool]]:
     return [*((step, False) for step in steps), (_id_block(ident), True)]
 
 
+#: rows down to which a page is taken from the top of its group, which needs no levels
+SHALLOW = 1000
+
+
+def _levels(time: str, ident: str, page: int, per_page: int, index: DataFrame | None = None) -> list[tuple[Column, bool]] | None:
+    return None if index is None and page * per_page <= SHALLOW else _newest_first(time, ident)
+
+
 def repository_listing(
     repos: DataFrame,
     commits: DataFrame,
@@ -51,7 +59,7 @@ def repository_listing(
         [F.desc("updated_at"), F.asc("repo_id")],
         page,
         per_page,
-        levels=_newest_first("updated_at", "repo_id"),
+        levels=_levels("updated_at", "repo_id", page, per_page),
     )
     return (
         listed.join(repo_counts(commits, "commit_count"), "repo_id", "left")
@@ -62,15 +70,19 @@ def repository_listing(
 
 
 def sync_history(
-    jobs: DataFrame, repos: DataFrame, page: int = 1, per_page: int = 20, user_id: int | None = None
+    jobs: DataFrame, repos: DataFrame, page: int = 1, per_page: int = 20, user_id: int | None = None, index: DataFrame | None = None
 ) -> DataFrame:
-    """A page of jobs, newest first, with the repository name."""
+    """A page of jobs, newest first, with the repository name.
+
+    ``index`` holds the jobs of each user and day (`ranking.level_counts`), if they are kept.
+    """
     listed = paginate(
         for_user(jobs, user_id),
         [F.desc("created_at"), F.asc("job_id")],
         page,
         per_page,
-        levels=_newest_first("created_at", "job_id"),
+        levels=_levels("created_at", "job_id", page, per_page, index),
+        index=index if index is None else for_user(index, user_id),
     )
     return listed.join(repos.select("repo_id", F.col("full_name").alias("repo_full_name")), "repo_id", "left")
 

@@ -101,16 +101,30 @@ def _parent_key(parent: str) -> str:
     return "user_id" if parent == "users" else "repo_id"
 
 
+#: a key as columns of its own: numbers and days, and a text; NULL where it has fewer
+_NUMBERS, _TEXT = ["k0", "k1", "k2"], "text"
+_KEY = [*_NUMBERS, _TEXT]
+
+
+def _typed(df: DataFrame, columns: list[str]) -> list[Column]:
+    texts = [c for c in columns if df.schema[c].dataType.typeName() == "string"]
+    numbers = [F.unix_date(c).cast("long") if df.schema[c].dataType.typeName() == "date" else F.col(c).cast("long") for c in columns if c not in texts]
+    if len(texts) > 1 or len(numbers) > len(_NUMBERS):
+        raise ValueError(f"a key of {columns} is too wide")
+    numbers += [F.lit(None).cast("long")] * (len(_NUMBERS) - len(numbers))
+    text = F.col(texts[0]) if texts else F.lit(None).cast("string")
+    return [c.alias(name) for c, name in zip([*numbers, text], _KEY)]
+
+
 def _key_counts(df: DataFrame, keys: list[tuple[str, str, list[str]]]) -> DataFrame:
     """How often each value of each key stands, all keys of a table in one pass; NULLs never clash."""
 
     def entry(rule: str, domain: str, columns: list[str]) -> Column:
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-        value = F.to_json(F.array(*[F.col(c).cast("string") for c in columns]))
-        return F.struct(F.lit(rule).alias("rule"), F.lit(domain).alias("domain"), F.when(known, value).alias("key"))
+        return F.when(known, F.struct(F.lit(rule).alias("rule"), F.lit(domain).alias("domain"), *_typed(df, columns)))
 
-    each = df.select(F.explode(F.array(*[entry(*k) for k in keys])).alias("e")).select("e.*").filter("key IS NOT NULL")
-    return each.groupBy("domain", "key", "rule").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(F.explode(F.array_compact(F.array(*[entry(*k) for k in keys]))).alias("e")).select("e.*")
+    return each.groupBy("domain", *_KEY, "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _key_rules(tables: dict[str, DataFrame]) -> list[DataFrame]:
@@ -120,7 +134,7 @@ def _key_rules(tables: dict[str, DataFrame]) -> list[DataFrame]:
         return []
     counts = reduce(DataFrame.unionByName, [_key_counts(tables[table], keys) for table, keys in wanted.items()])
     # a value of a domain has one entry for each rule at most
-    met = counts.groupBy("domain", "key").agg(F.collect_list(F.struct("rule", "n")).alias("by"))
+    met = counts.groupBy("domain", *_KEY).agg(F.collect_list(F.struct("rule", "n")).alias("by"))
     orphan = ~F.exists("by", lambda e: e["rule"] == _PARENT)
     found = met.withColumn("orphan", orphan).select("orphan", F.explode("by").alias("e")).select("orphan", "e.*")
     repeated = F.col("rule").startswith("V3") & (F.col("n") > 1)

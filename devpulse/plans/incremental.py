@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from devpulse.functions.timeops import MONTH_COLUMN
-from devpulse.operators import rollups
+from devpulse.operators import listings, ranking, rollups, streaks
 from devpulse.operators.upsert import UpsertSpec, collapse_batch, collapse_marked, undecided_records, updated_rows
 from devpulse.plans import files, store
 from devpulse.sources.tables import month_of, stored_schema
@@ -207,6 +207,42 @@ def update_hourly(tx: store.Transaction, table: str, commits: Reader, prs: Reade
     files.delete(tx.spark, scratch)
 
 
+def refresh_active_days(spark: SparkSession, daily_path: str, path: str, touched: DataFrame) -> None:
+    """T2 for the months of active days (A13): recompute those of the touched ``user_id, commit_date``."""
+
+    def update(tx: store.Transaction) -> None:
+        keys = touched.select(F.trunc("commit_date", "month").alias("month_start"), "user_id").distinct()
+        months = months_in(keys.select(month_of("month_start").alias(MONTH_COLUMN)))
+        if months:
+            daily = store.read(spark, daily_path, months)
+            replace_keys(tx, "", touched_counts(streaks.active_days(daily), keys), keys, months)
+
+    store.attempt(spark, path, update)
+
+
+def refresh_history_index(spark: SparkSession, jobs_path: str, index_path: str, touched: DataFrame) -> None:
+    """Keep the jobs of each user and day beside the stored jobs; ``touched`` holds ``user_id, created_at``."""
+
+    def update(tx: store.Transaction) -> None:
+        keys = touched.select(F.to_date("created_at").alias("level"), "user_id").distinct()
+        months = months_in(keys.select(month_of("level").alias(MONTH_COLUMN)))
+        if months:
+            jobs = store.read(spark, jobs_path, months)
+            replace_keys(tx, "", touched_counts(ranking.level_counts(jobs, F.to_date("created_at")), keys), keys, months)
+
+    store.attempt(spark, index_path, update)
+
+
+def history_page(
+    spark: SparkSession, jobs_path: str, index_path: str, repos: DataFrame, page: int = 1, per_page: int = 20, user_id: int | None = None
+) -> DataFrame:
+    """C2 from the stored jobs: the index tells the days that the page overlaps, and only their months are read."""
+    index = store.read(spark, index_path).drop(MONTH_COLUMN)
+    days = ranking.pages_overlap(index if user_id is None else index.filter(F.col("user_id") == user_id), (page - 1) * per_page, page * per_page)
+    jobs = store.read(spark, jobs_path, months_in(days.select(month_of("level").alias(MONTH_COLUMN)))).drop(MONTH_COLUMN)
+    return listings.sync_history(jobs, repos, page, per_page, user_id, index)
+
+
 def touched_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
     """The counts of the touched keys.
 
@@ -224,4 +260,4 @@ def replace_keys(
     stored = tx.read(table, months, fresh.schema).drop(MONTH_COLUMN)
     if tx.parts(table, months):
         fresh = stored.join(keys, keys.columns, "left_anti").unionByName(fresh)
-    tx.write(fresh, month_of(keys.columns[0]), table, months, sort_by=sort_by or ("user_id", keys.columns[0]))
+    tx.write(fresh, month_of(keys.columns[0]), table, months, sort_by or ("user_id", keys.columns[0]))
