@@ -1516,6 +1516,34 @@ def _(t):
     return report.join(rows, "name", "left").select("name", "status", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+@query(
+    "refresh_rollups_shared",
+    """SELECT 'daily_commit_stats' AS name, 'refreshed' AS status, count(*) AS rows, CAST(sum(commit_count) AS BIGINT) AS total FROM event_daily
+       UNION ALL SELECT 'weekly_tech_trends', 'refreshed', count(*), CAST(sum(tag_count) AS BIGINT) FROM weekly_tags
+       UNION ALL SELECT 'work_category_stats', 'refreshed', count(*), CAST(sum(category_count) AS BIGINT) FROM categories
+       UNION ALL SELECT 'hourly_activity', 'refreshed', count(*), CAST(sum(commit_count + pr_count + additions) AS BIGINT) FROM hourly""",
+)
+def _(t):
+    """All rollups from one read of each fact table, over versions that are out of date."""
+    root, total = scratch_dir(t.spark, "shared"), {
+        "daily_commit_stats": F.sum("commit_count"),
+        "weekly_tech_trends": F.sum("tag_count"),
+        "work_category_stats": F.sum("category_count"),
+        "hourly_activity": F.sum(F.col("commit_count") + F.col("pr_count") + F.col("additions")),
+    }
+    builds = refresh.SharedDefinitions(t.event_commits(), t.event_pull_requests(), t.analyses(), t.repositories())
+    for name, build in builds.builds.items():
+        refresh.create_rollup(t.spark, root, name, build().limit(0))
+    report = refresh.refresh_rollups(t.spark, root, builds.builds)
+    builds.release()
+    found = [
+        refresh.read_rollup(t.spark, root, name).agg(F.count(F.lit(1)).alias("rows"), column.alias("total")).withColumn("name", F.lit(name))
+        for name, column in total.items()
+    ]
+    counts = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return report.join(counts, "name").select("name", "status", "rows", "total")
+
+
 @query(
     "merge_daily_stats",
     """SELECT CAST(CASE WHEN s = 'P' THEN committed_at + INTERVAL 1 DAY ELSE committed_at END AS DATE) AS commit_date,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from devpulse.functions.timeops import MONTH_COLUMN
 from devpulse.operators import rollups
-from devpulse.plans import store
+from devpulse.plans import files, store
 
 log = logging.getLogger(__name__)
 
@@ -50,6 +50,35 @@ def definitions(
     }
 
 
+class SharedDefinitions:
+    """The rollups' definitions from one read of each fact table.
+
+    Commits are counted once by hour and analyses once by week, day and label; the first
+    rollup that needs such counts stages them, the others start from there.  `release`
+    removes them.
+    """
+
+    def __init__(self, commits: DataFrame, pull_requests: DataFrame, analyses: DataFrame, repos: DataFrame):
+        self._sources = {"commits": lambda: rollups.commit_grain(commits), "analyses": lambda: rollups.analysis_grain(analyses)}
+        self._staged: dict[str, tuple[DataFrame, str]] = {}
+        self.builds: dict[str, Callable[[], DataFrame]] = {
+            "daily_commit_stats": lambda: rollups.daily_from_grain(self._grain("commits"), repos),
+            "weekly_tech_trends": lambda: rollups.tags_from_grain(self._grain("analyses"), repos),
+            "work_category_stats": lambda: rollups.categories_from_grain(self._grain("analyses"), repos),
+            "hourly_activity": lambda: rollups.hourly_from_grain(self._grain("commits"), pull_requests, repos),
+        }
+
+    def _grain(self, name: str) -> DataFrame:
+        if name not in self._staged:
+            self._staged[name] = files.staged(self._sources[name](), f"{name}_grain")
+        return self._staged[name][0]
+
+    def release(self) -> None:
+        for df, path in self._staged.values():
+            files.delete(df.sparkSession, path)
+        self._staged.clear()
+
+
 def refresh_rollups(
     spark: SparkSession,
     root: str,
