@@ -18,7 +18,7 @@ from devpulse.functions.diff import DIFF_BUDGET, TRUNCATION_MARKER, assemble_dif
 from devpulse.functions.exprs import round1 as round1_expr
 from devpulse.functions.timeops import preset_start
 from devpulse.operators import backlog, jobs, listings, present, quality, ranking, rollups, streaks, summaries, upsert, widgets
-from devpulse.plans import enrichment, files, incremental, refresh, store, sync
+from devpulse.plans import audit, enrichment, files, incremental, refresh, store, sync
 from devpulse.schemas import (
     CATEGORY_COLORS,
     DEFAULT_COLOR,
@@ -1474,6 +1474,38 @@ def _(t):
     return quality.audit({name: df.select(*_AUDITED[name]) for name, df in given.items()})
 
 
+@query(
+    "audit_changed",
+    """SELECT 'V3 commits(repo_id, github_commit_sha) unique' AS rule, count(*) FILTER (commit_id % 100 = 5) AS violations, TRUE AS few_read FROM commits
+       UNION ALL SELECT 'V4 commits.repo_id in repositories',
+           CAST(coalesce(sum(CASE WHEN commit_id % 100 = 5 THEN 2 ELSE 1 END) FILTER (repo_id NOT IN (SELECT repo_id FROM repositories WHERE is_active)), 0) AS BIGINT), TRUE FROM commits
+       UNION ALL SELECT 'V7 commits.committed_at in month range',
+           CAST(coalesce(sum(CASE WHEN commit_id % 100 = 5 THEN 2 ELSE 1 END) FILTER (committed_at < '1997-01-01'), 0) AS BIGINT), TRUE FROM commits
+       UNION ALL SELECT 'V6 commits.github_commit_sha length', 0, TRUE
+       UNION ALL SELECT unnest(['V5 commits.commit_id not null', 'V5 commits.repo_id not null', 'V5 commits.github_commit_sha not null',
+           'V5 commits.committed_at not null', 'V5 commits.additions not null', 'V5 commits.deletions not null',
+           'V5 commits.changed_files not null']), 0, TRUE""",
+)
+def _(t):
+    """The commits are audited, repeated ones of a month at a time come in, and they are audited again."""
+    root, rows = scratch_dir(t.spark, "audited"), t.commits()
+    parents = {"repositories": t.repositories().filter("is_active")}
+
+    def run() -> audit.Audit:
+        return audit.audit_store(
+            t.spark, f"{root}/commits", f"{root}/results", "commits", parents, upsert.COMMITS.keys, (date(1997, 1, 1), date(2002, 1, 1))
+        )
+
+    store.commit(rows, f"{root}/commits", "committed_at", keys=upsert.COMMITS.keys)
+    run()
+    again, newest = rows.filter("commit_id % 100 = 5"), F.col("committed_at") >= F.lit("2001-07-01").cast("timestamp")
+    store.commit(again.filter(~newest), f"{root}/commits", "committed_at", keys=upsert.COMMITS.keys)
+    run()
+    store.commit(again.filter(newest), f"{root}/commits", "committed_at", keys=upsert.COMMITS.keys)
+    last = run()
+    return last.rules.withColumn("few_read", F.lit(last.read_folders * 20 <= last.folders))
+
+
 @query(
     "month_partitions",
     """SELECT strftime(committed_at, '%Y-%m') AS year_month, count(*) AS commits, CAST(sum(additions) AS BIGINT) AS additions

@@ -49,7 +49,8 @@ LENGTHS = {
 }
 
 
-def _row_rules(table: str, df: DataFrame, months: tuple[date, date]) -> dict[str, Column]:
+def row_rules(table: str, df: DataFrame, months: tuple[date, date]) -> dict[str, Column]:
+    """When a row violates each rule on single rows."""
     rules: dict[str, Column] = {}
     for (owner, column), allowed in ENUMS.items():
         if owner == table and column in df.columns:
@@ -88,7 +89,7 @@ def _keys(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> list[tuple
             rule = f"V3 {table}({', '.join(keys)}) unique"
             found.append((rule, rule, keys))
     for child, key, parent in REFERENCES:
-        parent_key = _parent_key(parent)
+        parent_key = key_of_parent(parent)
         if parent in tables and child in tables and key in tables[child].columns:
             if child == table:
                 found.append((f"V4 {table}.{key} in {parent}", f"{parent}.{parent_key}", [key]))
@@ -97,7 +98,7 @@ def _keys(table: str, df: DataFrame, tables: dict[str, DataFrame]) -> list[tuple
     return found
 
 
-def _parent_key(parent: str) -> str:
+def key_of_parent(parent: str) -> str:
     return "user_id" if parent == "users" else "repo_id"
 
 
@@ -152,5 +153,5 @@ def audit(tables: dict[str, DataFrame], months: tuple[date, date] = MONTH_RANGE)
 
     Each table is read twice: once for the rules on single rows, once for its keys.
     """
-    parts = [_one_pass(df, rules) for table, df in tables.items() if (rules := _row_rules(table, df, months))]
+    parts = [_one_pass(df, rules) for table, df in tables.items() if (rules := row_rules(table, df, months))]
     return reduce(DataFrame.unionByName, parts + _key_rules(tables))

@@ -115,13 +115,14 @@ class Transaction:
         """
         values = None if values is None else list(values)
         self.note(table, values, column)
-        return self._open(table, self.parts(table, values, column), schema, column)
+        return self.open(table, self.parts(table, values, column), schema, column)
 
     def note(self, table: str = "", values: Iterable[str] | None = None, column: str = MONTH_COLUMN) -> None:
         """The commit must not go on if the given parts change meanwhile."""
         self._seen |= {(table, None)} if values is None else {(table, f"{column}={v}") for v in values}
 
-    def _open(self, table: str, entries: list[Entry], schema: T.StructType | None, column: str) -> DataFrame:
+    def open(self, table: str, entries: list[Entry], schema: T.StructType | None = None, column: str = MONTH_COLUMN) -> DataFrame:
+        """The rows of some folders, which is not noted."""
         if not entries:
             if schema is None:
                 known = self.parts(table)
@@ -153,17 +154,29 @@ class Transaction:
         """
         self.note(table, values, column)
         entries = self.parts(table, values, column)
-        hashed = [e for e in entries if e.keys == ",".join(keys)]
-        opened = [e for e in entries if e not in hashed]
-        if hashed:
-            folders = sorted({f"{self.root}/keys/{e.folder}" for e in hashed})
-            known = self.spark.read.schema("h long, part string").option("recursiveFileLookup", "true").parquet(*folders)
-            folder = F.regexp_extract(F.col("_metadata.file_path"), "/keys/([^/]+)/", 1)
+        hashes, opened = self.hashes(keys, table, values, column)
+        if len(opened) < len(entries):
             asked = batch.select(key_hash(keys).alias("h"))
-            met = known.select("h", folder.alias("folder"), "part").join(asked, "h", "left_semi")
-            hits = {tuple(r) for r in met.select("folder", "part").distinct().collect()}
-            opened += [e for e in hashed if (e.folder, e.part) in hits]
-        return self._open(table, opened, schema, column), len(opened)
+            hits = {tuple(r) for r in hashes.join(asked, "h", "left_semi").select("folder", "part").distinct().collect()}
+            opened += [e for e in entries if e not in opened and (e.folder, e.part) in hits]
+        return self.open(table, opened, schema, column), len(opened)
+
+    def hashes(
+        self, keys: list[str], table: str = "", values: Iterable[str] | None = None, column: str = MONTH_COLUMN
+    ) -> tuple[DataFrame, list[Entry]]:
+        """``h, folder, part`` of the rows in folders with hashes of the keys, and the folders without."""
+        entries = self.parts(table, values, column)
+        hashed = [e for e in entries if e.keys == ",".join(keys)]
+        schema = "h long, folder string, part string"
+        if not hashed:
+            return self.spark.createDataFrame([], schema), entries
+        folders = sorted({f"{self.root}/keys/{e.folder}" for e in hashed})
+        known = self.spark.read.schema("h long, part string").option("recursiveFileLookup", "true").parquet(*folders)
+        folder = F.regexp_extract(F.col("_metadata.file_path"), "/keys/([^/]+)/", 1)
+        # parts of a folder that were replaced since are still in its hashes
+        used = self.spark.createDataFrame([(e.folder, e.part) for e in hashed], "folder string, part string")
+        found = known.select("h", folder.alias("folder"), "part").join(used, ["folder", "part"], "left_semi").select("h", "folder", "part")
+        return found, [e for e in entries if e not in hashed]
 
     # --- writing --------------------------------------------------------------
 
@@ -199,7 +212,7 @@ class Transaction:
         if keys and fresh:
             # in few files: what is later replaced of a folder stays in its hashes and is passed over
             part_name = F.concat(F.lit(f"{column}="), F.col(column)).alias("part")
-            rows = self._open(table, fresh, None, column).select(key_hash(keys).alias("h"), part_name)
+            rows = self.open(table, fresh, None, column).select(key_hash(keys).alias("h"), part_name)
             rows.hint("rebalance").write.parquet(f"{self.root}/keys/{folder}")
         if replaced is None:
             self.note(table)
