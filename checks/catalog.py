@@ -653,6 +653,35 @@ def _(t):
     return rows.withColumn("tech_tags", _text("tech_tags"))
 
 
+_THREE_WEEKS = """CAST(DATE '2024-01-08' + CAST(7 * ((CAST({ts} AS DATE) - DATE '2024-01-08') // 7) AS INTEGER) AS DATE) AS week_start"""
+_IN_THREE_WEEKS = "{ts} >= TIMESTAMP '2024-01-08' AND {ts} < TIMESTAMP '2024-01-29'"
+
+
+@query(
+    "weekly_lists_whole",
+    f"""WITH a AS (SELECT user_id, {_THREE_WEEKS.format(ts="analyzed_at")}, tech_tags, summary FROM analyses JOIN repositories USING (repo_id)
+                   WHERE source_type = 'commit' AND {_IN_THREE_WEEKS.format(ts="analyzed_at")}),
+        c AS (SELECT user_id, {_THREE_WEEKS.format(ts="committed_at")}, message FROM event_commits JOIN repositories USING (repo_id)
+              WHERE is_active AND {_IN_THREE_WEEKS.format(ts="committed_at")})
+        SELECT 'tag' AS kind, user_id, week_start, tag AS item, count(*) AS n FROM (SELECT user_id, week_start, unnest(tech_tags) AS tag FROM a) GROUP BY ALL
+        UNION ALL SELECT 'achievement', user_id, week_start, summary, count(*) FROM a GROUP BY ALL
+        UNION ALL SELECT 'commit', user_id, week_start, message, count(*) FROM c GROUP BY ALL""",
+)
+def _(t):
+    """The lists of a summary and its evidence without a bound, as rows."""
+    weeks = date(2024, 1, 22), 3
+    lists = {
+        "tag": summaries.weekly_technologies(t.analyses(), t.repositories(), *weeks).select("user_id", "week_start", F.col("tag").alias("item"), F.col("tag_count").alias("n")),
+        "achievement": summaries.weekly_achievements(t.analyses(), t.repositories(), *weeks).withColumnRenamed("summary", "item"),
+        "commit": summaries.evidence_commits(t.event_commits(), t.repositories(), *weeks, limit=None).withColumnRenamed("message", "item"),
+    }
+    counted = [
+        (df if "n" in df.columns else df.groupBy("user_id", "week_start", "item").agg(F.count(F.lit(1)).alias("n"))).withColumn("kind", F.lit(kind))
+        for kind, df in lists.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 @query(
     "weekly_summaries_of_month",
     """SELECT user_id, DATE '2024-01-01' AS month_start, analyzed_at, analysis_id,

@@ -1,9 +1,10 @@
 """Weekly and monthly summaries for every (user, period).
 
 Facts are grouped per (repository, period) first and meet the repository table
-as rollup rows.  Lists inside a row are bounded (top 10 tags, 3 summaries, 5
-categories); lists without a bound, such as the repositories of a month, are
-long relations instead of arrays.
+as rollup rows.  Lists inside a row are bounded (by default 10 tags, 3 summaries, 5
+categories); the same lists without a bound are long relations instead of arrays
+(`weekly_technologies`, `weekly_achievements`, `month_categories`,
+`monthly_active_repos`, evidence without a limit), which no task sorts as a whole.
 """
 
 from __future__ import annotations
@@ -91,14 +92,14 @@ def weekly_summary(
     repos: DataFrame,
     week_start: date,
     count: int = 1,
-    tags_kept: int | None = None,
-    achievements_kept: int | None = None,
+    tags_kept: int = 10,
+    achievements_kept: int = 3,
 ) -> DataFrame:
     """Computed summaries of ``count`` weeks ending with ``week_start``'s.
 
     Weeks start on the weekday given; pull requests count when merged; tags and
     achievements come from commit analyses, ``generated_at`` from all analyses.
-    ``tags_kept`` and ``achievements_kept`` shorten the two lists.
+    ``tags_kept`` and ``achievements_kept`` bound the two lists.
     """
     first, end = week_start - timedelta(weeks=count - 1), week_start + timedelta(days=7)
 
@@ -115,10 +116,7 @@ def weekly_summary(
         "week_start",
     )
     from_commits = _commit_analyses(analyzed)
-    labels = from_commits.select("repo_id", "week_start", F.explode("tech_tags").alias("tag"))
-    technologies = _top_labels(
-        _label_counts(labels, repos, "week_start", "tag"), "week_start", "tag", tags_kept, "technologies_used"
-    )
+    technologies = _top_labels(_tag_counts(from_commits, repos), "week_start", "tag", tags_kept, "technologies_used")
     return (
         spine(users, week_starts(week_start, count), "week_start")
         .join(metrics, ["user_id", "week_start"], "left")
@@ -138,8 +136,30 @@ def weekly_summary(
     )
 
 
-def _latest_summaries(from_commits: DataFrame, repos: DataFrame, k: int | None) -> DataFrame:
-    """The k newest analysis summaries per (user, week), or all."""
+def _tag_counts(from_commits: DataFrame, repos: DataFrame) -> DataFrame:
+    labels = from_commits.select("repo_id", "week_start", F.explode("tech_tags").alias("tag"))
+    return _label_counts(labels, repos, "week_start", "tag")
+
+
+def _analyses_of_weeks(analyses: DataFrame, week_start: date, count: int) -> DataFrame:
+    first, end = week_start - timedelta(weeks=count - 1), week_start + timedelta(days=7)
+    kept = period_filter(_commit_analyses(analyses), "analyzed_at", first, end)
+    return kept.withColumn("week_start", week_of("analyzed_at", week_start, count))
+
+
+def weekly_technologies(analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1) -> DataFrame:
+    """All tags of each (user, week) with their counts, one row each."""
+    return _tag_counts(_analyses_of_weeks(analyses, week_start, count), repos).withColumnRenamed("n", "tag_count")
+
+
+def weekly_achievements(analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1) -> DataFrame:
+    """All summaries of each (user, week), one row each; newest first by ``analyzed_at, analysis_id``."""
+    rows = _analyses_of_weeks(analyses, week_start, count).select("repo_id", "week_start", "analyzed_at", "analysis_id", "summary")
+    return rows.join(repos.select("repo_id", "user_id"), "repo_id").select("user_id", "week_start", "analyzed_at", "analysis_id", "summary")
+
+
+def _latest_summaries(from_commits: DataFrame, repos: DataFrame, k: int) -> DataFrame:
+    """The k newest analysis summaries per (user, week)."""
     newest = [F.desc("analyzed_at"), F.asc("analysis_id")]
     rows = from_commits.select("repo_id", "week_start", "analyzed_at", "analysis_id", "summary")
     # k per repository are enough to find k per user, and keep the join small
@@ -187,11 +207,11 @@ def monthly_summary(
     repos: DataFrame,
     month: date,
     count: int = 1,
-    areas_kept: int | None = None,
+    areas_kept: int = 5,
 ) -> DataFrame:
     """Computed summaries of ``count`` months ending with ``month``'s.
 
-    ``areas_kept`` shortens the list of growth areas.
+    ``areas_kept`` bounds the list of growth areas.
     """
     named = monthly_active_repos(commits, repos, month, count)
     activity = named.groupBy("user_id", "month_start").agg(
@@ -306,13 +326,19 @@ def _newest_per_week(
     if limit is not None:
         rows = top_k(rows, ["repo_id", "week_start"], newest, limit).drop("rank")
     rows = rows.join(active(repos).select("repo_id", "user_id", F.col("full_name").alias("repo_name")), "repo_id")
+    if limit is None:
+        return rows.withColumn("rank", F.lit(None).cast("int"))
     return top_k(rows, ["user_id", "week_start"], newest, limit)
 
 
 def evidence_commits(
-    commits: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
+    commits: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = 100
 ) -> DataFrame:
-    """The newest commits of each (user, week), active repositories only."""
+    """The newest commits of each (user, week), active repositories only.
+
+    Without a limit all of them, and without a rank: to number a busy week, one task
+    would have to sort it.  This holds for the other kinds of evidence as well.
+    """
     columns = ["message", "additions", "deletions", "committed_at"]
     rows = _newest_per_week(commits, "committed_at", "commit_id", repos, week_start, count, limit, columns)
     return rows.select(
@@ -328,7 +354,7 @@ def evidence_commits(
 
 
 def evidence_pull_requests(
-    pull_requests: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
+    pull_requests: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = 50
 ) -> DataFrame:
     """The newest pull requests by creation."""
     columns = ["title", "state", "additions", "deletions"]
@@ -346,7 +372,7 @@ def evidence_pull_requests(
 
 
 def evidence_analyses(
-    analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = None
+    analyses: DataFrame, repos: DataFrame, week_start: date, count: int = 1, limit: int | None = 100
 ) -> DataFrame:
     """The newest commit analyses."""
     columns = ["summary", "work_category", "tech_tags", "complexity_score"]

@@ -3,6 +3,8 @@ from __future__ import annotations
 import json
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from conftest import rows
 from devpulse.operators import summaries
 
@@ -143,3 +145,21 @@ def test_evidence_is_limited_per_user_and_week(spark, repos):
     mine = sorted((r for r in got if r.user_id == 1), key=lambda r: r.rank)
     assert len(mine) == 100 and mine[0].message == "m149" and mine[-1].message == "m50"
     assert len([r for r in got if r.user_id == 2]) == 1
+
+
+def test_lists_without_a_bound_are_rows_that_no_window_sorts(spark, repos):
+    at = lambda day: datetime(2024, 3, day, 9)
+    found = [(i, 1 + i % 2, "commit", f"s{i}", ["x", f"t{i}"], at(4 + i % 9)) for i in range(40)] + [(99, 1, "weekly_summary", "w", ["y"], at(5))]
+    df = spark.createDataFrame(found, "analysis_id long, repo_id long, source_type string, summary string, tech_tags array<string>, analyzed_at timestamp")
+    week = date(2024, 3, 4)
+    in_week = [f for f in found if f[2] == "commit" and f[5] < datetime(2024, 3, 11)]
+    tags = rows(summaries.weekly_technologies(df, repos, week), "user_id", "tag", "tag_count")
+    assert tags == sorted([(1, "x", len(in_week))] + [(1, f[4][1], 1) for f in in_week], key=lambda r: [str(v) for v in r])
+    achieved = summaries.weekly_achievements(df, repos, week)
+    assert rows(achieved, "summary") == sorted((f[3],) for f in in_week)
+    commits_ = df.select(F.col("analysis_id").alias("commit_id"), "repo_id", F.col("summary").alias("message"), F.lit(1).alias("additions"), F.lit(1).alias("deletions"), F.col("analyzed_at").alias("committed_at"))
+    everything = summaries.evidence_commits(commits_, repos, week, limit=None)
+    assert everything.count() == len(in_week) + 1 and everything.filter("rank IS NOT NULL").count() == 0
+    for whole in (achieved, everything):
+        assert "Window" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert summaries.evidence_commits(commits_, repos, week, limit=5).count() == 5
