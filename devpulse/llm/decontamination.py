@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from devpulse.llm import words
 from devpulse.llm.automaton import SuffixAutomaton
+from devpulse.llm.columns import set_aside
 from devpulse.llm.spans import Span, united, without
 
 WINDOW = 10
@@ -183,6 +184,10 @@ def decontaminate(
     goes as a whole.  Documents without hits stay as they are.  A column
     ``n_chars`` is brought up to date.  Other cases: see ``find_spans``.
     """
+    return set_aside(docs, ("found",), lambda docs: _cleaned(docs, items, window, most_coverage, text))
+
+
+def _cleaned(docs: DataFrame, items: DataFrame, window: int, most_coverage: float, text: str) -> DataFrame:
     found = find_spans(docs, items, window, text)
     kept = found.where(F.col("found.n_hit") <= F.lit(most_coverage) * F.col("found.n_words"))
     cut = F.pandas_udf(_without_spans, "string")

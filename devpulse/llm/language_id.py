@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
+from devpulse.llm.columns import set_aside
 
 #: n-grams kept of a language and of a document
 PROFILE_SIZE = 300
@@ -179,6 +180,10 @@ def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     Profiles are learned from the labelled rows outside fold 1 of 3.  A document
     goes when it is ``und`` or its score is below ``least_score``.
     """
-    learned = profiles(docs.where(~held_out(doc_id, 3, 1)), text, lang)
-    kept = identify(docs, learned, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    def kept(docs: DataFrame) -> DataFrame:
+        learned = profiles(docs.where(~held_out(doc_id, 3, 1)), text, lang)
+        known = identify(docs, learned, text).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+        return known.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    return set_aside(docs, ("lang_pred", "score", "_found"), kept)

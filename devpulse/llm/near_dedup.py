@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from devpulse.llm import words
+from devpulse.llm.columns import unused
 from devpulse.llm.graph import components, splittable
-from devpulse.plans.files import staged
+from devpulse.plans.files import delete, staged
 
 SHINGLE = 5
 #: links have at least this Jaccard similarity, as a fraction of whole numbers
@@ -23,11 +24,8 @@ PERMUTATIONS, TREES = 64, 16
 LEAST_DEPTH, DEPTH = 2, 8
 #: a region that holds more documents is searched at a greater depth
 REGION = 64
-#: beyond the depth of the order: sorted neighbours compared on either side
+#: beyond the depth of the order: sorted neighbours compared on either side in the first pass
 NEIGHBOURS = 12
-#: classes of which more orders cut the region of least depth are joined exactly.  A pair at the limit shares that
-#: depth in no more than so many of the orders with a chance of 4 in 10,000 (binomial of 16 and 0.75 ** 2)
-MOST_CUT = 2
 #: pairs of which a smaller share of hash values agrees are not confirmed (five standard deviations below the limit)
 LEAST_AGREEMENT = 0.48
 
@@ -128,9 +126,6 @@ def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | No
     pairs: dict[tuple[int, int], float] = {}
 
     def add(i: np.ndarray, j: np.ndarray) -> None:
-        if groups is not None:
-            apart = groups[i] != groups[j]
-            i, j = i[apart], j[apart]
         if not len(i):
             return
         share = _agreement(sketches[i], sketches[j])
@@ -142,13 +137,13 @@ def _candidates(paths: np.ndarray, sketches: np.ndarray, groups: np.ndarray | No
         if depth <= DEPTH and b - a > 1:
             i, j = np.triu_indices(b - a, 1) if groups is None else _across(groups[a:b])
             add(i + a, j + a)
+    if groups is not None:
+        yield from pairs
+        return
     if n > REGION:  # neighbours with the longest common prefix, whatever their region
         for step in range(1, NEIGHBOURS + 1):
             i = np.arange(n - step)
             add(i, i + step)
-    if groups is not None:
-        yield from pairs
-        return
     best: dict[int, tuple[float, int]] = {}
     for (i, j), share in pairs.items():
         for p, q in ((i, j), (j, i)):
@@ -167,8 +162,9 @@ _SEARCHED = "a binary, b binary, cut long"
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (tree, path, sketch, digest and perhaps group) to candidate pairs of digests.
 
-    With groups, also a row (digest, null, 1) for each row that has not met all
-    rows of other groups in its region of least depth.
+    With groups, a region of least depth is searched only if it is small enough to be
+    searched as a whole and lies in one task.  Of another each row gives (digest, null, 1)
+    instead: such classes are joined exactly, at a cost in proportion to what they share.
     """
     held: list[tuple] = []
     found: set[tuple[bytes, bytes]] = set()
@@ -183,11 +179,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = {g: i for i, g in enumerate({r[4] for r in held})}
         groups = np.array([codes[r[4]] for r in held]) if held[0][4] is not None else None
         regions = list(_regions(paths, groups, 0, len(held), LEAST_DEPTH))
-        for i, j in _candidates(paths, sketches, groups, regions):
-            x, y = held[i][3], held[j][3]
-            found.add((x, y) if x < y else (y, x))
         gone = len(held) - stay
-        if groups is not None and not (whole and regions[0][2] == LEAST_DEPTH):
+        if groups is None or (whole and regions[0][2] == LEAST_DEPTH):
+            for i, j in _candidates(paths, sketches, groups, regions):
+                x, y = held[i][3], held[j][3]
+                found.add((x, y) if x < y else (y, x))
+        else:
             cut.extend(r[3] for r in held[:gone])
         del held[:gone]
 
@@ -235,6 +232,20 @@ def _digest(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+#: 64-bit words of an odd sketch
+ODD_WORDS = 8
+
+
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 512 parts of the hash space: whether the set has an odd number of shingles there.
+
+    Each shingle that only one of two sets has changes one bit, so sketches differ in no
+    more bits than the sets do in shingles.
+    """
+    part = (shingles >> np.uint64(64 - 9)).astype(np.int64)
+    return np.packbits(np.bincount(part, minlength=64 * ODD_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in words.slices(batches, "text"):
         sets = list(shingle_sets(batch["text"]))
@@ -242,14 +253,15 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "digest": pa.array([_digest(s) for s in sets], pa.binary()),
                 "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                "odd": pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64())),
             }
         )
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(digest, shingles) of the wanted classes, made again from the text of each class's first document."""
+    """(digest, shingles, odd sketch) of the wanted classes, made again from the text of each class's first document."""
     ids = classes.join(wanted, "digest", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_rows, "digest binary, shingles array<long>")
+    sets = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_rows, "digest binary, shingles array<long>, odd array<long>")
     return sets.dropDuplicates(["digest"])  # a document may stand in several rows
 
 
@@ -264,37 +276,50 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.where(of * shared >= least * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
-def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame:
     """All pairs of digests (a, b) of the marked classes (digest, group) that can be similar enough, but for those of one group.
 
     Shingles are ordered by the number of sets that hold them.  Similar sets
     share one of their rarest: the smaller set among its n - ceil(2t / (1 + t) n)
     + 1 first, the larger among its n - ceil(t n) + 1 first, and after the first
     that they share enough must be left of both.  A shingle of one group only
-    joins nothing; of the others, its largest group meets only the rest.
+    joins nothing; of the others, its largest group meets only the rest.  A pair
+    is made only if the odd sketches differ in no more bits than the sets may in
+    shingles, which no similar pair exceeds: of documents with a common part
+    that is large but not large enough, few pairs are.
+
+    What is staged on the way is added to ``scratch``, for the caller to delete.
     """
     least, of = SIMILARITY
-    sets = _sets(marked, classes, docs).join(marked, "digest")
-    tokens, _ = staged(sets.select("digest", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        found, path = staged(df, name)
+        scratch.append(path)
+        return found
+
+    sets = kept(_sets(marked, classes, docs).join(marked, "digest"), "sets")
+    tokens = sets.select("digest", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     held = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     ordered = tokens.join(splittable(held), "token").groupBy("digest").agg(
         F.first("group").alias("group"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("some")
     )
     # shingles of one set only come first
-    ordered = ordered.withColumn("alone", F.col("n") - F.size("some"))
+    ordered = ordered.withColumn("alone", F.col("n") - F.size("some")).join(sets.select("digest", "odd"), "digest")
     first = F.expr(f"n - ({least} * n + {of - 1}) div {of} + 1")
-    ordered = ordered.select("digest", "group", "n", "alone", F.posexplode(F.slice("some", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))))
+    ordered = ordered.select("digest", "group", "n", "odd", "alone", F.posexplode(F.slice("some", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))))
     indexed = F.expr(f"at < n - ({2 * least} * n + {of + least - 1}) div {of + least} + 1")
-    rows = ordered.select("digest", "group", "n", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")).withColumn("indexed", indexed)
-    rows, _ = staged(rows, "prefixes")
+    rows = ordered.select("digest", "group", "n", "odd", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")).withColumn("indexed", indexed)
+    rows = kept(rows, "prefixes")
 
     sizes = rows.groupBy("token", "group").agg(F.count("*").alias("rows"))
     top = sizes.groupBy("token").agg(F.max_by("group", F.struct("rows", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    rows, _ = staged(rows.join(splittable(top.drop("groups")), "token").withColumn("in_top", F.col("group") == F.col("top")).drop("top"), "prefixes")
+    rows = kept(rows.join(splittable(top.drop("groups")), "token").withColumn("in_top", F.col("group") == F.col("top")).drop("top"), "prefixes")
     x, y = rows.where("indexed").alias("x"), rows.alias("y")
     smaller = "(x.n < y.n OR x.n = y.n AND x.digest < y.digest)"
     enough = f"{of + least} * least(x.n - x.at, y.n - y.at) >= {least} * (x.n + y.n)"
-    match = F.expr(f"x.token = y.token AND x.group <> y.group AND {smaller} AND {of} * x.n >= {least} * y.n AND {enough}")
+    differing = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(ODD_WORDS))
+    alike = f"{of + least} * ({differing}) <= {of - least} * (x.n + y.n)"
+    match = F.expr(f"x.token = y.token AND x.group <> y.group AND {smaller} AND {of} * x.n >= {least} * y.n AND {enough} AND {alike}")
     parts = [x.where("NOT x.in_top").join(y, match), x.where("x.in_top").join(y.where("NOT y.in_top"), match)]
     a, b = F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")
     return parts[0].select(a, b).union(parts[1].select(a, b)).distinct()
@@ -314,10 +339,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     documents is cut at a greater depth, and sorted neighbours are compared
     besides.  The first pass confirms each document's best partners on whole
     sets; the second all candidates that are still in different components, so
-    that a large group costs its links and not its pairs.  Classes whose
-    regions were cut in more than two orders are joined exactly on their rarest
-    shingles (``prefix_pairs``), so a link at the limit is missed with a chance
-    below 1 in 1,000 whatever the documents have in common.
+    that a large group costs its links and not its pairs.  Classes of which a
+    region in any order was too large for that, or cut by the end of a task, are
+    joined exactly on their rarest shingles (``prefix_pairs``).  So a link at the
+    limit is missed with a chance below 1 in 100,000 (no common region in 16
+    orders, or a signature five standard deviations off), whatever the documents
+    have in common.
 
     Null, empty and blank texts have an empty set and are linked with nothing; a
     row with a null doc_id is linked with nothing and kept, with a null
@@ -335,32 +362,36 @@ def _in_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    spark, scratch = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        found, path = staged(df, name)
+        scratch.append(path)
+        return found
+
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, _ = staged(described(plain), "signatures")
+    rows = kept(described(plain), "signatures")
     linked = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"))
-    classes, _ = staged(classes, "classes")
+    classes = kept(classes, "classes")
     sketched = classes.select("digest", "signature").mapInArrow(_low_bytes, "digest binary, signature binary, sketch binary")
     best = _sorted_orders(sketched.withColumn("group", F.lit(None).cast("binary"))).mapInArrow(_search, _SEARCHED).select("a", "b").distinct()
-    first, _ = staged(best, "pairs")
-    links, _ = staged(confirmed(first, classes, plain), "confirmed")
-    groups, _ = staged(components(links), "groups")
+    first = kept(best, "pairs")
+    links = kept(confirmed(first, classes, plain), "confirmed")
+    groups = kept(components(links), "groups")
 
-    searched = _sorted_orders(_in_groups(sketched, groups)).mapInArrow(_search, _SEARCHED)
-    searched = searched.groupBy("a", "b").agg(F.sum("cut").alias("cut"))
-    searched, _ = staged(searched.join(first, ["a", "b"], "left_anti"), "pairs")
+    searched = _sorted_orders(_in_groups(sketched, groups)).mapInArrow(_search, _SEARCHED).distinct()
+    searched = kept(searched.join(first, ["a", "b"], "left_anti"), "pairs")
     rest = searched.where("b IS NOT NULL").select("a", "b")
-    more, _ = staged(confirmed(rest, classes, plain), "confirmed")
-    links = links.union(more)
-    groups = components(links)
+    links = links.union(kept(confirmed(rest, classes, plain), "confirmed"))
+    groups = kept(components(links), "groups")
 
-    hard = searched.where(F.col("b").isNull() & (F.col("cut") > MOST_CUT))
+    hard = searched.where("b IS NULL")
     if not hard.isEmpty():
-        marked, _ = staged(_in_groups(hard.select(F.col("a").alias("digest")), groups), "marked")
-        exact = prefix_pairs(marked, classes, plain).join(rest.union(first), ["a", "b"], "left_anti")
-        exact, _ = staged(exact, "pairs")
-        last, _ = staged(confirmed(exact, classes, plain), "confirmed")
-        groups = components(links.union(last))
+        marked = kept(_in_groups(hard.select(F.col("a").alias("digest")), groups), "marked")
+        exact = prefix_pairs(marked, classes, plain, scratch).join(rest.union(first), ["a", "b"], "left_anti")
+        exact = kept(exact, "pairs")
+        groups = kept(components(links.union(kept(confirmed(exact, classes, plain), "confirmed"))), "groups")
 
     named = classes.join(groups.withColumnRenamed("node", "digest"), "digest", "left")
     named = named.select("digest", "first_id", F.coalesce("component", "digest").alias("component"))
@@ -368,7 +399,10 @@ def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     ids = named.join(splittable(least), "component").select("digest", "component_id")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = rows.join(ids, "digest", "left").select("doc_id", "text_hash", "n_shingles", known.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "grouped")
+    for path in scratch:  # all that is left is a few numbers a row
+        delete(spark, path)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,16 +410,16 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Other cases: see ``near_duplicates``.
     """
-    rows, _ = staged(_grouped(docs, doc_id, text).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "kept"), "kept")
-    of = F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")
+    rows = _grouped(docs, doc_id, text).where("doc_id IS NOT NULL").select("doc_id", "text_hash", "kept")
+    names = unused(docs, "_doc_id", "_text_hash")
     gone = rows.where("NOT kept").distinct()
     again = rows.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1")
 
     def key(d: DataFrame) -> DataFrame:
-        return d.select("doc_id", "text_hash").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
+        return d.select("doc_id", "text_hash").toDF(*names)
 
-    marked = docs.withColumns({"_doc_id": of[0], "_text_hash": of[1]})
-    stay = marked.join(key(gone), ["_doc_id", "_text_hash"], "left_anti")
-    single = stay.join(key(again), ["_doc_id", "_text_hash"], "left_anti")
-    repeated = stay.join(key(again), ["_doc_id", "_text_hash"], "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
+    marked = docs.withColumns(dict(zip(names, (F.col(doc_id).cast("long"), F.xxhash64(F.col(text))))))
+    stay = marked.join(key(gone), names, "left_anti")
+    single = stay.join(key(again), names, "left_anti")
+    repeated = stay.join(key(again), names, "left_semi").dropDuplicates(names)
     return single.union(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from devpulse.llm import words
 from devpulse.llm.automaton import SuffixAutomaton
+from devpulse.llm.columns import set_aside
 from devpulse.llm.spans import united, without
 from devpulse.plans.files import delete, staged
 
@@ -275,6 +276,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     it is.  Documents of which no word is left go; those that had none stay.  A
     column ``n_chars`` is brought up to date.  Other cases: see ``repeated_passages``.
     """
+    return set_aside(docs, ("_doc_id", "_of", "_cut"), lambda docs: _removed(docs, window, doc_id, text))
+
+
+def _removed(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
     found = repeated_passages(docs, window, doc_id, text).where(F.size("spans") > 0)
     gone = n_removed() == F.col("n_words")
     # a document's texts under one id, each with its spans
