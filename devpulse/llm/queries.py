@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,6 +208,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 @query("op12_token_counts")
 def _(spark, sf_dir):
+    import public_tokenizers  # the files' place on this machine; the driver alone reads one
+
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
