@@ -279,11 +279,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame:
     """All pairs of digests (a, b) of the marked classes (digest, group) that can be similar enough, but for those of one group.
 
-    Shingles are ordered by the number of sets that hold them.  Similar sets
-    share one of their rarest: the smaller set among its n - ceil(2t / (1 + t) n)
-    + 1 first, the larger among its n - ceil(t n) + 1 first, and after the first
-    that they share enough must be left of both.  A shingle of one group only
-    joins nothing; of the others, its largest group meets only the rest.  A pair
+    Shingles are ordered by the number of sets that hold them, those of one group
+    only before all others.  Similar sets share one of their first: the smaller
+    set among its n - ceil(2t / (1 + t) n) + 1 first, the larger among its n -
+    ceil(t n) + 1 first, and after the first that they share enough must be left
+    of both.  A shingle of one group only stands in no pair, so it takes a place
+    in the order and is not joined; of the others, its largest group meets only the rest.  A pair
     is made only if the odd sketches differ in no more bits than the sets may in
     shingles, which no similar pair exceeds: of documents with a common part
     that is large but not large enough, few pairs are.
@@ -299,11 +300,12 @@ def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame, scratch
 
     sets = kept(_sets(marked, classes, docs).join(marked, "digest"), "sets")
     tokens = sets.select("digest", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    held = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high"))
+    held = held.where("low < high").select("token", "sets")
     ordered = tokens.join(splittable(held), "token").groupBy("digest").agg(
         F.first("group").alias("group"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("some")
     )
-    # shingles of one set only come first
+    # shingles of one group only come first
     ordered = ordered.withColumn("alone", F.col("n") - F.size("some")).join(sets.select("digest", "odd"), "digest")
     first = F.expr(f"n - ({least} * n + {of - 1}) div {of} + 1")
     ordered = ordered.select("digest", "group", "n", "odd", "alone", F.posexplode(F.slice("some", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))))
