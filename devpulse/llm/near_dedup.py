@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,22 +277,82 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.where(of * shared >= least * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
 
+#: shingles are counted in 2^COUNT_BITS parts of the hash space: 8 MB, whatever the corpus
+COUNT_BITS = 20
+
+
+def _part(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(_part(_flat(batch["shingles"])), minlength=len(counts))
+    parts = np.flatnonzero(counts)
+    yield pa.record_batch({"part": pa.array(parts), "n": pa.array(counts[parts])})
+
+
+def part_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles the sets hold in each part of the hash space."""
+    found = sets.select("shingles").mapInArrow(_part_rows, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[found["part"].to_numpy()] = found["n"].to_numpy()
+    return counts
+
+
+def _firsts(counts: Broadcast):
+    """The first shingles of each set that another set can hold: no similar sets lack a common one among them.
+
+    ``alone`` more come before them, and those below place ``indexed`` are enough for the smaller set of a pair.
+    """
+    least, of = SIMILARITY
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = np.concatenate(([0], np.cumsum(batch["shingles"].value_lengths().to_numpy(zero_copy_only=False))))
+            flat = _flat(batch["shingles"])
+            many = counts.value[_part(flat)]
+            sizes, alone, indexed, tokens = [], [], [], []
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist()):
+                n, order = b - a, np.lexsort((flat[a:b], many[a:b]))
+                skipped = int((many[a:b] == 1).sum())
+                sizes.append(n)
+                alone.append(skipped)
+                indexed.append(n + 1 + (-2 * least * n) // (of + least))
+                tokens.append(flat[a:b][order[skipped : n + 1 + (-least * n) // of]].view(np.int64))
+            yield pa.record_batch(
+                {
+                    **{c: batch[c] for c in ("digest", "group", "odd")},
+                    **{c: pa.array(v, pa.int64()) for c, v in (("n", sizes), ("alone", alone), ("indexed", indexed))},
+                    "tokens": pa.array(tokens, pa.list_(pa.int64())),
+                }
+            )
+
+    return firsts
+
+
 def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame, scratch: list[str]) -> DataFrame:
     """All pairs of digests (a, b) of the marked classes (digest, group) that can be similar enough, but for those of one group.
 
-    Shingles are ordered by the number of sets that hold them, those of one group
-    only before all others.  Similar sets share one of their first: the smaller
-    set among its n - ceil(2t / (1 + t) n) + 1 first, the larger among its n -
-    ceil(t n) + 1 first, and after the first that they share enough must be left
-    of both.  A shingle of one group only stands in no pair, so it takes a place
-    in the order and is not joined; of the others, its largest group meets only the rest.  A pair
+    Shingles are ordered by how many the sets hold in the same one of 2^20 parts of
+    the hash space: nearly by how rare they are, and from one array of fixed size, so
+    that no shingle is joined for it.  Similar sets share one of their first: the
+    smaller set among its n - ceil(2t / (1 + t) n) + 1 first, the larger among its n
+    - ceil(t n) + 1 first, and after the first that they share enough must be left
+    of both; that holds in any order.  A shingle alone in its part or in one group
+    only joins nothing; of the others, its largest group meets only the rest.  A pair
     is made only if the odd sketches differ in no more bits than the sets may in
     shingles, which no similar pair exceeds: of documents with a common part
     that is large but not large enough, few pairs are.
 
     What is staged on the way is added to ``scratch``, for the caller to delete.
     """
-    least, of = SIMILARITY
+    spark, (least, of) = classes.sparkSession, SIMILARITY
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         found, path = staged(df, name)
@@ -299,19 +360,11 @@ def prefix_pairs(marked: DataFrame, classes: DataFrame, docs: DataFrame, scratch
         return found
 
     sets = kept(_sets(marked, classes, docs).join(marked, "digest"), "sets")
-    tokens = sets.select("digest", "group", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    held = tokens.groupBy("token").agg(F.count("*").alias("sets"), F.min("group").alias("low"), F.max("group").alias("high"))
-    held = held.where("low < high").select("token", "sets")
-    ordered = tokens.join(splittable(held), "token").groupBy("digest").agg(
-        F.first("group").alias("group"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("some")
-    )
-    # shingles of one group only come first
-    ordered = ordered.withColumn("alone", F.col("n") - F.size("some")).join(sets.select("digest", "odd"), "digest")
-    first = F.expr(f"n - ({least} * n + {of - 1}) div {of} + 1")
-    ordered = ordered.select("digest", "group", "n", "odd", "alone", F.posexplode(F.slice("some", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")).cast("int"))))
-    indexed = F.expr(f"at < n - ({2 * least} * n + {of + least - 1}) div {of + least} + 1")
-    rows = ordered.select("digest", "group", "n", "odd", F.col("col.token").alias("token"), (F.col("alone") + F.col("pos")).alias("at")).withColumn("indexed", indexed)
-    rows = kept(rows, "prefixes")
+    counts = spark.sparkContext.broadcast(part_counts(sets))
+    firsts = "digest binary, group binary, odd array<long>, n long, alone long, indexed long, tokens array<long>"
+    rows = sets.mapInArrow(_firsts(counts), firsts).select("digest", "group", "odd", "n", "alone", "indexed", F.posexplode("tokens").alias("pos", "token"))
+    at = F.col("alone") + F.col("pos")
+    rows = kept(rows.select("digest", "group", "n", "odd", "token", at.alias("at"), (at < F.col("indexed")).alias("indexed")), "prefixes")
 
     sizes = rows.groupBy("token", "group").agg(F.count("*").alias("rows"))
     top = sizes.groupBy("token").agg(F.max_by("group", F.struct("rows", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
