@@ -17,7 +17,7 @@ RAW = frozenset("script style iframe noembed noframes noscript xmp".split())
 RAW_TEXT = frozenset("textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp plaintext listing".split()
 )
 SPACED = frozenset("blockquote dl fieldset figure form h1 h2 h3 h4 h5 h6 ol p pre table ul xmp menu dir".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -37,7 +37,7 @@ TABLE_WALL = frozenset({"table"})
 # as in HTML a quote opens a string only after '=': elsewhere it is a character like others, and the next '>' ends the tag
 _NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
 _TOKEN = re.compile(
-    r"""(?P<comment><!--(?:.*?-->|.*))|(?P<odd><[!?/](?![a-zA-Z])[^>]*+>?|<![^>]*+>?|<\?[^>]*+>?)"""
+    r"""(?P<comment><!--(?:-?>|.*?--!?>|.*))|(?P<odd><[!?/](?![a-zA-Z])[^>]*+>?|<![^>]*+>?|<\?[^>]*+>?)"""
     r"""|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>?|<(?P<start>[a-zA-Z][^\s/>]*+)"""
     rf"""(?P<attributes>(?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)|(?!\s*+=)))*+(?:{_NAME}\s*+=\s*+["'])?+)>?"""
     r"""|(?P<text>[^<]++|<)""",
@@ -48,10 +48,12 @@ _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 #: a column is padded up to this width; longer cells stand out
 WIDEST_COLUMN = 60
-#: spans beyond these are cut: they only shift later columns
-MOST_SPAN = 100
-#: elements open at once; deeper ones are taken as text of the last
-MOST_OPEN = 2000
+# The largest spans that HTML knows
+MOST_ACROSS, MOST_DOWN = 1000, 65_534
+#: lines are indented by so many characters at most, and tables within so many tables are plain blocks: else a page could grow with its square
+MOST_INDENT, MOST_TABLES = 100, 50
+PREFORMATTED = frozenset("pre textarea listing xmp plaintext".split())
+FOREIGN = frozenset("svg math".split())
 
 
 class Flow:
@@ -62,7 +64,7 @@ class Flow:
         self.line: list[str] = []
         self.space = False  # white space is due before the next word
         self.gap = False  # an empty line is due before the next line
-        self.indents: list[str] = []
+        self.indent = 0
         self.marker = ""
 
     def words(self, text: str) -> None:
@@ -91,7 +93,7 @@ class Flow:
         self.line.clear()
         self.space = False
         if text or self.marker or always:
-            indent = "".join(self.indents)
+            indent = " " * min(self.indent, MOST_INDENT)
             if self.marker:
                 indent = indent[: len(indent) - len(self.marker)] + self.marker
                 self.marker = ""
@@ -123,7 +125,7 @@ class Table:
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, list[str]]]] = []
-        self.taken: dict[tuple[int, int], bool] = {}
+        self.taken: dict[int, int] = {}  # the first row below a span that began above, by column
         self.caption: list[str] = []
         self.next_column = 0
 
@@ -135,12 +137,12 @@ class Table:
         if not self.rows:
             self.start_row()
         row, column = len(self.rows) - 1, self.next_column
-        while self.taken.pop((row, column), False):
+        while self.taken.get(column, 0) > row:
             column += 1
         self.rows[row].append((column, lines))
-        for r in range(1, down):
-            for c in range(across):
-                self.taken[(row + r, column + c)] = True
+        if down > 1:
+            for c in range(column, column + across):
+                self.taken[c] = max(self.taken.get(c, 0), row + down)
         self.next_column = column + across
 
     def rendered(self) -> list[str]:
@@ -161,14 +163,14 @@ class Table:
 
 
 class _Element:
-    __slots__ = ("name", "hidden", "exact", "flow", "table", "count", "indented", "across", "down")
+    __slots__ = ("name", "hidden", "exact", "flow", "table", "count", "indent", "across", "down")
 
     def __init__(self, name: str, hidden: bool, exact: bool) -> None:
         self.name, self.hidden, self.exact = name, hidden, exact
         self.flow: Flow | None = None
         self.table: Table | None = None
         self.count: int | None = None
-        self.indented = False
+        self.indent = 0
         self.across = self.down = 1
 
 
@@ -177,22 +179,29 @@ class Page:
 
     def __init__(self) -> None:
         self.open: list[_Element] = []
+        self.places: dict[str, list[int]] = {}  # where in the stack elements of a name are
         self.flows = [Flow()]
         self.tables: list[Table] = []
 
     # --- tree ---
 
     def _has(self, names: frozenset[str] | set[str], walls=TABLE_WALL) -> int | None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name in names:
-                return i
-            if self.open[i].name in walls:
-                return None
-        return None
+        """The place of the innermost open element of these names, unless a wall is further in."""
+        place = self._innermost(names)
+        return place if place >= 0 and place >= self._innermost(walls) else None
+
+    def _innermost(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
 
     def _close_to(self, i: int) -> None:
         while len(self.open) > i:
-            self._left(self.open.pop())
+            element = self.open.pop()
+            self.places[element.name].pop()
+            self._left(element)
+
+    def foreign(self) -> bool:
+        """Whether what comes is a part of a drawing or a formula."""
+        return self._has(FOREIGN, {"foreignobject"}) is not None
 
     def _imply_ends(self, name: str) -> None:
         if name in BLOCKS or name in ("tr", "td", "th", *SECTIONS):
@@ -223,7 +232,7 @@ class Page:
         elif name == "input":
             if not hidden and attributes.get("type", "").lower() in ("submit", "button", "reset"):
                 self.flows[-1].words(attributes.get("value", ""))
-        elif name not in VOID and len(self.open) < MOST_OPEN:
+        elif name not in VOID:
             self._enter(name, attributes)
 
     def end(self, name: str) -> None:
@@ -253,7 +262,8 @@ class Page:
     def _enter(self, name: str, attributes: dict[str, str]) -> None:
         parent = self.open[-1] if self.open else None
         hidden = (parent is not None and parent.hidden) or self._invisible(name, attributes)
-        element = _Element(name, hidden, name in ("pre", "xmp", "textarea") or (parent is not None and parent.exact))
+        element = _Element(name, hidden, name in PREFORMATTED or (parent is not None and parent.exact))
+        self.places.setdefault(name, []).append(len(self.open))
         self.open.append(element)
         if hidden:
             return
@@ -264,20 +274,21 @@ class Page:
         if name in LISTS:
             element.count = _number(attributes.get("start"), 1) if name == "ol" else None
         elif name == "li":
-            owner = next((e for e in reversed(self.open[:-1]) if e.name in LISTS), None)
-            if owner is not None and owner.count is not None:
+            place = self._innermost(LISTS)
+            owner = self.open[place] if place >= 0 else element
+            if owner.count is not None:
                 owner.count = _number(attributes.get("value"), owner.count)
                 flow.marker = f"{owner.count}. "
                 owner.count += 1
             else:
                 flow.marker = "- "
-            flow.indents.append(" " * len(flow.marker))
-            element.indented = True
+            element.indent = len(flow.marker)
         elif name in ("dd", "blockquote"):
-            flow.indents.append("  ")
-            element.indented = True
+            element.indent = 2
         elif name == "details":
             element.count = 1 if "open" in attributes else 0
+        elif len(self.places.get("table", ())) > MOST_TABLES and name in ("table", "tr", "caption", *CELLS):
+            flow.block(spaced=False)
         elif name == "table":
             self.tables.append(Table())
             element.table = self.tables[-1]
@@ -286,8 +297,9 @@ class Page:
         elif name in CELLS | {"caption"} and self.tables and self._has({"table"}, ()) is not None:
             element.flow = Flow()
             self.flows.append(element.flow)
-            element.across = min(max(_number(attributes.get("colspan"), 1), 1), MOST_SPAN)
-            element.down = min(max(_number(attributes.get("rowspan"), 1), 1), MOST_SPAN)
+            element.across = min(max(_number(attributes.get("colspan"), 1), 1), MOST_ACROSS)
+            element.down = min(max(_number(attributes.get("rowspan"), 1), 1), MOST_DOWN)
+        flow.indent += element.indent
 
     def _left(self, element: _Element) -> None:
         if element.hidden:
@@ -310,8 +322,7 @@ class Page:
         elif element.name in BLOCKS:
             nested = element.name in LISTS and self._has(frozenset(("li",)), TABLE_WALL | {"body"}) is not None
             flow.block(element.name in SPACED and not nested)
-        if element.indented:
-            flow.indents.pop()
+        flow.indent -= element.indent
 
     def text(self, text: str) -> None:
         element = self.open[-1] if self.open else None
@@ -345,6 +356,16 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+def _closes_itself(source: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value."""
+    if not source.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(source):
+        pass
+    return last is None or last.end() < len(source)
+
+
 def render(html: str) -> str:
     """The text of one page."""
     page, at, size = Page(), 0, len(html)
@@ -360,8 +381,15 @@ def render(html: str) -> str:
             page.end(found["end"].lower())
         elif found["start"]:
             name = found["start"].lower()
+            if (name in FOREIGN or page.foreign()) and _closes_itself(found["attributes"]):
+                continue
             page.start(name, _attributes(found["attributes"]))
-            if name in RAW or name in RAW_TEXT:
+            if name in PREFORMATTED:  # the line break after the tag is not shown
+                at += 2 if html.startswith("\r\n", at) else html.startswith(("\n", "\r"), at)
+            if name == "plaintext":
+                page.text(html[at:])
+                at = size
+            elif name in RAW or name in RAW_TEXT:
                 ends = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
                 until = ends.start() if ends else size
                 inner = html[at:until]
@@ -380,7 +408,9 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     stand on lines of their own, with an empty line around paragraphs, headings,
     lists, quotations and tables; list items carry a dash or their number, nested
     ones are indented; the cells of a table column stand below each other,
-    separated by bars, with spans respected.
+    separated by bars, with spans respected.  However deep elements are nested,
+    all text is kept; lines are indented by 100 characters at most, and tables
+    within 50 others are laid out as blocks.
 
     A null page gives null, an empty one an empty text.  Rows are read one by
     one, so repeated rows and empty tables need no care; a column that has the

@@ -83,3 +83,47 @@ def test_stray_quotes_in_a_tag_swallow_nothing(html):
     rest = '<div class="c">w1</div>' * 500 + "<p title='d'>w2</p>" * 500
     assert render(html) == STRAY_QUOTES[html]
     assert render(html + rest).split() == STRAY_QUOTES[html].split() + ["w1"] * 500 + ["w2"] * 500
+
+
+NOTHING_LOST = {
+    "<!-->a": "a",
+    "<!--->a": "a",
+    "<!-- x --!>a": "a",
+    "<!-- x -- > y -->a": "a",
+    "<svg><style/></svg>a": "a",
+    "<svg><title/><path d=\"x=1\"/></svg>a": "a",
+    "<svg/><p>a</p>": "a",
+    "<svg><style>p{}</style><title>t</title></svg>a": "a",
+    "<pre>\n a</pre>": " a",
+    "<textarea>\r\na</textarea>": "a",
+    "<b>" * 3000 + "<script>var a=1;</script>a": "a",
+    "<div><b>" * 3000 + "<p hidden>n</p><ol><li>x<li>y</ol>": "1. x\n2. y",
+}
+
+
+@pytest.mark.parametrize("html", NOTHING_LOST, ids=range(len(NOTHING_LOST)))
+def test_no_text_is_lost_after_odd_markup(html):
+    assert render(html) == NOTHING_LOST[html]
+    rest = "<div>w1</div><!-- c --><p>w2</p>" * 500
+    assert render(html + rest).split() == NOTHING_LOST[html].split() + ["w1", "w2"] * 500
+
+
+def test_the_rest_of_a_page_is_plain():
+    assert render("a<plaintext>\n<b>x</b>\n&amp;") == "a\n<b>x</b>\n&amp;"
+
+
+def test_long_spans():
+    rows = "".join(f"<tr><td>{k}" for k in range(300))
+    shown = render(f"<table><tr><th rowspan=301>H<td>x{rows}</table>").split("\n")
+    assert shown[0] == "H | x" and all(line.startswith("  | ") for line in shown[1:]) and len(shown) == 301
+    shown = render("<table><tr><td colspan=5000>a<td>b<tr><td>c</table>")
+    assert shown == "a | b\nc"
+
+
+def test_deep_pages_keep_their_text_in_linear_time():
+    import time
+
+    for piece in ("<ul><li>w ", "<table><tr><td>w ", "<div><b>w ", "<blockquote>w ", "<b>w ", "<svg>w "):
+        start = time.perf_counter()
+        assert render(piece * 10_000).replace("|", " ").split().count("w") == 10_000, piece
+        assert time.perf_counter() - start < 20, piece
