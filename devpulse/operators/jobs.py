@@ -67,12 +67,14 @@ def incremental_slice(
 ) -> DataFrame:
     """Batch rows at or after their repository's watermark, all of a full sync.
 
-    With ``users`` given, commits are limited to the owner's own login.
+    With ``users`` given, commits are limited to the owner's own login.  The hint makes
+    the watermarks the side that is hashed: records are wide, and Spark's estimate of
+    parsed ones is that of their packed files, so it might collect them on the driver.
     """
     marks = repos.select("repo_id", "user_id", "last_synced_at")
     if users is not None:
         marks = marks.join(users.select("user_id", "github_login"), "user_id")
-    rows = batch.join(marks, "repo_id")
+    rows = batch.join(marks.hint("shuffle_hash"), "repo_id")
     if not full_sync:
         rows = rows.filter(F.col("last_synced_at").isNull() | (F.col(ts) >= F.col("last_synced_at")))
     if users is not None:

@@ -98,7 +98,8 @@ def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSp
     hits, fresh = found.filter("_stored IS NOT NULL"), found.filter("_stored IS NULL").select(*spec.columns)
     rewritten = sorted(months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN)))) if opened else []
     changed = tx.read(table, rewritten, stored).drop(MONTH_COLUMN)
-    merged = updated_rows(changed, hits, spec).unionByName(fresh, allowMissingColumns=True) if rewritten else fresh
+    # the hint keeps whole records from being collected on the driver, where their packed files look small
+    merged = updated_rows(changed, hits.hint("merge"), spec).unionByName(fresh, allowMissingColumns=True) if rewritten else fresh
     # rows for a rewritten month come in with it, others are added to theirs
     tx.write(merged, month_of(ts), table, rewritten, keys=spec.keys)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from devpulse.operators import backlog, jobs, listings, quality
@@ -173,3 +174,14 @@ def test_audit_counts_violations(spark, repos):
         "V6 users.github_login length": 1,
         "V7 analyses.analyzed_at in month range": 2,
     }
+
+
+def test_incremental_slice_collects_no_records(spark):
+    """Records are wider than Spark's estimate, so only the watermarks may be the side that is hashed."""
+    batch = spark.range(9).select(F.col("id").alias("repo_id"), F.lit("ann").alias("author_login"), F.current_timestamp().alias("at"))
+    repos = spark.range(99).select(F.col("id").alias("repo_id"), F.lit(1).alias("user_id"), F.lit(None).cast("timestamp").alias("last_synced_at"))
+    users = spark.range(1).select(F.lit(1).alias("user_id"), F.lit("ann").alias("github_login"))
+    sliced = jobs.incremental_slice(batch, repos, "at", users)
+    plan = sliced._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin [repo_id" in plan and "BroadcastHashJoin [repo_id" not in plan
+    assert sliced.count() == 9

@@ -234,3 +234,20 @@ def test_unknown_lists_are_left_alone(spark, tmp_path):
     (tmp_path / "lists" / f".version-00000003-{uuid.uuid4().hex}").write_text("half")
     put(root, commits(spark, ("b", 1)))
     assert stored(spark, root) == [("a", 1), ("b", 1)]
+
+
+def test_a_merge_collects_no_records_on_the_driver(spark, tmp_path, monkeypatch):
+    """Whole records may be far larger than their packed files, so they are not broadcast however small these are."""
+    plans = []
+
+    def kept(*args):
+        found = upsert.updated_rows(*args)
+        plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        return found
+
+    monkeypatch.setattr(incremental, "updated_rows", kept)
+    for additions in (1, 2):
+        batch = commits(spark, ("a", 1), ("b", 2), additions=additions).withColumn("seq", F.lit(0))
+        incremental.merge_monthly(spark, f"{tmp_path}/t", batch, upsert.COMMITS).release()
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert rows(store.read(spark, f"{tmp_path}/t"), "additions") == [(2,), (2,)]
