@@ -84,14 +84,15 @@ def _array(spark: SparkSession, kind):
     return spark.sparkContext._gateway.new_array(kind, 0)
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
     """Write an intermediate result to the shared scratch folder and read it back.
 
     Cuts the lineage for good: a lost executor costs a re-read, and later steps
     see the rows as they were even when the tables they came from are replaced.
     The file size also gives the planner true statistics for its join choice.
+    ``codec`` is the compression of the files if not the session's.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path

@@ -59,6 +59,7 @@ def merge_monthly(
     order: str = "seq",
     trust_dates: bool = False,
     undecided: Callable[[DataFrame], None] | None = None,
+    landed: bool = False,
 ) -> MergeResult:
     """Upsert a batch into a month-partitioned table.
 
@@ -66,22 +67,49 @@ def merge_monthly(
     even when the incoming record says otherwise.  ``trust_dates`` limits the
     search to the batch's own months for sources whose record time is immutable.
     Records that cannot be put in order go to ``undecided``; without it they end the job.
+    ``landed`` says that the batch is read from files, which must stay until the result
+    is released; another batch is written down first.
     """
-    incoming, scratch = collapsed(batch, spec, order, undecided)
+    incoming, scratch = collapsed(batch, spec, order, undecided, landed)
     merged = store.attempt(spark, path, lambda tx: merge(tx, "", incoming, spec, trust_dates))
-    files.delete(spark, scratch)
+    merged.scratch.extend(scratch)
     return merged
 
 
 def collapsed(
-    batch: DataFrame, spec: UpsertSpec, order: str = "seq", undecided: Callable[[DataFrame], None] | None = None
-) -> tuple[DataFrame, str]:
-    """One staged row for each decided key of a batch; the records of the others are handed on."""
+    batch: DataFrame,
+    spec: UpsertSpec,
+    order: str = "seq",
+    undecided: Callable[[DataFrame], None] | None = None,
+    landed: bool = False,
+) -> tuple[DataFrame, list[str]]:
+    """One row for each decided key of a batch, and the folders it is read from; records of other keys are handed on.
+
+    Most keys come once.  Of all records only the key hashes are counted, and whole
+    records are brought together only where a hash comes several times.
+    """
+    scratch: list[str] = []
+
+    def stage(df: DataFrame) -> DataFrame:
+        found, path = files.staged(df, "collapsed")
+        scratch.append(path)
+        return found
+
+    batch = batch if landed else stage(batch)
+    keyed = batch.withColumn("_hash", store.key_hash(spec.keys))
+    often = stage(keyed.groupBy("_hash").count().filter("count > 1").select("_hash"))
+    some = not often.isEmpty()
+    once = keyed.join(often, "_hash", "left_anti") if some else keyed
+    once = once.select(*spec.columns, F.lit(1).cast("long").alias("processed"))
+    several = keyed.join(often, "_hash", "left_semi").drop("_hash") if some else batch.limit(0)
     if undecided is None:
-        return files.staged(collapse_batch(batch, spec, order), "collapsed")
-    marked, scratch = files.staged(collapse_marked(batch, spec, order), "collapsed")
-    undecided(undecided_records(batch, marked, spec))
-    return marked.filter("NOT undecided").drop("undecided"), scratch
+        return (once.unionByName(stage(collapse_batch(several, spec, order))) if some else once), scratch
+    if not some:
+        undecided(several)
+        return once, scratch
+    marked = stage(collapse_marked(several, spec, order))
+    undecided(undecided_records(several, marked, spec))
+    return once.unionByName(marked.filter("NOT undecided").drop("undecided")), scratch
 
 
 def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSpec, trust_dates: bool = False) -> MergeResult:
@@ -91,12 +119,15 @@ def merge(tx: store.Transaction, table: str, incoming: DataFrame, spec: UpsertSp
     months = months_in(incoming.select(month_of(ts).alias(MONTH_COLUMN))) if trust_dates else None
     total = len(tx.parts(table))
     base, opened = tx.lookup(incoming, spec.keys, table, months, stored)
+    if not opened:  # no key is known, so the records need not meet any
+        tx.write(incoming.select(*spec.columns), month_of(ts), table, keys=spec.keys)
+        return MergeResult(incoming.select(*spec.keys, ts), [], [], opened, total)
     at = F.struct(F.col(ts).alias("at"), F.col(MONTH_COLUMN).alias("month"))
     known = base.select(*spec.keys, at.alias("_stored"))
     found, scratch = files.staged(incoming.join(known, spec.keys, "left"), "found")
 
     hits, fresh = found.filter("_stored IS NOT NULL"), found.filter("_stored IS NULL").select(*spec.columns)
-    rewritten = sorted(months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN)))) if opened else []
+    rewritten = sorted(months_in(hits.select(F.col("_stored.month").alias(MONTH_COLUMN))))
     changed = tx.read(table, rewritten, stored).drop(MONTH_COLUMN)
     # the hint keeps whole records from being collected on the driver, where their packed files look small
     merged = updated_rows(changed, hits.hint("merge"), spec).unionByName(fresh, allowMissingColumns=True) if rewritten else fresh

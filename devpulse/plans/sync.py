@@ -134,8 +134,8 @@ def run_sync(spark: SparkSession, root: str, users: DataFrame, landed: Landed, r
 
     def merged(tx: store.Transaction, table: str, rows: DataFrame, spec: UpsertSpec) -> tuple[DataFrame, DataFrame]:
         """The rows a batch touched and how many records came in for each repository."""
-        incoming, path = incremental.collapsed(rows, spec, undecided=keep(f"{table}_undecided"))
-        scratch.append(path)
+        incoming, paths = incremental.collapsed(rows, spec, undecided=keep(f"{table}_undecided"))
+        scratch.extend(paths)
         result = incremental.merge(tx, table, incoming, spec)
         scratch.extend(result.scratch)
         return result.touched, incoming.groupBy("repo_id").agg(F.sum("processed").alias("items"))

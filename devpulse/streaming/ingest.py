@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from devpulse.operators.upsert import COMMITS, PULL_REQUESTS
+from devpulse.plans import files
 from devpulse.plans.incremental import MergeResult, merge_monthly, refresh_daily_stats, refresh_hourly
 from devpulse.schemas import COMMIT_PAYLOAD, PULL_REQUEST_PAYLOAD, envelope
 from devpulse.sources.payloads import parse_commits, parse_pull_requests
@@ -44,20 +45,20 @@ def ingest_commits(
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # the files are parsed once for all outputs
+        records, path = files.staged(batch, "landed", "zstd")  # the files are parsed once for all outputs
         try:
-            parsed, undated = parse_commits(batch)
+            parsed, undated = parse_commits(records)
             inside, outside = split_month_range(parsed, COMMITS.timestamp, months)
             _keep({"undated": undated, "out_of_range": outside}, quarantine, batch_id)
-            merged = merge_monthly(spark, commits_path, inside, COMMITS, undecided=_undecided(quarantine, batch_id))
+            merged = merge_monthly(spark, commits_path, inside, COMMITS, undecided=_undecided(quarantine, batch_id), landed=True)
+            try:
+                refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
+                if hourly_path:
+                    _refresh_hours(spark, commits_path, prs_path, hourly_path, repos, merged, COMMITS.timestamp)
+            finally:
+                merged.release()
         finally:
-            batch.unpersist()
-        try:
-            refresh_daily_stats(spark, commits_path, daily_path, repos, merged.touched)
-            if hourly_path:
-                _refresh_hours(spark, commits_path, prs_path, hourly_path, repos, merged, COMMITS.timestamp)
-        finally:
-            merged.release()
+            files.delete(spark, path)
 
     return _start(_landed(spark, landing, COMMIT_PAYLOAD, max_files), take_in, checkpoint)
 
@@ -81,19 +82,19 @@ def ingest_pull_requests(
     """
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        records, path = files.staged(batch, "landed", "zstd")
         try:
-            parsed, unusable = parse_pull_requests(batch)
+            parsed, unusable = parse_pull_requests(records)
             inside, outside = split_month_range(parsed, PULL_REQUESTS.timestamp, months)
             _keep({"unusable": unusable, "out_of_range": outside}, quarantine, batch_id)
-            merged = merge_monthly(spark, prs_path, inside, PULL_REQUESTS, undecided=_undecided(quarantine, batch_id))
-        finally:
-            batch.unpersist()
-        try:
-            if hourly_path:
-                _refresh_hours(spark, commits_path, prs_path, hourly_path, repos, merged, PULL_REQUESTS.timestamp)
+            merged = merge_monthly(spark, prs_path, inside, PULL_REQUESTS, undecided=_undecided(quarantine, batch_id), landed=True)
+            try:
+                if hourly_path:
+                    _refresh_hours(spark, commits_path, prs_path, hourly_path, repos, merged, PULL_REQUESTS.timestamp)
+            finally:
+                merged.release()
         finally:
-            merged.release()
+            files.delete(spark, path)
 
     return _start(_landed(spark, landing, PULL_REQUEST_PAYLOAD, max_files), take_in, checkpoint)
 

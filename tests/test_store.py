@@ -251,3 +251,41 @@ def test_a_merge_collects_no_records_on_the_driver(spark, tmp_path, monkeypatch)
         incremental.merge_monthly(spark, f"{tmp_path}/t", batch, upsert.COMMITS).release()
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
     assert rows(store.read(spark, f"{tmp_path}/t"), "additions") == [(2,), (2,)]
+
+
+def test_only_records_of_repeated_keys_are_brought_together(spark, tmp_path, monkeypatch):
+    collapsed, staged = [], []
+    collapse, stage = incremental.collapse_marked, files.staged
+
+    def kept(records, *args):
+        collapsed.append(rows(records, "github_commit_sha", "additions"))
+        return collapse(records, *args)
+
+    def named(df, name, *args):
+        staged.append(name)
+        return stage(df, name, *args)
+
+    monkeypatch.setattr(incremental, "collapse_marked", kept)
+    monkeypatch.setattr(files, "staged", named)
+    undecided = []
+    keep = lambda records: undecided.append(rows(records, "github_commit_sha", "additions"))
+    some = commits(spark, ("a", 1), ("b", 2), ("c", 2)).withColumn("seq", F.lit(1))
+    batch = some.unionByName(commits(spark, ("a", 3), additions=7).withColumn("seq", F.lit(2))).unionByName(
+        commits(spark, ("b", 2), additions=8).withColumn("seq", F.lit(1))
+    )
+    nameless = F.when(F.col("github_commit_sha") != "c", F.col("github_commit_sha"))
+    batch = batch.unionByName(batch.filter("github_commit_sha = 'c'").withColumn("github_commit_sha", nameless)).unionByName(
+        batch.filter("github_commit_sha = 'c'").withColumns({"github_commit_sha": nameless, "additions": F.lit(9), "seq": F.lit(2)})
+    )
+    merged = incremental.merge_monthly(spark, f"{tmp_path}/t", batch, upsert.COMMITS, undecided=keep)
+    assert collapsed == [[(None, 1), (None, 9), ("a", 1), ("a", 7), ("b", 1), ("b", 8)]]
+    assert undecided == [[("b", 1), ("b", 8)]]
+    assert {r[0] for r in rows(merged.touched, "github_commit_sha")} == {"a", "c", None}
+    merged.release()
+    assert rows(store.read(spark, f"{tmp_path}/t"), "github_commit_sha", "additions", "year_month") == rows(
+        spark.createDataFrame([("a", 7, "2024-01"), ("c", 1, "2024-02"), (None, 9, "2024-02")], "s string, n int, m string")
+    )
+    # a batch of new keys that come once is neither aggregated nor joined
+    assert "found" not in staged
+    incremental.merge_monthly(spark, f"{tmp_path}/t", commits(spark, ("d", 1)).withColumn("seq", F.lit(0)), upsert.COMMITS, undecided=keep).release()
+    assert len(collapsed) == 1 and undecided[1:] == [[]] and "found" not in staged
