@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from devpulse.functions.diff import DIFF_BUDGET, assemble_diff, truncate_diff
@@ -127,6 +128,22 @@ def per_record(analyze: Callable[[str, str, str], dict[str, Any]]) -> BatchAnaly
     return analyze_batch
 
 
+#: diffs that go to Python at a time; at the default budget at most 15 million characters
+BATCH_ROWS = 500
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within this an analysis that is run gets few diffs at a time, so that Python holds a bounded amount of text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def enrich(
     backlog: DataFrame,
     analyze: BatchAnalysis,

@@ -36,7 +36,8 @@ def enrich_backlog(
     schema = stored_schema("analyses")
     known = store.read(spark, analyses_path, schema=schema)
     todo = backlog.analysis_backlog(commits, known, repos, limit)
-    results, path = files.staged(backlog.enrich(backlog.with_raw_data(todo, commits), analyze, max_chars, tasks), "enriched")
+    with backlog.small_batches(spark):
+        results, path = files.staged(backlog.enrich(backlog.with_raw_data(todo, commits), analyze, max_chars, tasks), "enriched")
     fresh = backlog.to_analyses(results, analyzed_at)
     if not fresh.isEmpty():
         store.commit(fresh, analyses_path, "analyzed_at")

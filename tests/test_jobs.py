@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from devpulse.operators import backlog, jobs, listings, quality
+from devpulse.plans import enrichment, store
 from devpulse.schemas import COMMIT_RAW
 
 
@@ -185,3 +186,23 @@ def test_incremental_slice_collects_no_records(spark):
     plan = sliced._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin [repo_id" in plan and "BroadcastHashJoin [repo_id" not in plan
     assert sliced.count() == 9
+
+
+def test_an_analysis_gets_few_diffs_at_a_time(spark, tmp_path):
+    """However many rows a task has, Python holds a bounded number of diffs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    commits = spark.range(0, 1200, 1, 1).select(
+        F.col("id").alias("commit_id"), F.col("id").alias("repo_id"), F.lit("sha").alias("github_commit_sha"), F.lit("m").alias("message"),
+        F.lit(datetime(2024, 1, 5)).alias("committed_at"), F.lit(1).alias("additions"), F.lit(1).alias("deletions"),
+        F.from_json(F.lit('{"diff": "d"}'), COMMIT_RAW).alias("raw_data"),
+    )
+
+    def sized(batch):
+        return batch[[]].assign(status="analyzed", tech_tags=None, work_category="docs", summary=str(len(batch)), complexity_score=None, raw_response=None, error=None)
+
+    repos = spark.range(1200).select(F.col("id").alias("repo_id"), F.lit("o/r").alias("full_name"), F.lit(1).cast("long").alias("user_id"))
+    enrichment.enrich_backlog(spark, commits, f"{tmp_path}/analyses", repos, sized, datetime(2024, 1, 6), tasks=1)
+    sizes = {int(r[0]) for r in store.read(spark, f"{tmp_path}/analyses").select("summary").distinct().collect()}
+    assert store.read(spark, f"{tmp_path}/analyses").count() == 1200 and max(sizes) <= backlog.BATCH_ROWS
+    assert spark.conf.get(name) == before
