@@ -130,18 +130,24 @@ def per_record(analyze: Callable[[str, str, str], dict[str, Any]]) -> BatchAnaly
 
 #: diffs that go to Python at a time; at the default budget at most 15 million characters
 BATCH_ROWS = 500
+_MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def set_small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
+    """From now on an analysis that is run gets few diffs at a time, so that Python holds a bounded amount of text; returns the setting before."""
+    before = spark.conf.get(_MOST_ROWS)
+    spark.conf.set(_MOST_ROWS, str(rows if int(before) <= 0 else min(rows, int(before))))
+    return before
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Within this an analysis that is run gets few diffs at a time, so that Python holds a bounded amount of text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    """`set_small_batches` for what is run within this."""
+    before = set_small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_MOST_ROWS, before)
 
 
 def enrich(
